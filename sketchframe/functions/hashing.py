@@ -1,18 +1,20 @@
 """Shared randomness as a pure function of (seed, stream, feature, sample).
 
 Every random table of a sketch (uniforms, normals, signs, buckets, hash
-coefficients) is a column expression over Spark's ``xxhash64``.  Nothing is
-stored, joined or broadcast: a task that sees feature ``f`` computes the same
-draw for sample ``j`` as every other task, so train and test rows, partitions,
-retries and reruns all agree.
+coefficients) is an expression over Spark's ``xxhash64``.  Nothing is stored,
+joined or broadcast: a task that sees feature ``f`` computes the same draw for
+sample ``j`` as every other task, so train and test rows, partitions, retries
+and reruns all agree.
+
+The functions take and return SQL text for ``F.expr``.  A sketch evaluates
+hundreds of draws per plan; text is parsed once in the JVM, where a tree of
+Column objects would cost a Python round trip per node.
 """
 
 from __future__ import annotations
 
 import hashlib
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import math
 
 # 52 random bits plus a half step is exact in a double and never 0 or 1.
 _STEP = 2.0**-52
@@ -24,29 +26,28 @@ def stream_key(seed: int, stream: str, party: str = "", repeat: int = 1) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big", signed=True)
 
 
-def hash64(key: int, first: Column, *rest: Column) -> Column:
-    """64 hash bits of one or more BIGINT columns under a stream key."""
-    salted = first.cast("bigint").bitwiseXOR(F.lit(key).cast("bigint"))
-    return F.xxhash64(salted, *[c.cast("bigint") for c in rest])
+def hash64(key: int, first: str, *rest: str) -> str:
+    """64 hash bits of one or more whole numbers under a stream key."""
+    numbers = [f"cast({first} as bigint) ^ ({key}L)", *[f"cast({r} as bigint)" for r in rest]]
+    return f"xxhash64({', '.join(numbers)})"
 
 
-def uniform(key: int, first: Column, *rest: Column) -> Column:
+def uniform(key: int, first: str, *rest: str) -> str:
     """Uniform double in the open interval (0, 1)."""
-    bits = F.shiftrightunsigned(hash64(key, first, *rest), 12)
-    return (bits + F.lit(0.5)) * F.lit(_STEP)
+    return f"((shiftrightunsigned({hash64(key, first, *rest)}, 12) + 0.5D) * {_STEP!r}D)"
 
 
-def normal(key_radius: int, key_angle: int, first: Column, *rest: Column) -> Column:
+def normal(key_radius: int, key_angle: int, first: str, *rest: str) -> str:
     """Standard normal by the Box-Muller transform of two uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(key_radius, first, *rest)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform(key_angle, first, *rest))
+    radius = f"sqrt(-2.0D * ln({uniform(key_radius, first, *rest)}))"
+    return f"({radius} * cos({2 * math.pi!r}D * {uniform(key_angle, first, *rest)}))"
 
 
-def below(key: int, bound: int, first: Column, *rest: Column) -> Column:
-    """Uniform integer in [0, bound)."""
-    return F.floor(uniform(key, first, *rest) * F.lit(float(bound))).cast("bigint")
+def below(key: int, bound: int, first: str, *rest: str) -> str:
+    """Uniform whole number in [0, bound)."""
+    return f"cast(floor({uniform(key, first, *rest)} * {float(bound)!r}D) as bigint)"
 
 
-def sign(key: int, first: Column, *rest: Column) -> Column:
+def sign(key: int, first: str, *rest: str) -> str:
     """-1.0 or 1.0 with equal chance."""
-    return F.when(uniform(key, first, *rest) < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return f"if({uniform(key, first, *rest)} < 0.5D, -1.0D, 1.0D)"

@@ -7,7 +7,7 @@ Z(row_id, col, v) with v = 1.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchframe.functions.hashing import below, stream_key
@@ -18,44 +18,40 @@ from sketchframe.operators.reshape import split_width
 HASH_SEED = 1
 
 
-def coefficients(j: Column, c: int, seed: int = HASH_SEED) -> tuple[Column, Column]:
-    """a in [1, c) and b in [0, c) of draw ``j``."""
+def coefficients(c: int, j: str = "j", seed: int = HASH_SEED) -> tuple[str, str]:
+    """SQL of a in [1, c) and b in [0, c) of draw ``j``."""
     if c < 2:
         raise ValueError("count compression needs c >= 2")
-    a = below(stream_key(seed, "a"), c - 1, j) + F.lit(1).cast("bigint")
-    return a, below(stream_key(seed, "b"), c, j)
+    return f"({below(stream_key(seed, 'a'), c - 1, j)} + 1L)", below(stream_key(seed, "b"), c, j)
 
 
 def hash_coefficients(draws: DataFrame, c: int, seed: int = HASH_SEED) -> DataFrame:
     """H(j, a, b) for the given draws."""
-    a, b = coefficients(F.col("j"), c, seed)
-    return draws.select("j", a.alias("a"), b.alias("b"))
+    a, b = coefficients(c, seed=seed)
+    return draws.selectExpr("j", f"{a} as a", f"{b} as b")
 
 
-def _one_hot(samples: DataFrame, width: int, place: Column) -> DataFrame:
+def _one_hot(samples: DataFrame, width: int, place: str) -> DataFrame:
     """Set one of ``width`` positions per sample, counted from the block's end."""
-    w = F.lit(width).cast("bigint")
-    used = samples.where(F.col("s") > 0)
-    return used.select("row_id", (w * F.col("j") + w - place).alias("col"), F.lit(1).alias("v"))
+    column = f"{width}L * j + {width}L - ({place})"
+    return samples.where("s > 0").selectExpr("row_id", f"{column} as col", "1 as v")
 
 
 def sketch_plain(samples: DataFrame, n: int) -> DataFrame:
     """n positions per sample: column n j + n - s."""
-    return _one_hot(samples, n, F.col("s"))
+    return _one_hot(samples, n, "s")
 
 
 def sketch_count(samples: DataFrame, c: int, offset: int = 0, seed: int = HASH_SEED) -> DataFrame:
     """c positions per sample by (a s + b) mod c; ``offset`` shifts which a, b are used."""
-    a, b = coefficients(F.col("j") + F.lit(offset).cast("bigint"), c, seed)
-    hashed = F.pmod(a * F.col("s") + b, F.lit(c).cast("bigint")) + F.lit(1).cast("bigint")
-    return _one_hot(samples, c, hashed)
+    a, b = coefficients(c, f"j + {offset}L", seed)
+    return _one_hot(samples, c, f"pmod({a} * s + {b}, {c}L) + 1L")
 
 
 def sketch_bbit(samples: DataFrame, b: int) -> DataFrame:
     """2^b positions per sample by its b low bits."""
     size = 2**b
-    low = F.pmod(F.col("s"), F.lit(size).cast("bigint")) + F.lit(1).cast("bigint")
-    return _one_hot(samples, size, low)
+    return _one_hot(samples, size, f"pmod(s, {size}L) + 1L")
 
 
 def expand(samples: DataFrame, n: int, b: int = 0, c: int = 0) -> DataFrame:
@@ -75,11 +71,7 @@ def expand_two_party_global(
     a: DataFrame, b_samples: DataFrame, n1: int, n2: int, k1: int, b: int = 0, c: int = 0
 ) -> DataFrame:
     """One id space: B's features come after A's n1 and its draws after A's k1."""
-    moved = b_samples.select(
-        "row_id",
-        (F.col("j") + F.lit(k1).cast("bigint")).alias("j"),
-        F.when(F.col("s") > 0, F.col("s") + F.lit(n1).cast("bigint")).otherwise(F.col("s")).alias("s"),
-    )
+    moved = b_samples.selectExpr("row_id", f"j + {k1}L as j", f"if(s > 0, s + {n1}L, s) as s")
     return expand(a.select("row_id", "j", "s").unionByName(moved), n1 + n2, b, c)
 
 

@@ -44,7 +44,7 @@ def select_first(rows: DataFrame, m_selected: int, seed: int = 1) -> Column:
     feature table needs neither a join nor a shuffle.
     """
     key = stream_key(seed, "row")
-    order = hash64(key, F.col("row_id"))
+    order = F.expr(hash64(key, "row_id"))
     hashed = rows.select("row_id", order.alias("h")).withColumn("bucket", F.shiftright("h", 48))
     counts = hashed.groupBy("bucket").count()
     running = F.sum("count").over(Window.orderBy("bucket"))  # at most 65,536 rows
@@ -227,5 +227,5 @@ def shuffle_batches(batches: DataFrame, seed: int = 1, epoch: int = 1) -> DataFr
     Apply it to several aligned tables by joining each on ``batch``.
     """
     key = stream_key(seed, "batch")
-    ids = batches.select("batch").distinct().withColumn("_h", hash64(key, F.col("batch"), F.lit(epoch)))
+    ids = batches.select("batch").distinct().withColumn("_h", F.expr(hash64(key, "batch", str(epoch))))
     return row_index(ids, by="_h", tie="batch").select("batch", F.col("idx").alias("position"))

@@ -53,15 +53,15 @@ def fixed_decode(encoding: Column, exponent: int | Column, ring: int = RING) ->
     return signed.cast("double") * F.pow(F.lit(float(BASE)), -e)
 
 
-def ring_mask(seed: int, party: str, *ids: Column, secret: str | None = None) -> Column:
-    """Uniform ring element per cell.
+def ring_mask(seed: int, party: str, *ids: str, secret: str | None = None) -> Column:
+    """Uniform ring element per cell, from the columns that identify it.
 
     Seeded masks repeat, for tests; with ``secret`` the mask is a keyed digest
     that only the holder of the secret can recompute.
     """
     if secret is None:
-        return F.shiftrightunsigned(hash64(stream_key(seed, "mask", party), *ids), 4)
-    digest = F.sha2(F.concat_ws(":", F.lit(secret), F.lit(party), *[i.cast("string") for i in ids]), 256)
+        return F.expr(f"shiftrightunsigned({hash64(stream_key(seed, 'mask', party), *ids)}, 4)")
+    digest = F.sha2(F.concat_ws(":", F.lit(secret), F.lit(party), *[F.col(i).cast("string") for i in ids]), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
@@ -74,7 +74,7 @@ def share_split(
     share shows where the zeros are.  The mask is a function of the cell, so
     both tables are projections of the input without a shuffle.
     """
-    mask = ring_mask(seed, party, F.col("row_id"), F.col("f"), secret=secret)
+    mask = ring_mask(seed, party, "row_id", "f", secret=secret)
     encoded = fixed_encode(F.col(column), exponent)["encoding"]
     first = df.select("row_id", "f", mask.alias("share"))
     second = df.select("row_id", "f", F.pmod(encoded - mask, F.lit(RING)).alias("share"))
@@ -115,15 +115,14 @@ def share_dataset(
 # --- products of shared tables ----------------------------------------------
 
 
-def real_mask(seed: int, stream: str, bound: float, *ids: Column) -> Column:
+def real_mask(seed: int, stream: str, bound: float, *ids: str) -> Column:
     """Uniform multiple of 2^-16 in [-bound, bound)."""
-    steps = F.floor((uniform(stream_key(seed, stream), *ids) * 2 - 1) * F.lit(bound * 65536.0))
-    return steps.cast("double") / F.lit(65536.0)
+    return F.expr(f"floor(({uniform(stream_key(seed, stream), *ids)} * 2 - 1) * {bound * 65536.0!r}D) / 65536.0D")
 
 
 def real_split(df: DataFrame, value: str, ids: list[str], seed: int, stream: str, bound: float = 8.0) -> DataFrame:
     """The ids with two real shares ``a`` and ``b`` of ``value``."""
-    mask = real_mask(seed, stream, bound, *[F.col(i) for i in ids])
+    mask = real_mask(seed, stream, bound, *ids)
     return df.select(*ids, mask.alias("a"), (F.col(value) - mask).alias("b"))
 
 
@@ -145,8 +144,8 @@ def beaver_triples(cells: DataFrame, features: DataFrame, t: int = 1, seed: int
     U and V are functions of their ids, so the product needs no join: V is
     evaluated next to U and summed by row.
     """
-    u_value = real_mask(seed, "U", bound, F.col("row_id"), F.col("f"))
-    v_value = real_mask(seed, "V", bound, F.col("f"), F.col("t"))
+    u_value = real_mask(seed, "U", bound, "row_id", "f")
+    v_value = real_mask(seed, "V", bound, "f", "t")
     u = cells.select("row_id", "f", u_value.alias("x"))
     v = features.select("f", _numbers(t).alias("t")).withColumn("x", v_value)
     fanned = u.select("row_id", "f", "x", _numbers(t).alias("t"))
@@ -160,7 +159,7 @@ def beaver_triples(cells: DataFrame, features: DataFrame, t: int = 1, seed: int
 
 def transposed_triples(triples: Triples, rows: DataFrame, seed: int = 1, bound: float = 8.0) -> Triples:
     """V'(row_id, t) and Z'(f, t) = U' V' for the gradient, with the same U."""
-    v_value = real_mask(seed, "Vp", bound, F.col("row_id"), F.col("t"))
+    v_value = real_mask(seed, "Vp", bound, "row_id", "t")
     v = rows.select("row_id", F.lit(0).cast("bigint").alias("t")).withColumn("x", v_value)
     u = triples.u.select("row_id", "f", (F.col("a") + F.col("b")).alias("x"), F.lit(0).cast("bigint").alias("t"))
     z = u.groupBy("f", "t").agg(F.sum(F.col("x") * v_value).alias("x"))

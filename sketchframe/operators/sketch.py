@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchframe.functions.hashing import below, normal, sign, stream_key, uniform
@@ -33,7 +33,7 @@ def shared_uniforms(df: DataFrame, k: int, seed: int = 1, stream: str = "u", par
     draws = F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))
     key = stream_key(seed, stream, party, repeat)
     fanned = df.select("f").distinct().select("f", F.explode(draws).alias("j"))
-    return fanned.select("f", "j", uniform(key, F.col("f"), F.col("j")).alias("u"))
+    return fanned.select("f", "j", F.expr(uniform(key, "f", "j")).alias("u"))
 
 
 def by_row(df: DataFrame) -> DataFrame:
@@ -41,42 +41,38 @@ def by_row(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "row_id")
 
 
-def _blocked(df: DataFrame, k: int, clustered: bool) -> tuple[DataFrame, list[Column], int]:
+def _blocked(df: DataFrame, k: int, clustered: bool) -> tuple[DataFrame, list[str], int]:
     """Input with a block column, the draw numbers of one block, and its width."""
     if k < 1:
         raise ValueError("k must be positive")
     blocks = math.ceil(k / BLOCK)
     size = math.ceil(k / blocks)
     gathered = df if clustered else by_row(df)
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    block = F.lit(0).cast("bigint") if blocks == 1 else F.explode(numbers)
-    fanned = gathered.select("row_id", "f", "v", block.alias("blk"))
-    draws = [F.col("blk") * F.lit(size).cast("bigint") + F.lit(t).cast("bigint") for t in range(size)]
-    return fanned, draws, size
+    block = "0L" if blocks == 1 else f"explode(sequence(0L, {blocks - 1}L))"
+    fanned = gathered.selectExpr("row_id", "f", "v", f"{block} as blk")
+    return fanned, [f"(blk * {size}L + {t}L)" for t in range(size)], size
 
 
-def _unfold(wide: DataFrame, values: list[Column], size: int, k: int, name: str) -> DataFrame:
+def _unfold(wide: DataFrame, values: list[str], size: int, k: int, name: str) -> DataFrame:
     """One output row per draw."""
-    long = wide.select("row_id", "blk", F.posexplode(F.array(*values)).alias("t", name))
-    j = F.col("blk") * F.lit(size).cast("bigint") + F.col("t")
-    return long.select("row_id", j.cast("bigint").alias("j"), name).where(F.col("j") < k)
+    long = wide.selectExpr("row_id", "blk", f"posexplode(array({', '.join(values)})) as (t, {name})")
+    return long.selectExpr("row_id", f"blk * {size}L + t as j", name).where(f"j < {k}")
 
 
-def _smallest(df: DataFrame, rows: DataFrame, k: int, score: Callable[[Column], Column], clustered: bool) -> DataFrame:
+def _smallest(df: DataFrame, rows: DataFrame, k: int, score: Callable[[str], str], clustered: bool) -> DataFrame:
     """Per row and draw the feature of least score; the least feature on ties.
 
     Every row adds one marker cell of feature -1 and score NaN, which sorts
     after all numbers: it wins only in a row without positive cells.
     """
-    marker = rows.select("row_id", F.lit(-1).cast("bigint").alias("f"), F.lit(None).cast("double").alias("v"))
+    marker = rows.selectExpr("row_id", "-1L as f", "cast(null as double) as v")
     cells = positive_part(df).select("row_id", "f", "v").unionByName(marker)
     fanned, draws, size = _blocked(cells, k, clustered)
     least = [
-        F.min(F.struct(F.coalesce(score(j), F.lit(float("nan"))).alias("a"), "f")).alias(f"c{t}")
-        for t, j in enumerate(draws)
+        F.expr(f"min(struct(coalesce({score(j)}, double('NaN')) as a, f)) as c{t}") for t, j in enumerate(draws)
     ]
     wide = fanned.groupBy("row_id", "blk").agg(*least)
-    return _unfold(wide, [F.col(f"c{t}.f") for t in range(size)], size, k, "s")
+    return _unfold(wide, [f"c{t}.f" for t in range(size)], size, k, "s")
 
 
 def p_minhash(
@@ -89,8 +85,8 @@ def p_minhash(
     """
     key = stream_key(seed, "u", party, repeat)
 
-    def score(j: Column) -> Column:
-        return -F.log(uniform(key, F.col("f"), j)) / F.col("v")
+    def score(j: str) -> str:
+        return f"-ln({uniform(key, 'f', j)}) / v"
 
     return _smallest(df, rows, k, score, clustered)
 
@@ -102,13 +98,12 @@ def cws_0bit(
     names = ("beta", "v1", "v2", "u1", "u2")
     keys = {name: stream_key(seed, name, party, repeat) for name in names}
 
-    def score(j: Column) -> Column:
+    def score(j: str) -> str:
         # ln a instead of a: the same order with one factor less to evaluate,
         # as a = r exp(-g) / exp(g (t - beta)) for g = -ln(u1 u2), r = -ln(v1 v2).
-        u = {name: uniform(key, F.col("f"), j) for name, key in keys.items()}
-        g = -F.log(u["u1"] * u["u2"])
-        level = F.floor(F.log(F.col("v")) / g + u["beta"])
-        return F.log(-F.log(u["v1"] * u["v2"])) - g * (level - u["beta"] + F.lit(1.0))
+        beta, v1, v2, u1, u2 = (uniform(keys[name], "f", j) for name in names)
+        g = f"(-ln({u1} * {u2}))"
+        return f"ln(-ln({v1} * {v2})) - {g} * (floor(ln(v) / {g} + {beta}) - {beta} + 1.0D)"
 
     return _smallest(df, rows, k, score, clustered)
 
@@ -129,17 +124,14 @@ def rff(
 ) -> DataFrame:
     """D(row_id, j, v): sqrt(2/k) cos(x.w_j + b_j), w ~ N(0, 2 gamma), b ~ U(0, 2 pi)."""
     radius, angle, phase = (stream_key(seed, name, party) for name in ("n1", "n2", "b"))
-    spread = F.lit(math.sqrt(2.0 * gamma))
-    marker = rows.select("row_id", F.lit(0).cast("bigint").alias("f"), F.lit(0.0).alias("v"))
+    spread = math.sqrt(2.0 * gamma)
+    marker = rows.selectExpr("row_id", "0L as f", "0.0D as v")
     fanned, draws, size = _blocked(df.select("row_id", "f", "v").unionByName(marker), k, clustered)
-    dots = [
-        F.sum(F.col("v") * (normal(radius, angle, F.col("f"), j) * spread)).alias(f"c{t}")
-        for t, j in enumerate(draws)
-    ]
+    dots = [F.expr(f"sum(v * ({normal(radius, angle, 'f', j)} * {spread!r}D)) as c{t}") for t, j in enumerate(draws)]
     wide = fanned.groupBy("row_id", "blk").agg(*dots)
-    long = _unfold(wide, [F.col(f"c{t}") for t in range(size)], size, k, "z")
-    turn = uniform(phase, F.col("j")) * F.lit(2.0 * math.pi)
-    return long.select("row_id", "j", (F.lit(math.sqrt(2.0 / k)) * F.cos(F.col("z") + turn)).alias("v"))
+    long = _unfold(wide, [f"c{t}" for t in range(size)], size, k, "z")
+    turn = f"{uniform(phase, 'j')} * {2.0 * math.pi!r}D"
+    return long.selectExpr("row_id", "j", f"{math.sqrt(2.0 / k)!r}D * cos(z + {turn}) as v")
 
 
 def _convolve(k: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -184,15 +176,15 @@ def tensor_sketch(
     degree * k entries whatever its size; the convolution is a Fourier product
     per row, not a join of the row's buckets with each other.
     """
-    constant = rows.select("row_id", F.lit(n).cast("bigint").alias("f"), F.lit(math.sqrt(coef0)).alias("v"))
-    scaled = df.select("row_id", "f", (F.col("v") * F.lit(math.sqrt(gamma))).alias("v")).unionByName(constant)
+    constant = rows.selectExpr("row_id", f"{n}L as f", f"{math.sqrt(coef0)!r}D as v")
+    scaled = df.selectExpr("row_id", "f", f"v * {math.sqrt(gamma)!r}D as v").unionByName(constant)
 
-    def entry(d: int) -> Column:
-        bucket = below(stream_key(seed, f"h{d + 1}", party), k, F.col("f"))
-        signed = sign(stream_key(seed, f"s{d + 1}", party), F.col("f")) * F.col("v")
-        return F.struct(F.lit(d).alias("d"), bucket.cast("int").alias("bucket"), signed.alias("x"))
+    def entry(d: int) -> str:
+        bucket = below(stream_key(seed, f"h{d + 1}", party), k, "f")
+        signed = f"{sign(stream_key(seed, f's{d + 1}', party), 'f')} * v"
+        return f"struct({d} as d, cast({bucket} as int) as bucket, {signed} as x)"
 
-    fanned = scaled.select("row_id", F.inline(F.array(*[entry(d) for d in range(degree)])))
+    fanned = scaled.selectExpr("row_id", f"inline(array({', '.join(entry(d) for d in range(degree))}))")
     sums = fanned.groupBy("row_id", "d", "bucket").agg(F.sum("x").alias("x"))
     packed = sums.groupBy("row_id").agg(F.collect_list(F.struct("d", "bucket", "x")).alias("cells"))
     dense = packed.mapInArrow(_convolve(k, degree), "row_id bigint, out array<double>")

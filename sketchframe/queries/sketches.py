@@ -266,12 +266,10 @@ def sketch_bbit(spark, root):
 def hash_coefficients(spark, root):
     """How the coefficients of each draw spread the parts over the buckets."""
     parts = views.table(spark, root, "part").select((F.col("p_partkey") + 1).alias("s"))
-    draws = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(K - 1).cast("bigint")))
-    spread = parts.select("s", draws.alias("j"))
-    a, b = expand.coefficients(F.col("j"), 16)
-    bucket = F.pmod(a * F.col("s") + b, F.lit(16).cast("bigint"))
-    counted = spread.groupBy("j", bucket.alias("bucket")).agg(F.count("*").alias("features"))
-    return counted.select("j", a.alias("a"), b.alias("b"), "bucket", "features")
+    spread = parts.selectExpr("s", f"explode(sequence(0L, {K - 1}L)) as j")
+    a, b = expand.coefficients(16)
+    counted = spread.selectExpr("j", f"pmod({a} * s + {b}, 16L) as bucket").groupBy("j", "bucket").agg(F.count("*").alias("features"))
+    return counted.selectExpr("j", f"{a} as a", f"{b} as b", "bucket", "features")
 
 
 def two_parties(spark, root, method="SM"):
