@@ -7,8 +7,12 @@ Features are X(row_id, f, v), labels y(row_id, label), weights W with a column
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -16,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchframe.functions.numeric import approx_sigmoid, logistic, taylor_term, threshold
-from sketchframe.operators.reshape import batch_rows, to_dense
+from sketchframe.operators.reshape import batch_rows, batch_sizes, to_dense
 from sketchframe.session import BROADCAST_ROWS, fresh_path, maybe_broadcast, write_out
 
 
@@ -62,6 +66,9 @@ def to_dense_vectors(df: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return cells.select("row_id", array_to_vector(F.col("e.v")).alias("features"))
 
 
+ROWS_PER_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class LinearModel:
     """A fitted MLlib model and the labels behind its class numbers."""
@@ -79,7 +86,8 @@ def train_linear(vectors: DataFrame, y: DataFrame, C: float = 1.0, tol: float =
     classes = sorted(r[0] for r in y.select("label").distinct().collect())  # one entry per class
     m = y.count()
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    data = data.select("features", index.cast("double").alias("label")).persist()
+    # A solver pass costs a task per partition, so small tables get few of them.
+    data = data.select("features", index.cast("double").alias("label")).coalesce(1 + m // ROWS_PER_TASK).persist()
     solver = LogisticRegression(
         fitIntercept=False, standardization=False, regParam=1.0 / (C * m), tol=tol, maxIter=max_iter
     )
@@ -133,104 +141,171 @@ class MinibatchModel:
     metrics: DataFrame
 
 
-def _gradient(cells: DataFrame, labels: DataFrame, weights: DataFrame, classes: list[int], cfg: MinibatchConfig) -> DataFrame:
-    """(class, f, g) of one batch; the row f = -1 carries the batch's loss.
+class _PackedSteps:
+    """Steps of a model narrow enough to broadcast.
 
-    ``cells`` and ``labels`` hold one batch, so ``labels`` and everything keyed
-    by its rows has at most batch_size * classes records.
+    A row is packed as one list, which the width bounds, and a step is one pass
+    over the rows of its batch: every task sums its part of the gradient in
+    numpy, and Spark adds the parts up.  The weights are arrays on the driver.
     """
-    held = len(classes) * cfg.batch_size
-    products = cells.join(maybe_broadcast(weights, len(classes) * cfg.width), "f")
-    terms = products.select("class", "row_id", (F.col("v") * F.col("w")).alias("p"))
-    every = F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
-    targets = labels.select("row_id", "label", "size", every)
-    target = (F.col("label") == F.col("class")).cast("double").alias("t")
-    sums = terms.groupBy("class", "row_id").agg(F.sum("p").alias("z"))
-    scored = targets.join(maybe_broadcast(sums, held), ["class", "row_id"], "left").select(
-        "class", "row_id", "size", target, F.coalesce("z", F.lit(0.0)).alias("z")
-    )
-    guess = approx_sigmoid(F.col("z"), cfg.sigmoid)
-    basis = guess if cfg.loss_on == "prob" else F.col("z")
-    errors = scored.select(
-        "class", "row_id", "size", (guess - F.col("t")).alias("e"), taylor_term(basis, F.col("t"), F.col("size")).alias("loss")
-    )
-    slope = F.sum(F.col("v") * F.col("e") / F.col("size")).alias("g")
-    gradient = cells.join(maybe_broadcast(errors, held), "row_id").groupBy("class", "f").agg(slope)
-    loss = errors.groupBy("class").agg(F.sum("loss").alias("g")).select("class", F.lit(-1).cast("bigint").alias("f"), "g")
-    return gradient.unionByName(loss)
+
+    def __init__(self, x: DataFrame, labels: DataFrame, cfg: MinibatchConfig):
+        self.spark, self.cfg = x.sparkSession, cfg
+        packed = x.groupBy("row_id").agg(F.collect_list(F.struct(F.col("f").cast("int").alias("f"), "v")).alias("cells"))
+        rows = labels.join(packed, "row_id", "left").select(
+            "batch", "label", "size", F.coalesce("cells", F.array().cast("array<struct<f:int,v:double>>")).alias("cells")
+        )
+        self.rows = write_out(rows.repartitionByRange("batch").sortWithinPartitions("batch"), "packed")
+
+    def start(self, classes: list[int]) -> dict[int, np.ndarray]:
+        return {c: np.zeros(self.cfg.width) for c in classes}
+
+    def step(self, weights: dict[int, np.ndarray], batch: int, size: int, active: list[int]):
+        cfg = self.cfg
+        shared = self.spark.sparkContext.broadcast({c: weights[c] for c in active})
+
+        def contributions(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            slope = {c: np.zeros(cfg.width) for c in model}
+            loss = dict.fromkeys(model, 0.0)
+            for frame in frames:
+                lists = frame.column("cells")
+                entries = lists.flatten()
+                f, v = (entries.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                row = np.repeat(np.arange(frame.num_rows), np.diff(lists.offsets.to_numpy()))
+                label, count = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("label", "size"))
+                for c, w in model.items():
+                    z = np.bincount(row, v * w[f], minlength=frame.num_rows)
+                    target = (label == c).astype(float)
+                    guess = approx_sigmoid(z, cfg.sigmoid)
+                    error = (guess - target) / count
+                    slope[c] += np.bincount(f, v * error[row], minlength=cfg.width)
+                    loss[c] += taylor_term(guess if cfg.loss_on == "prob" else z, target, count).sum()
+            for c in model:
+                f = slope[c].nonzero()[0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(f) + 1, c, dtype=np.int32)),
+                        pa.array(np.append(f, -1).astype(np.int64)),
+                        pa.array(np.append(slope[c][f], loss[c])),
+                    ],
+                    names=["class", "f", "g"],
+                )
+
+        parts = self.rows.where(F.col("batch") == batch).mapInArrow(contributions, "class int, f bigint, g double")
+        sums = parts.groupBy("class", "f").agg(F.sum("g").alias("g")).toPandas()  # at most classes * (width + 1) rows
+        shared.unpersist()
+        moved, losses = dict(weights), {}
+        decay = 1.0 - cfg.lam * cfg.alpha / size
+        for c in active:
+            mine = sums[sums["class"] == c]
+            slope = mine[mine.f >= 0]
+            gradient = np.zeros(cfg.width)
+            gradient[slope.f.to_numpy()] = slope.g.to_numpy()
+            moved[c] = weights[c] * decay - cfg.penalty * cfg.alpha * gradient
+            losses[c] = float(mine.g[mine.f < 0].sum())
+        return moved, losses
+
+    def table(self, weights: dict[int, np.ndarray]) -> DataFrame:
+        rows = [pd.DataFrame({"class": c, "f": w.nonzero()[0], "w": w[w != 0]}) for c, w in weights.items()]
+        return self.spark.createDataFrame(pd.concat(rows), WEIGHTS)
+
+
+class _JoinedSteps:
+    """Steps of a model of any width: the weights are a table.
+
+    Each step writes the new weights to the shared folder, which keeps the
+    lineage short.  A batch has at most batch_size rows, so what is keyed by
+    its rows may be broadcast; cells and weights are joined by shuffle.
+    """
+
+    def __init__(self, x: DataFrame, labels: DataFrame, cfg: MinibatchConfig):
+        self.spark, self.cfg, self.labels = x.sparkSession, cfg, labels
+        cells = x.join(labels.select("batch", "row_id"), "row_id").select("batch", "row_id", "f", "v")
+        self.cells = write_out(cells.repartitionByRange("batch", "row_id").sortWithinPartitions("batch"), "cells")
+
+    def start(self, classes: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([], WEIGHTS)
+
+    def step(self, weights: DataFrame, batch: int, size: int, active: list[int]):
+        cfg, here = self.cfg, F.col("batch") == batch
+        cells, held = self.cells.where(here), len(active) * cfg.batch_size
+        moving = weights.where(F.col("class").isin(active))
+        scores = (
+            cells.join(moving, "f")
+            .select("class", "row_id", (F.col("v") * F.col("w")).alias("p"))
+            .groupBy("class", "row_id")
+            .agg(F.sum("p").alias("z"))
+        )
+        every = F.explode(F.array(*[F.lit(c) for c in active])).alias("class")
+        targets = self.labels.where(here).select("row_id", "label", "size", every)
+        z, target = F.coalesce("z", F.lit(0.0)), (F.col("label") == F.col("class")).cast("double")
+        guess = approx_sigmoid(z, cfg.sigmoid)
+        errors = targets.join(maybe_broadcast(scores, held), ["class", "row_id"], "left").select(
+            "class",
+            "row_id",
+            ((guess - target) / F.col("size")).alias("e"),
+            taylor_term(guess if cfg.loss_on == "prob" else z, target, F.col("size")).alias("loss"),
+        )
+        slope = F.sum(F.col("v") * F.col("e")).alias("g")
+        gradient = cells.join(maybe_broadcast(errors, held), "row_id").groupBy("class", "f").agg(slope)
+        decay = 1.0 - cfg.lam * cfg.alpha / size
+        w = F.coalesce("w", F.lit(0.0)) * decay - F.coalesce("g", F.lit(0.0)) * (cfg.penalty * cfg.alpha)
+        moved = moving.join(gradient, ["class", "f"], "full_outer").select("class", "f", w.alias("w"))
+        still = weights.where(~F.col("class").isin(active))
+        losses = {r["class"]: r["loss"] for r in errors.groupBy("class").agg(F.sum("loss").alias("loss")).collect()}
+        return write_out(moved.unionByName(still), "step"), losses
+
+    def table(self, weights: DataFrame) -> DataFrame:
+        return weights
+
+
+WEIGHTS = "class int, f bigint, w double"
 
 
 def minibatch_lr(
-    x: DataFrame,
-    y: DataFrame,
-    cfg: MinibatchConfig,
-    classes: list[int] | None = None,
+    x: DataFrame, y: DataFrame, cfg: MinibatchConfig, classes: list[int] | None = None, packed: bool | None = None
 ) -> MinibatchModel:
     """Sequential mini-batch logistic regression; all classes share each pass.
 
-    The cells are laid out once by batch, so a step's scan prunes to its own
-    batch.  The weights travel through the driver only while their number is
-    known to be small; wider models stay tables in the shared folder, written
-    after every step, which also keeps the lineage short.
+    Rows are laid out once by batch, so a step's scan prunes to its own batch.
+    Without ``classes`` the labels are 0 and 1.  ``packed`` chooses how a step
+    runs and follows from the model's size if left out.
     """
     spark = x.sparkSession
     classes = list(classes or [1])
-    small = len(classes) * cfg.width <= BROADCAST_ROWS
+    if packed is None:
+        packed = len(classes) * cfg.width <= BROADCAST_ROWS
     batches = batch_rows(y.select("row_id"), cfg.batch_size)
-    sizes = batches.groupBy("batch").agg(F.count("*").alias("size"))
-    labels = y.join(batches, "row_id").join(sizes, "batch").select("batch", "row_id", "label", "size")
+    labels = y.join(batches, "row_id").join(batch_sizes(batches), "batch").select("batch", "row_id", "label", "size")
     labels = write_out(labels.repartitionByRange("batch").sortWithinPartitions("batch"), "labels")
-    cells = x.join(labels.select("batch", "row_id"), "row_id").select("batch", "row_id", "f", "v")
-    cells = write_out(cells.repartitionByRange("batch", "row_id").sortWithinPartitions("batch"), "cells")
-    counts = labels.agg(F.max("batch"), F.count("*")).first()
-    n_batches, m = counts[0] + 1, counts[1]
-
-    shape = "class int, f bigint, w double"
-    weights = spark.createDataFrame([], shape)
+    m = labels.count()
+    sizes = [min(cfg.batch_size, m - start) for start in range(0, m, cfg.batch_size)]
+    steps = (_PackedSteps if packed else _JoinedSteps)(x, labels, cfg)
+    weights = steps.start(classes)
     snapshots = fresh_path(spark, "epochs")
     previous: dict[int, float] = {}
-    active, frozen, log = list(classes), weights, []
+    active, log = list(classes), []
     for epoch in range(1, cfg.epochs + 1):
         total = dict.fromkeys(active, 0.0)
-        for b in range(n_batches):
-            here = F.col("batch") == b
-            gradient = _gradient(cells.where(here), labels.where(here), weights, active, cfg)
-            size = cfg.batch_size if b < n_batches - 1 else m - b * cfg.batch_size
-            decay = 1.0 - cfg.lam * cfg.alpha / size
-            w = F.coalesce("w", F.lit(0.0)) * F.lit(decay) - F.coalesce("g", F.lit(0.0)) * F.lit(cfg.penalty * cfg.alpha)
-            stepped = weights.join(gradient, ["class", "f"], "full_outer").select(
-                "class", "f", F.when(F.col("f") < 0, F.col("g")).otherwise(w).alias("w")
-            )
-            stepped = stepped.select(F.col("class").cast("int").alias("class"), "f", "w")
-            if small:
-                table = stepped.toPandas()
-                losses = table[table.f < 0]
-                total_batch = dict(zip(losses["class"], losses["w"]))
-                weights = spark.createDataFrame(table[table.f >= 0], shape)
-            else:
-                written = write_out(stepped, "step")
-                total_batch = {r["class"]: r["w"] for r in written.where(F.col("f") < 0).collect()}
-                weights = written.where(F.col("f") >= 0)
-            for c, loss in total_batch.items():
+        for batch, size in enumerate(sizes):
+            weights, losses = steps.step(weights, batch, size, active)
+            for c, loss in losses.items():
                 total[c] += loss
-        weights.unionByName(frozen).write.parquet(f"{snapshots}/epoch={epoch}")
-        done = []
+        steps.table(weights).write.parquet(f"{snapshots}/epoch={epoch}")
+        done = set()
         for c in active:
             loss = total[c] / m
             overflow = not loss < 1e5
             converged = c in previous and abs(previous[c] - loss) < cfg.eps
             previous[c] = loss
-            log.append((c, epoch, float(loss), "NaN" if overflow else "converged" if converged else "ok"))
+            log.append((c, epoch, loss, "NaN" if overflow else "converged" if converged else "ok"))
             if (converged and cfg.stop_on_converge) or (overflow and cfg.stop_on_overflow):
-                done.append(c)
-        if done:
-            stored = spark.read.schema(shape).parquet(f"{snapshots}/epoch={epoch}")
-            frozen = stored.where(~F.col("class").isin([c for c in active if c not in done]))
-            active = [c for c in active if c not in done]
-            weights = stored.where(F.col("class").isin(active))
+                done.add(c)
+        active = [c for c in active if c not in done]
         if not active:
             break
-    kept = spark.read.schema("class int, f bigint, w double, epoch int").parquet(snapshots)
+    kept = spark.read.schema(f"{WEIGHTS}, epoch int").parquet(snapshots)
     metrics = spark.createDataFrame(log, "class int, epoch int, loss double, status string")
     return MinibatchModel(kept.select("class", "epoch", "f", "w"), metrics)
 

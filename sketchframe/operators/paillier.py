@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,28 +47,55 @@ def _unpack(c: bytes) -> int:
     return int.from_bytes(c, "big")
 
 
+class Blinder:
+    """Powers of one fixed n-th residue, eight exponent bits per multiplication.
+
+    Blinding by h^x with h = r^n needs the table once per task instead of a
+    full power per value.
+    """
+
+    def __init__(self, key: PublicKey):
+        self.square = key.square
+        seed = hashlib.sha512(key.pack(key.n)).digest()
+        base = pow(int.from_bytes(seed, "big") % key.n | 1, key.n, key.square)
+        self.windows = []
+        for _ in range((key.n.bit_length() + 7) // 8):
+            powers = [1]
+            for _ in range(255):
+                powers.append(powers[-1] * base % self.square)
+            self.windows.append(powers)
+            base = powers[-1] * base % self.square
+
+    def power(self, exponent: bytes) -> int:
+        """h to the little-endian ``exponent``."""
+        out = 1
+        for powers, digit in zip(self.windows, exponent):
+            out = out * powers[digit] % self.square
+        return out
+
+
 def encrypt_column(df: DataFrame, value: str, ids: list[str], key: PublicKey, secret: bytes, exponent: int = 4) -> DataFrame:
     """Replace ``value`` by (c BINARY, exponent INT).
 
-    The blinding factor of a row is a keyed digest of its ids, so a retried
+    The blinding exponent of a row is a keyed digest of its ids, so a retried
     task writes the same ciphertext; the ids must be unique and the secret
     fresh per table.
     """
     keep = [c for c in df.columns if c != value]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("c", T.BinaryType()), T.StructField("exponent", T.IntegerType())])
-    n, square = key.n, key.square
-    limit = n // 2
+    n, square, scale = key.n, key.square, BASE**exponent
+    limit, length = n // 2, (n.bit_length() + 7) // 8
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blinder = Blinder(key)
         for frame in frames:
             out = []
-            for x, *parts in frame[[value, *ids]].itertuples(index=False):
-                plain = round(x * BASE**exponent)
+            for x, *parts in zip(frame[value].tolist(), *(frame[i].tolist() for i in ids)):
+                plain = round(x * scale)
                 if abs(plain) > limit:
                     raise ValueError("value does not fit the key")
-                digest = hmac.new(secret, repr(parts).encode(), hashlib.sha512).digest()
-                blind = int.from_bytes(digest, "big") % (n - 1) + 1
-                out.append(key.pack((1 + n * (plain % n)) % square * pow(blind, n, square) % square))
+                blind = hashlib.shake_256(secret + repr(parts).encode()).digest(length)
+                out.append(key.pack((1 + n * (plain % n)) * blinder.power(blind) % square))
             yield frame[keep].assign(c=out, exponent=exponent)
 
     return df.select(*keep, value).mapInPandas(run, schema)
