@@ -145,10 +145,16 @@ def head_rows(df: DataFrame, rows: DataFrame, length: int = 100) -> DataFrame:
 
 
 def to_dense(df: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """Every one of the m * n cells, zeros included."""
-    columns = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    grid = rows.select("row_id", F.explode(columns).alias("f"))
-    return grid.join(df, ["row_id", "f"], "left").select("row_id", "f", F.coalesce("v", F.lit(0.0)).alias("v"))
+    """Every one of the m * n cells, zeros included.
+
+    Only the stored cells and one marker per row are shuffled.  The marker
+    unfolds into the row's n zeros where the row's cells already are, and a
+    row's group has at most n members.
+    """
+    marker = rows.selectExpr("row_id", "-1L as f", "0.0D as v")
+    gathered = df.select("row_id", "f", "v").unionByName(marker).repartition("row_id")
+    cells = gathered.selectExpr("row_id", f"explode(if(f < 0, sequence(0L, {n - 1}L), array(f))) as f", "v")
+    return cells.groupBy("row_id", "f").agg(F.sum("v").alias("v"))
 
 
 def to_long(df: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def row_index(df: DataFrame, by: str = "row_id", tie: str | None = None, buckets
     parts = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("_by", F.col(by).cast("double"))
     probs = [i / parts for i in range(1, parts)]
-    edges = sorted(set(keyed.approxQuantile("_by", probs, 1.0 / (4 * parts))))
+    edges = sorted(set(keyed.approxQuantile("_by", probs, 1.0 / (4 * parts)))) or [0.0]
     splits = [-float("inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket")
     placed = cut.transform(keyed).drop("_by")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchframe.session import maybe_broadcast
+
 
 class SparseData(NamedTuple):
     """Cells X(row_id, f, v), labels y(row_id, label), rows(row_id) and the width."""
@@ -21,8 +23,9 @@ def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | No
     """(row_id, value): lines numbered from 0 in file order.
 
     A task numbers its own lines; each file block then gets the total of the
-    blocks before it.  The second pass over the text only counts, and nothing
-    is sorted or moved except one row per block.
+    blocks before it.  One pass over the text counts, its answer (a row per
+    file block, like the listing of the files) is kept on the driver, and the
+    text itself is not moved.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -32,11 +35,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | No
     if keep is not None:
         lines = lines.where(keep)
     tagged = lines.withColumn("_local", F.monotonically_increasing_id())
-    blocks = tagged.groupBy("_file", "_block").agg(F.min("_local").alias("_first"), F.count("*").alias("_c"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    joined = tagged.join(bases, ["_file", "_block"])
-    return joined.select((F.col("_base") + F.col("_local") - F.col("_first")).alias("row_id"), "value")
+    blocks = tagged.groupBy("_file", "_block").agg(F.min("_local").alias("first"), F.count("*").alias("size")).collect()
+    offsets, base = [], 0
+    for block in sorted(blocks):
+        offsets.append((block["_file"], block["_block"], base - block["first"]))
+        base += block["size"]
+    table = spark.createDataFrame(offsets, "_file string, _block bigint, _shift bigint")
+    joined = tagged.join(maybe_broadcast(table, len(offsets)), ["_file", "_block"])
+    return joined.select((F.col("_local") + F.col("_shift")).alias("row_id"), "value")
 
 
 def read_svmlight(
