@@ -322,7 +322,7 @@ def taylor_loss(scored: DataFrame) -> DataFrame:
 
 def stop_rule(losses: DataFrame, max_iter: int, eps: float = 1e-5, on_converge: bool = True) -> DataFrame:
     """(stop_epoch, status) of a loss table (epoch, loss), one row per epoch."""
-    step = F.abs(F.lag("loss").over(Window.orderBy("epoch")) - F.col("loss"))
+    step = F.abs(F.lag("loss").over(Window.orderBy("epoch")) - F.col("loss"))  # a row per epoch
     finite = F.col("loss") < 1e5  # false for NaN, which sorts above all numbers
     marked = losses.withColumn("converged", F.coalesce(step < eps, F.lit(False)) & F.lit(on_converge))
     ends = marked.where(F.col("converged") | (F.col("epoch") >= max_iter))

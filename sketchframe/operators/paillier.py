@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 BASE = 16
 # Partial products of one key are combined in this many groups before the last step.
-SALTS = 32
+SALTS = 256
+# Distinct keys a task holds before it passes its products on.
+HELD_KEYS = 50_000
 
 
 @dataclass(frozen=True)
@@ -101,37 +103,51 @@ def encrypt_column(df: DataFrame, value: str, ids: list[str], key: PublicKey, se
     return df.select(*keep, value).mapInPandas(run, schema)
 
 
-def _combine(frame: pd.DataFrame, by: list[str], key: PublicKey) -> pd.DataFrame:
-    """Product of the ciphertexts of each key, aligned to the largest exponent."""
+def _multiply(frames: Iterable[pd.DataFrame], by: list[str], key: PublicKey) -> Iterator[pd.DataFrame]:
+    """Products of the ciphertexts of each key, aligned to the largest exponent.
+
+    Keys are held up to ``HELD_KEYS`` at a time and passed on early beyond that.
+    """
     square = key.square
-    acc: dict[tuple, tuple[int, int]] = {}
-    for *group, c, e in frame[[*by, "c", "exponent"]].itertuples(index=False):
-        k, c = tuple(group), _unpack(c)
-        if k in acc:
-            have, e0 = acc[k]
-            top = max(e, e0)
-            c = pow(c, BASE ** (top - e), square) * pow(have, BASE ** (top - e0), square) % square
-            e = top
-        acc[k] = (c, e)
-    columns = {name: [k[i] for k in acc] for i, name in enumerate(by)}
-    return pd.DataFrame({**columns, "c": [key.pack(c) for c, _ in acc.values()], "exponent": [e for _, e in acc.values()]})
+    held: dict[tuple, tuple[int, int]] = {}
+
+    def flush() -> pd.DataFrame:
+        columns = {name: [k[i] for k in held] for i, name in enumerate(by)}
+        sealed = [key.pack(c) for c, _ in held.values()]
+        out = pd.DataFrame({**columns, "c": sealed, "exponent": [e for _, e in held.values()]})
+        held.clear()
+        return out
+
+    for frame in frames:
+        for *group, c, e in zip(*(frame[name].tolist() for name in [*by, "c", "exponent"])):
+            k, c = tuple(group), _unpack(c)
+            if k in held:
+                have, e0 = held[k]
+                if e != e0:
+                    top = max(e, e0)
+                    c, have, e = pow(c, BASE ** (top - e), square), pow(have, BASE ** (top - e0), square), top
+                c = c * have % square
+            held[k] = (c, e)
+        if len(held) > HELD_KEYS:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def paillier_sum(df: DataFrame, by: list[str], key: PublicKey) -> DataFrame:
     """Encrypted sum of a column per key: (by..., c, exponent).
 
-    Ciphertexts are multiplied within each Arrow batch before the shuffle, then
-    in ``SALTS`` groups per key, then per key: a key that holds a third of the
+    Ciphertexts are multiplied within each task before the shuffle, then in
+    ``SALTS`` groups per key, then per key: a key that holds a third of the
     rows reaches the last step as at most ``SALTS`` records.
     """
     fields = df.select(*by, "c", "exponent").schema
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield _combine(frame, by, key)
+        return _multiply(frames, by, key)
 
     def per_group(frame: pd.DataFrame) -> pd.DataFrame:
-        return _combine(frame, by, key)
+        return next(_multiply([frame], by, key))
 
     local = df.select(*by, "c", "exponent").mapInPandas(partial, fields)
     salt = F.pmod(F.xxhash64("c"), F.lit(SALTS))

@@ -45,7 +45,7 @@ def fit_maxabs(df: DataFrame) -> DataFrame:
     return df.groupBy("f").agg(F.lit(0.0).alias("shift"), F.max(F.abs("v")).alias("spread"))
 
 
-def fit_robust(df: DataFrame, rows: DataFrame, m: int, n: int, accuracy: int = 1000) -> DataFrame:
+def fit_robust(df: DataFrame, rows: DataFrame, m: int, n: int, accuracy: int = 10_000) -> DataFrame:
     """Median and interquartile range, exact, without sorting a column in one task.
 
     An approximate percentile brackets each wanted rank; only the distinct

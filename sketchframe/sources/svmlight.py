@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sketchframe.session import maybe_broadcast
+from sketchframe.session import maybe_broadcast, write_out
 
 
 class SparseData(NamedTuple):
@@ -23,9 +23,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | No
     """(row_id, value): lines numbered from 0 in file order.
 
     A task numbers its own lines; each file block then gets the total of the
-    blocks before it.  One pass over the text counts, its answer (a row per
-    file block, like the listing of the files) is kept on the driver, and the
-    text itself is not moved.
+    blocks before it.  One pass over the text counts and stores one record per
+    file block; the text itself is not moved while those are few.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -35,14 +34,12 @@ def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | No
     if keep is not None:
         lines = lines.where(keep)
     tagged = lines.withColumn("_local", F.monotonically_increasing_id())
-    blocks = tagged.groupBy("_file", "_block").agg(F.min("_local").alias("first"), F.count("*").alias("size")).collect()
-    offsets, base = [], 0
-    for block in sorted(blocks):
-        offsets.append((block["_file"], block["_block"], base - block["first"]))
-        base += block["size"]
-    table = spark.createDataFrame(offsets, "_file string, _block bigint, _shift bigint")
-    joined = tagged.join(maybe_broadcast(table, len(offsets)), ["_file", "_block"])
-    return joined.select((F.col("_local") + F.col("_shift")).alias("row_id"), "value")
+    counted = tagged.groupBy("_file", "_block").agg(F.min("_local").alias("first"), F.count("*").alias("size"))
+    blocks = write_out(counted, "blocks")
+    before = F.sum("size").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    shift = (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_shift")
+    offsets = maybe_broadcast(blocks.select("_file", "_block", shift), blocks.count())
+    return tagged.join(offsets, ["_file", "_block"]).select((F.col("_local") + F.col("_shift")).alias("row_id"), "value")
 
 
 def read_svmlight(

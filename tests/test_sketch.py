@@ -129,13 +129,12 @@ def test_a_heavy_row_is_split(spark):
         )
         rows = x.select("row_id").distinct()
         out = sketch.p_minhash(x, rows, 4)
-        hot = [r["s"] for r in out.where("row_id = 0").orderBy("j").collect()]
-        plan = out._jdf.queryExecution()
-        out.write.format("noop").mode("overwrite").save()
-        text = plan.executedPlan().toString()
-        partial, final = text.rindex("partial_min"), text.index("SortAggregate")
-        assert final < text.index("Exchange hashpartitioning(row_id") < partial
-        assert text.index("REBALANCE_PARTITIONS_BY_COL") > partial
+        hot = {r["j"]: r["s"] for r in out.collect() if r["row_id"] == 0}
+        final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        merge, pieces = final.index("SortAggregate"), final.index("partial_min")
+        assert merge < final.index("Exchange hashpartitioning(row_id") < pieces
+        reads = final[pieces : final.index("REBALANCE_PARTITIONS_BY_COL")]
+        assert "AQEShuffleRead" in reads and "skewed" in reads
     finally:
         for key, value in old.items():
             spark.conf.set(key, value)
