@@ -36,6 +36,7 @@ class SketchConfig:
     degree: int = 2
     normalization: bool = False
     portion: float = 0.0
+    settle_ties: bool = True
 
     @property
     def sampled(self) -> bool:
@@ -75,9 +76,9 @@ def samples(split: Split, cfg: SketchConfig, k: int, n: int, party: str = "") ->
     """S(row_id, j, s) from 1, or D(row_id, j, v), of one party's columns."""
     x, rows = split
     if cfg.method == "SM":
-        return sk.one_based(sk.p_minhash(x, rows, k, cfg.seed, party))
+        return sk.one_based(sk.p_minhash(x, rows, k, cfg.seed, party, settle_ties=cfg.settle_ties))
     if cfg.method == "MM":
-        return sk.one_based(sk.cws_0bit(x, rows, k, cfg.seed, party))
+        return sk.one_based(sk.cws_0bit(x, rows, k, cfg.seed, party, settle_ties=cfg.settle_ties))
     if cfg.method == "RBF":
         return sk.rff(x, rows, k, cfg.gamma, cfg.seed, party)
     if cfg.method == "Poly":

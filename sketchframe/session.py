@@ -30,13 +30,15 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+
+    Where the session names none, as in tests, a temporary one is made.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="sketchframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sketchframe-"))
+        root = context.getCheckpointDir()
     return root
 
 

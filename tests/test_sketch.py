@@ -67,9 +67,9 @@ ROWS = {
 
 
 @pytest.mark.parametrize("draw, brute", [(sketch.p_minhash, brute_minhash), (sketch.cws_0bit, brute_cws)])
-@pytest.mark.parametrize("k", [5, 130])
-def test_samples_match_brute_force(cells, rows_of, draw, brute, k):
-    got = samples_of(draw(cells(ROWS), rows_of(ROWS), k, seed=3))
+@pytest.mark.parametrize("k, settle_ties", [(5, True), (130, True), (130, False)])
+def test_samples_match_brute_force(cells, rows_of, draw, brute, k, settle_ties):
+    got = samples_of(draw(cells(ROWS), rows_of(ROWS), k, seed=3, settle_ties=settle_ties))
     assert got == {r: brute(fv, k, 3) for r, fv in ROWS.items()}
 
 
