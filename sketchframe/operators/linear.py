@@ -15,9 +15,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sketchframe.functions.numeric import approx_sigmoid, logistic, taylor_term, threshold
 from sketchframe.operators.reshape import batch_rows, batch_sizes, to_dense
@@ -49,15 +50,22 @@ def threshold_classify(scored: DataFrame, cut: float = 0.5, negative: int = -1)
 
 
 def to_vectors(features: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(row_id, features) as sparse MLlib vectors; ``features`` has a column ``col``."""
+    """(row_id, features) as sparse MLlib vectors; ``features`` has a column ``col``.
 
-    @F.udf(VectorUDT())
-    def assemble(entries):
-        pairs = sorted((e["col"], float(e["v"])) for e in entries or [])
-        return SparseVector(width, [c for c, _ in pairs], [v for _, v in pairs])
-
-    packed = features.groupBy("row_id").agg(F.collect_list(F.struct("col", "v")).alias("e"))
-    return rows.join(packed, "row_id", "left").select("row_id", assemble("e").alias("features"))
+    A vector is stored as (type 0, size, indices, values).  No built-in function
+    makes a sparse one from arrays, but the JSON reader fills the vector type,
+    which keeps the assembly in the JVM.
+    """
+    marker = rows.selectExpr("row_id", "cast(null as bigint) as col", "cast(null as double) as v")
+    cells = features.select("row_id", "col", F.col("v").cast("double").alias("v")).unionByName(marker)
+    entry = F.when(F.col("col").isNotNull(), F.struct("col", "v"))  # collect_list skips the marker's null
+    packed = cells.groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    vector = F.struct(
+        F.lit(0).alias("type"), F.lit(width).alias("size"), F.col("e.col").alias("indices"), F.col("e.v").alias("values")
+    )
+    text = F.to_json(F.struct(vector.alias("features")))
+    shape = T.StructType([T.StructField("features", VectorUDT())])
+    return packed.select("row_id", F.from_json(text, shape)["features"].alias("features"))
 
 
 def to_dense_vectors(df: DataFrame, rows: DataFrame, n: int) -> DataFrame:

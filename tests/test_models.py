@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import as_dict
 from pyspark.errors import PySparkException
+from pyspark.ml.linalg import Vectors
 
 from sketchframe.operators import linear, paillier, shares
 from sketchframe.queries.sharing import TEST_KEY
@@ -82,6 +83,14 @@ def test_solver_reaches_the_optimum(spark, rows_of):
     assert guess == {i: int(x[i] @ w > 0) for i in range(60)}
 
 
+def test_sparse_vectors(spark, rows_of):
+    z = spark.createDataFrame([(0, 7, 1), (0, 2, 1), (2, 0, 1)], "row_id bigint, col bigint, v int")
+    got = {r["row_id"]: r["features"] for r in linear.to_vectors(z, rows_of(range(3)), 9).collect()}
+    assert got == {0: Vectors.sparse(9, {2: 1.0, 7: 1.0}), 1: Vectors.sparse(9, {}), 2: Vectors.sparse(9, {0: 1.0})}
+    real = z.selectExpr("row_id", "col", "v / 3.0D as v")
+    assert linear.to_vectors(real, rows_of([0]), 9).where("row_id = 0").first()["features"][2] == 1 / 3
+
+
 def test_one_vs_rest_keeps_the_labels(spark, rows_of):
     x = np.eye(3)[np.arange(30) % 3]
     y = np.array([-1, 4, 9])[np.arange(30) % 3]
