@@ -95,6 +95,11 @@ def split_width(n: int, portion: float) -> int:
 PORTION_CODES = {19: 0.1, 28: 0.2, 37: 0.3, 46: 0.4, 55: 0.5}
 
 
+def portion_from_code(code: int) -> float:
+    """0.3 for 37, as in three columns to seven."""
+    return PORTION_CODES[code]
+
+
 def vertical_split_at(df: DataFrame, n1: int) -> tuple[DataFrame, DataFrame]:
     """Columns below ``n1``, and the rest numbered from 0 again."""
     first = df.where(F.col("f") < n1)

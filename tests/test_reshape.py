@@ -53,7 +53,7 @@ def test_width(cells):
 
 def test_vertical_split_and_back(cells):
     x = cells({0: {0: 1.0, 2: 2.0, 3: 3.0}})
-    a, b = reshape.vertical_split(x, 7, 0.4)
+    a, b = reshape.vertical_split(x, 7, reshape.portion_from_code(46))
     assert as_dict(a) == {(0, 0): 1.0}
     assert as_dict(b) == {(0, 0): 2.0, (0, 1): 3.0}
     assert as_dict(joins.hstack(a, b, 2)) == as_dict(x)
