@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchframe.llm import toxicity
-from sketchframe.llm.common import Query, table
+from sketchframe.llm import bpe, decontaminate, exact, near, quality, toxicity
+from sketchframe.llm.common import Query, learnable, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -24,5 +24,45 @@ def query(name: str, sql: str | None = None):
 @query("op3_toxicity")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    held, learn = toxicity.learnable(5, 0)
+    held, learn = learnable(5, 0)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, root, "labels"), learn), held)
+
+
+@query(
+    "op4_exact_dedup",
+    """
+    with g as (
+        select coalesce(text, '') as t, max(doc_id) as keep_id, count(*) as group_size
+        from documents group by 1
+    )
+    select doc_id, keep_id, group_size,
+        coalesce(doc_id = keep_id, false) and row_number() over (partition by t, doc_id order by doc_id) = 1 as kept,
+        sha256(t) as text_sha256
+    from documents join g on coalesce(text, '') = t
+    """,
+)
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    found = exact.classes(table(spark, root, "documents"), keep="largest")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.digests(table(spark, root, "documents"), *bpe.public_vocabulary())
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return near.near_classes(table(spark, root, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, root, "documents"), table(spark, root, "benchmark")).drop("key")
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    held, learn = learnable(4, 2)
+    return quality.score(docs, quality.fit(docs, table(spark, root, "labels"), learn), held)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchframe.llm.common import remainder, texts
+from sketchframe.llm.common import bounded_sample, labelled, texts
 from sketchframe.llm.text import Flat, flat, salted
 from sketchframe.session import write_out
 
@@ -126,9 +126,12 @@ class BlockMaxIndex:
                 names = np.broadcast_to(self.order[start : start + near.shape[1]], near.shape)
                 if leave is not None:
                     near = np.where(names == leave[rows, None], 0.0, near)
+                better = near.max(axis=1) > best[rows, -1]
+                rows, near, names = rows[better], near[better], names[better]
                 both = np.concatenate([best[rows], near], axis=1)
                 ids = np.concatenate([found[rows], np.where(near > 0, names, -1)], axis=1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(both, top, 1)), axis=1), 1)
                 best[rows], found[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
         return best, found
 
@@ -169,18 +172,18 @@ class Model:
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, neighbours, cosines) of each text."""
         n = len(column)
-        out, ids, near = np.zeros(n), np.full((n, self.k), -1, np.int64), np.zeros((n, self.k))
-        for piece in flat(column):
-            row, term, times = self.vocabulary.count(piece)
-            for start in range(0, piece.n, 1024):
-                stop = min(start + 1024, piece.n)
-                a, b = np.searchsorted(row, [start, stop])
-                made = self.vectors(row[a:b] - start, term[a:b], times[a:b], stop - start)
-                cosines, found = self.index.search(made, self.k)
-                at = slice(piece.first + start, piece.first + stop)
-                out[at] = self.calibrated(self.votes(cosines, found))
-                near[at], ids[at] = cosines, found
-        return out, ids, near
+        cosines, found = np.zeros((n, self.k)), np.full((n, self.k), -1, np.int64)
+        parts = [(piece.first, *self.vocabulary.count(piece)) for piece in flat(column)]
+        if parts:
+            row = np.concatenate([first + r for first, r, _, _ in parts])
+            term, times = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+            told = np.unique(row)  # only these have a vector
+            for start in range(0, len(told), 2048):
+                some = told[start : start + 2048]
+                a, b = np.searchsorted(row, [some[0], some[-1] + 1])
+                made = self.vectors(np.searchsorted(some, row[a:b]), term[a:b], times[a:b], len(some))
+                cosines[some], found[some] = self.index.search(made, self.k)
+        return self.calibrated(self.votes(cosines, found)), found, cosines
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -218,21 +221,6 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(pos), pa.array(all_)], ["term", "pos", "n"])
 
 
-def labelled(labels: DataFrame, column: str, learn: Column) -> DataFrame:
-    """(doc_id, label) of the ids to learn from, one row each."""
-    wanted = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    return wanted.where("doc_id is not null and label in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("label").alias("label"))
-
-
-def bounded_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(doc_id, text, label): at most ``per_class`` ids of each label, those with the least hash."""
-    chosen = None
-    for label in (0, 1):
-        some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows of 12 bytes
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic", per_class: int = 5000, max_terms: int = 512, least_chi2: float = 30.0, k: int = 15
 ) -> Model:
@@ -332,9 +320,3 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array(shared.value.score(batch.column("text"))[0] < threshold))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
-
-
-def learnable(n: int, out: int) -> tuple[Column, Column]:
-    """(held out, may be learned from): whether the id's remainder is ``out``."""
-    held = remainder(n) == out
-    return held, ~held
