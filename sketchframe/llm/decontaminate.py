@@ -67,8 +67,14 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _hash(words: Column, start: Column, width: Column) -> Column:
-    return F.xxhash64(F.slice(words, start + 1, width))
+_START = "array<struct<pos:int,size:int,h:bigint>>"
+
+
+def _starts(words: Column, size: int) -> Column:
+    """Place and hash of every window of ``size`` words."""
+    places = F.sequence(F.lit(0), F.size(words) - size)
+    made = F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i + 1, size)).alias("h")))
+    return F.when(F.size(words) >= size, made.cast(_START)).otherwise(F.array().cast(_START))
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
@@ -97,13 +103,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     few = items.count() <= limit
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most `width` numbers
     base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
-    starts = [
-        F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("size"), _hash(F.col("t"), i, F.lit(n)).alias("h")))
-        for n in sizes
-    ]
-    empty = F.array().cast("array<struct<pos:int,size:int,h:bigint>>")
-    starts = [F.when(F.size("t") >= n, s.cast("array<struct<pos:int,size:int,h:bigint>>")).otherwise(empty) for n, s in zip(sizes, starts, strict=True)]
-    windows = starts[0] if len(starts) == 1 else F.concat(empty, *starts)
+    starts = [_starts(F.col("t"), n) for n in sizes]
+    empty = F.array().cast(_START)
+    windows = F.concat(empty, *starts) if len(starts) != 1 else starts[0]
     spread = base.select("doc_id", "text", "t", "r", F.explode(windows).alias("w")).select("doc_id", "text", "t", "r", "w.*")
     found = F.slice("t", F.col("pos") + 1, F.col("size")).alias("found")
     said = F.transform(F.slice("r", F.col("pos") + 1, F.col("size")), F.lower).alias("said")
