@@ -1,19 +1,20 @@
 """Near duplicates of weighted word shingles: ProbMinHash, banding, verification, classes.
 
 The similarity is the probability Jaccard index of the two weighted shingle sets.  A shingle of weight w
-is a Poisson process of rate w; every arrival picks one of ``m`` registers at random, which keeps the first
+is a Poisson process of rate w; every arrival picks one of ``registers`` registers at random, which keeps the first
 arrival it sees.  A shingle stops as soon as its next arrival is later than what every register of its text
 holds already.  Two texts agree in a register with a probability equal to their similarity.
 
 1. One pass gives every text a fingerprint of its whole shingle set, its bands and its signature.
    Equal sets are one node from here on, so thousands of copies cost one row.
-2. A bucket (band, hash) links each member to the bucket's least node, never member to member.
-   Pairs whose signatures agree too little are dropped: ``slack`` standard deviations below
-   the threshold, beyond which a true pair falls about once in 300,000 times.
-3. The others are verified on their texts, exactly, and linked into components.
-4. Members of one bucket that are still in different components are compared with each other,
-   the same way.  What is already connected is not paired again, so a group of near copies does
-   not square; no other pair of a bucket is left out.
+2. A bucket (band, hash) links each member to one leader, never member to member.  The leader is the member that
+   meets most others, over all bands; in a group of edited copies that is the one nearest to their origin.
+3. These pairs, at most one per member and band, are verified on their texts, exactly, and linked into components.
+4. Members of one bucket that are still in different components are compared with each other.  Before such a
+   pair becomes a row, two bounds turn it away: distances (one less the similarity) obey the triangle inequality, so two
+   members whose exact distances to their leader differ by more than the threshold's are no link; and the
+   signatures must agree in as many registers as a link does but for ``slack`` standard deviations, which
+   a true link misses about once in 300,000 times.  What is left is verified too.  No other pair of a bucket is left out.
 
 Defined cases: a null text is an empty one.  A text of fewer than five words is one shingle; one without a
 word is like no other text, but equal ones are one class.  The class id is the least id of the class
@@ -36,7 +37,7 @@ from sketchframe.llm.components import components
 from sketchframe.llm.text import Flat, flat, mix, salted, shingles, uniform
 from sketchframe.session import write_out
 
-BANDS, ROWS = 20, 4
+BANDS, ROWS, REGISTERS = 20, 4, 160
 
 
 # --- in a task --------------------------------------------------------------
@@ -81,8 +82,7 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / (x_above / xs + y_upto / ys)).sum())
 
 
-def _signed(bands: int, rows: int, size: int):
-    m = bands * rows
+def _signed(bands: int, rows: int, size: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +92,9 @@ def _signed(bands: int, rows: int, size: int):
                 owner = prob_minhash(row, shingle, weight, piece.n, m)
                 keys = np.zeros((piece.n, bands), np.uint64)
                 for r in range(rows):
-                    keys = mix(keys ^ salted(owner[:, r::rows], r + 1))
+                    keys = mix(keys ^ salted(owner[:, r : bands * rows : rows], r + 1))
                 bits = (mix(owner) & np.uint64(0xFF)).astype(np.uint8)
-                signature = np.ascontiguousarray(bits).view("<i8") if m % 8 == 0 else None
+                signature = np.ascontiguousarray(bits).view("<i8")
                 scaled = np.rint(weight * 2.0**32).astype(np.uint64)  # whole numbers add up alike in any order
                 marks = []
                 for salt in (101, 102):
@@ -150,55 +150,67 @@ def _agreeing(x: Column, y: Column, words: int) -> Column:
     return total
 
 
-def _links(pairs: DataFrame, bodies: DataFrame, size: int, threshold: float) -> DataFrame:
+def _similarities(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     left = bodies.select(F.col("print").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("print").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return write_out(both.mapInArrow(_verified(size), "a string, b string, similarity double").where(F.col("similarity") >= threshold), "links")
+    return write_out(both.mapInArrow(_verified(size), "a string, b string, similarity double"), "similarities")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, slack: float = 4.5) -> DataFrame:
+def near_classes(
+    docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS, slack: float = 4.5
+) -> DataFrame:
     """doc_id, class_id, class_size, kept and ``key`` of every row of ``docs``."""
-    m = bands * rows
-    if m % 8:
-        raise ValueError("bands * rows must be a multiple of 8")
-    least = int(np.floor(m * (threshold - slack * np.sqrt(threshold * (1 - threshold) / m))))
+    if registers % 8 or registers < bands * rows:
+        raise ValueError("registers must be a multiple of 8 and at least bands * rows")
+    least = int(np.floor(registers * (threshold - slack * np.sqrt(threshold * (1 - threshold) / registers))))
     base = texts(docs).withColumn("key", text_key())
-    signed = base.mapInArrow(_signed(bands, rows, size), "doc_id bigint, key string, print string, bands array<bigint>, signature array<bigint>")
-    signed = write_out(signed, "signed")
+    schema = "doc_id bigint, key string, print string, bands array<bigint>, signature array<bigint>"
+    signed = write_out(base.mapInArrow(_signed(bands, rows, size, registers), schema), "signed")
     one = F.min(F.struct("key", "doc_id", "bands", "signature")).alias("one")
     nodes = write_out(signed.groupBy("print").agg(one).select("print", "one.*"), "nodes")
-    members = nodes.select("print", "signature", F.posexplode("bands").alias("band", "h"))
-
-    # members of a bucket against its least node
-    leads = members.groupBy("band", "h").agg(F.min(F.struct("print", "signature")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leads = write_out(leads.select("band", "h", F.col("lead.print").alias("lead"), F.col("lead.signature").alias("lead_signature")), "leads")
-    shared = write_out(members.join(leads.drop("lead_signature"), ["band", "h"]), "shared")
-    close = _agreeing(F.col("signature"), F.col("lead_signature"), m // 8) >= least
-    star = shared.join(leads.drop("lead"), ["band", "h"]).where((F.col("print") != F.col("lead")) & close)
-    star = write_out(star.select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct(), "star")
-    wanted = shared.select("print").distinct().join(nodes.select("print", "key", "doc_id"), "print")
+
+    # members of a bucket against its leader
+    members = nodes.select("print", F.posexplode("bands").alias("band", "h"))
+    sizes = write_out(members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = write_out(members.join(sizes, ["band", "h"]), "met")
+    degrees = write_out(met.groupBy("print").agg(F.sum("n").alias("degree")), "degrees")
+    shared = write_out(met.drop("n").join(degrees, "print"), "shared")
+    leaders = shared.groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
+    led = write_out(shared.drop("degree").join(write_out(leaders, "leaders"), ["band", "h"]), "led")
+    star = write_out(led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct(), "star")
+    wanted = degrees.join(nodes.select("print", "key", "doc_id"), "print")
     wanted = write_out(wanted.select("print", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "wanted")
     same = (base["key"] == wanted["_key"]) & base["doc_id"].eqNullSafe(wanted["_id"])
     bodies = write_out(base.join(wanted, same).select("print", "text").dropDuplicates(["print"]), "bodies")
-    links = _links(star, bodies, size, threshold)
+    found = _similarities(star, bodies, size)
+    links = found.where(F.col("similarity") >= threshold).select("a", "b")
 
     # members of a bucket in different components against each other
-    roots = components(links)
-    placed = shared.select("print", "signature", "band", "h").join(write_out(roots, "roots").withColumnRenamed("node", "print"), "print", "left")
-    placed = write_out(placed.withColumn("root", F.coalesce("root", "print")), "placed")
+    roots = write_out(components(links), "roots")
+    placed = led.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    placed = write_out(placed, "placed")
     mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    split = write_out(placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"]), "split")
-    a, b = split.alias("x"), split.alias("y")
-    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root"))
-    cross = a.join(b, apart & (_agreeing(F.col("x.signature"), F.col("y.signature"), m // 8) >= least))
-    cross = cross.select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
-    cross = write_out(cross.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
-    more = _links(cross, bodies, size, threshold)
+    apart = write_out(placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"]), "apart")
+    known = found.select(F.col("a").alias("print"), F.col("b").alias("lead"), "similarity")
+    apart = apart.join(known, ["print", "lead"], "left").join(nodes.select("print", "signature"), "print")
+    apart = write_out(apart.withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
+    x, y = apart.alias("x"), apart.alias("y")
+    likely = (
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.h") == F.col("y.h"))
+        & (F.col("x.root") < F.col("y.root"))
+        & (F.col("x.print") != F.col("x.lead"))
+        & (F.col("y.print") != F.col("y.lead"))
+        & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1.0 - threshold + 1e-9)
+        & (_agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8) >= least)
+    )
+    cross = x.join(y, likely).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
+    more = _similarities(write_out(cross, "cross"), bodies, size).where(F.col("similarity") >= threshold).select("a", "b")
     if not more.isEmpty():
-        roots = components(links.unionByName(more).select("a", "b"))
+        roots = write_out(components(links.unionByName(more)), "roots")
 
-    named = signed.select("doc_id", "key", "print").join(write_out(roots, "roots").withColumnRenamed("node", "print"), "print", "left")
+    named = signed.select("doc_id", "key", "print").join(roots.withColumnRenamed("node", "print"), "print", "left")
     named = write_out(named.select("doc_id", "key", F.coalesce("root", "print").alias("root")), "named")
     groups = write_out(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "groups")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
