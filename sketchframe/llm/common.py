@@ -63,3 +63,22 @@ def learnable(n: int, out: int) -> tuple[Column, Column]:
     """(held out, may be learned from): whether the id's remainder is ``out``."""
     held = remainder(n) == out
     return held, ~held
+
+
+BITMAP_BITS = 24
+
+
+def in_bitmap(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long may be in ``wanted(id)``: all that are, and a share of the others.
+
+    A bitmap of fixed size (2 MB), sent to all tasks, tells; it spares wide rows an exchange that a join
+    throws away.  The more ids are wanted, the more other rows pass.
+    """
+    place = F.col("id").bitwiseAND((1 << BITMAP_BITS) - 1)
+    pages = wanted.select(F.shiftright(place, 15).alias("_page"), place.bitwiseAND(32767).alias("_bit"))
+    pages = pages.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))  # 2 ** 9 pages of 4 KB
+    own = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
+    byte = F.substring("_map", F.shiftright(own.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", value, own.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return df.join(F.broadcast(pages), F.shiftright(own, 15) == F.col("_page")).where(is_set).drop("_page", "_bit", "_map")

@@ -1,6 +1,6 @@
 """Exact duplicates: groups by a 128-bit content hash, bytes compared inside a group.
 
-Only texts whose hash occurs more than once move; equal ones collapse before the exchange, so a
+Only texts whose hash occurs more than once move, as a bitmap tells before the exchange; equal ones collapse before the exchange, so a
 group that holds a third of all rows costs one text per task.  Grouping by (hash, text) compares the
 bytes: different texts under one hash end in different classes.  Members find their class by a
 join whose sides are both laid out anew, which adaptive execution may split at a hot class.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.llm.common import only, text_key, texts
+from sketchframe.llm.common import in_bitmap, only, text_key, texts
 from sketchframe.session import write_out
 
 
@@ -35,7 +35,8 @@ def classes(docs: DataFrame, keep: str = "smallest", content_hash: Callable[[Col
     base = texts(docs)
     marks = write_out(base.select("doc_id", content_hash(text).alias("h"), sha.alias("text_sha256"), key.alias("key")), "marks")
     repeated = write_out(marks.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    several = base.select("doc_id", "text", content_hash(text).alias("h")).join(repeated, "h", "left_semi")
+    hashed = base.select("doc_id", "text", content_hash(text).alias("h")).withColumn("id", F.xxhash64("h"))
+    several = in_bitmap(hashed, "id", repeated.select(F.xxhash64("h").alias("id"))).join(repeated, "h", "left_semi")
     members = write_out(several.groupBy("h", "text", "doc_id").agg(F.count("*").alias("rows")), "members")
     found = write_out(members.groupBy("h", "text").agg(chosen.alias("keep_id"), F.sum("rows").alias("group_size")), "classes")
     placed = members.join(found, ["h", "text"]).select(

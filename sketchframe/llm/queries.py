@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchframe.llm import bpe, decontaminate, exact, near, quality, toxicity
+from sketchframe.llm import bpe, decontaminate, exact, license_scan, line_dedup, near, quality, secret_scan, toxicity
 from sketchframe.llm.common import Query, learnable, table
 
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,18 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     held, learn = learnable(4, 2)
     return quality.score(docs, quality.fit(docs, table(spark, root, "labels"), learn), held)
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.scan(table(spark, root, "documents")).drop("findings")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return license_scan.scan(table(spark, root, "documents")).drop("hits")
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return line_dedup.scan(table(spark, root, "documents"))
