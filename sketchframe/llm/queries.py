@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchframe.llm import bpe, decontaminate, exact, license_scan, line_dedup, near, quality, secret_scan, toxicity
+from sketchframe.llm import bpe, decontaminate, exact, license_scan, line_dedup, near, quality, secret_scan, toxicity, warc
 from sketchframe.llm.common import Query, learnable, table
 
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,21 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return line_dedup.scan(table(spark, root, "documents"))
+
+
+@query(
+    "op1_warc",
+    """
+    with p as (
+        select page_id, url, encode(coalesce(html, '')) as payload from pages
+    ), g as (
+        select payload, min(page_id) as first, count(*) as n from p where octet_length(payload) >= 100 group by 1
+    )
+    select page_id, octet_length(p.payload) as payload_bytes, sha256(p.payload) as payload_digest,
+        case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+        case when page_id is distinct from first then first end as refers_to, coalesce(url, 'about:blank') as url
+    from p left join g on p.payload = g.payload
+    """,
+)
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    return warc.round_trip(table(spark, root, "pages"))
