@@ -184,7 +184,7 @@ def near_classes(
     same = (base["key"] == wanted["_key"]) & base["doc_id"].eqNullSafe(wanted["_id"])
     bodies = write_out(base.join(wanted, same).select("print", "text").dropDuplicates(["print"]), "bodies")
     found = _similarities(star, bodies, size)
-    links = found.where(F.col("similarity") >= threshold).select("a", "b")
+    links = found.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
 
     # members of a bucket in different components against each other
     roots = write_out(components(links), "roots")
@@ -206,7 +206,7 @@ def near_classes(
         & (_agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8) >= least)
     )
     cross = x.join(y, likely).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
-    more = _similarities(write_out(cross, "cross"), bodies, size).where(F.col("similarity") >= threshold).select("a", "b")
+    more = _similarities(write_out(cross, "cross"), bodies, size).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     if not more.isEmpty():
         roots = write_out(components(links.unionByName(more)), "roots")
 
