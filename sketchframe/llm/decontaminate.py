@@ -38,43 +38,43 @@ _SPLIT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{NAME}{UNIT}]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(text, _SPLIT), "")
 
 
-def _plain(text: Column) -> Column:
-    """The text without the placeholders' characters."""
-    return F.regexp_replace(text, f"[{NUMBER}{NAME}{UNIT}]", " ")
+def _apart(text: Column) -> Column:
+    """The text without the placeholders' characters, with a blank where digits and letters touch."""
+    plain = F.when(F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(UNIT)), F.translate(text, NUMBER + NAME + UNIT, "   "))
+    plain = plain.otherwise(text)
+    return F.when(text.rlike("\\p{N}"), F.regexp_replace(plain, "(?<=\\p{N})(?=\\p{L})|(?<=\\p{L})(?=\\p{N})", " ")).otherwise(plain)
 
 
 def raw_words(text: Column) -> Column:
     """Words as written, where digits and letters that touch are words of their own."""
-    apart = F.regexp_replace(_plain(text), "(?<=\\p{N})(?=\\p{L})|(?<=\\p{L})(?=\\p{N})", " ")
-    return _words(apart)
+    return _words(_apart(text))
 
 
 def template_words(text: Column) -> Column:
     """The same words with placeholders, one for one."""
-    apart = F.regexp_replace(_plain(text), "(?<=\\p{N})(?=\\p{L})|(?<=\\p{L})(?=\\p{N})", " ")
+    apart = _apart(text)
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     united = F.regexp_replace(apart, f"(?<=\\p{{N}})([ -]+)(?i:{units})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}")
-    named = F.regexp_replace(united, "(?<=[\\p{L}\\p{N},;:)] )\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", NAME)
+    named = F.regexp_replace(
+        F.when(text.rlike("\\p{N}"), united).otherwise(apart), " (?<=[\\p{L}\\p{N},;:)] )\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", f" {NAME}"
+    )
+    numbered = F.when(text.rlike("\\p{N}"), F.regexp_replace(named, "\\p{N}+", NUMBER)).otherwise(named)
     # U+0130 is the one letter whose lower case is longer
-    lowered = F.lower(F.translate(F.regexp_replace(named, "\\p{N}+", NUMBER), "\u0130", "i"))
-    return _words(lowered)
+    return _words(F.lower(F.replace(numbered, F.lit("\u0130"), F.lit("i"))))
 
 
 def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-_START = "array<struct<pos:int,size:int,h:bigint>>"
-
-
-def _starts(words: Column, size: int) -> Column:
-    """Place and hash of every window of ``size`` words."""
+def _hashes(words: Column, size: int) -> Column:
+    """The hash of every window of ``size`` words, in order."""
     places = F.sequence(F.lit(0), F.size(words) - size)
-    made = F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i + 1, size)).alias("h")))
-    return F.when(F.size(words) >= size, made.cast(_START)).otherwise(F.array().cast(_START))
+    made = F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
+    return F.when(F.size(words) >= size, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
@@ -102,19 +102,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     items = write_out(item_windows(benchmark, width, literals), "items")
     few = items.count() <= limit
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most `width` numbers
-    base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
-    starts = [_starts(F.col("t"), n) for n in sizes]
-    empty = F.array().cast(_START)
-    windows = F.concat(empty, *starts) if len(starts) != 1 else starts[0]
-    spread = base.select("doc_id", "text", "t", "r", F.explode(windows).alias("w")).select("doc_id", "text", "t", "r", "w.*")
-    found = F.slice("t", F.col("pos") + 1, F.col("size")).alias("found")
-    said = F.transform(F.slice("r", F.col("pos") + 1, F.col("size")), F.lower).alias("said")
+    base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"))
     key = text_key().alias("key")
-    if few:
-        hits = spread.join(F.broadcast(items), ["size", "h"]).select("*", key, found, said)
-    else:
-        hits = spread.select("doc_id", key, "pos", "size", "h", found, said).join(items, ["size", "h"])
-    hits = hits.where(F.col("found") == F.col("pattern"))
+    parts = []
+    for n in sizes:
+        own = items.where(F.col("size") == n)
+        spread = base.select("doc_id", "text", "t", F.posexplode(_hashes(F.col("t"), n)).alias("pos", "h"))
+        found = F.slice("t", F.col("pos") + 1, n).alias("found")
+        # the words as written are wanted only where the template has slots
+        slotted = F.exists("pattern", _is_slot)
+        said = F.transform(F.slice(raw_words(F.col("text")), F.col("pos") + 1, n), F.lower)
+        if few:
+            met = spread.join(F.broadcast(own), "h").where(found == F.col("pattern"))
+            met = met.select(*own.columns, "doc_id", key, "pos", F.when(slotted, said).otherwise(F.col("values")).alias("said"))
+        else:
+            met = spread.select("doc_id", key, "pos", "h", found, said.alias("said")).join(own, "h").where(F.col("found") == F.col("pattern"))
+            met = met.select(*own.columns, "doc_id", "key", "pos", "said")
+        parts.append(met)
+    nothing = items.where("false").select(
+        "*", F.lit(0).cast("bigint").alias("doc_id"), F.lit("").alias("key"), F.lit(0).alias("pos"), F.col("values").alias("said")
+    )
+    hits = parts[0] if parts else nothing
+    for more in parts[1:]:
+        hits = hits.unionByName(more)
     pairs = F.filter(
         F.zip_with("pattern", F.arrays_zip("values", "said"), lambda p, v: F.struct(_is_slot(p).alias("slot"), v["values"].alias("value"), v["said"].alias("said"))),
         lambda s: s["slot"],

@@ -177,7 +177,7 @@ def lowered(text: Column) -> Column:
 
 def spaced_words(text: Column) -> Column:
     """The lower-cased words with one blank before each and after the last; a blank alone for none."""
-    return F.concat(F.regexp_replace(F.concat(F.lit(" "), lowered(text)), _BETWEEN, " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), lowered(text), F.lit(" ")), _BETWEEN, " ")
 
 
 def _blanks(text: Column) -> Column:
