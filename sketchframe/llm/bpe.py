@@ -1,12 +1,12 @@
 """Byte-level BPE: encoding by a bucket queue over merge ranks, and decoding.
 
 A pre-token is a linked list of parts.  Every adjacent pair that is in the vocabulary lies in the
-bucket of its rank.  A bitmap in three levels of 64-bit words marks the buckets in use, so three
+bucket of its rank.  A bitmap in two levels of 256-bit words marks the buckets in use, so two
 find-first-set steps give the lowest rank; its bucket gives the leftmost position.  Entries that
 a merge has made stale are skipped when they come up.  A pre-token of n bytes thus takes
 O(n log n) steps however long it is, with no scan over its parts.  The bitmap and buckets are empty after
-each pre-token and are used again.  Short pre-tokens are remembered in a dictionary of bounded size,
-which changes no result.
+each pre-token and are used again.  Short pre-tokens are remembered in two dictionaries of bounded size, the older of which is dropped
+when the newer is full; this changes no result.
 
 Defined cases: a null text is an empty one and has no tokens.  Repeated rows give equal rows; other
 columns are not read.  A byte or merged part that the vocabulary lacks raises an error.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,16 +29,17 @@ from pyspark.sql import types as T
 
 from sketchframe.llm.common import texts
 
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 
 
 class RankQueue:
-    """(rank, position) entries in order of rank, then position."""
+    """Positions in buckets by rank; a two-level bitmap marks the ranks whose bucket is not empty.
+
+    Two levels of 256 bits hold 65,536 ranks; the upper one grows beyond that.
+    """
 
     def __init__(self, ranks: int):
-        words = -(-max(1, ranks) // 64)
-        self.low = [0] * words
-        self.middle = [0] * (-(-words // 64))
+        self.low = [0] * (-(-max(1, ranks) // 256))
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -47,31 +49,26 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        word, group = rank >> 6, rank >> 12
-        self.low[word] |= 1 << (rank & 63)
-        self.middle[group] |= 1 << (word & 63)
-        self.top |= 1 << group
+        self.low[rank >> 8] |= 1 << (rank & 255)
+        self.top |= 1 << (rank >> 8)
 
     def pop(self) -> tuple[int, int] | None:
-        """Remove the first entry; None if there is none."""
+        """Remove the first entry, by rank, then position; None if there is none."""
         top = self.top
         if not top:
             return None
-        group = (top & -top).bit_length() - 1
-        bits = self.middle[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
+        word = (top & -top).bit_length() - 1
         bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
+        first = bits & -bits
+        rank = (word << 8) + first.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= self.low[word] - 1
-            if not self.low[word]:
-                self.middle[group] &= self.middle[group] - 1
-                if not self.middle[group]:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.low[word] = bits = bits ^ first
+        if not bits:
+            self.top = top ^ (1 << word)
+        return rank, bucket[0]
 
 
 class Codec:
@@ -82,67 +79,85 @@ class Codec:
         self.parts = {rank: part for part, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # rank of two parts side by side: of every vocabulary entry, each cut whose halves are entries too
+        self.width = max(ranks.values(), default=0) + 1
+        self.pairs: dict[int, int] = {}
+        for part, rank in ranks.items():
+            for cut in range(1, len(part)):
+                left, right = ranks.get(part[:cut]), ranks.get(part[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.width + right] = rank
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue, get = len(piece), self.queue, ranks.get
-        end = list(range(1, n + 1))  # of the part that starts here
-        before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the pair that starts here, -1 for none
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
+        single, width, get = self.single, self.width, self.pairs.get
+        part = [single[b] for b in piece]  # id of the part that starts here
+        if min(part) < 0:
+            raise KeyError(f"byte {piece[part.index(-1)]} is not in the vocabulary")
+        n, queue = len(part), self.queue
+        push, pop = queue.push, queue.pop
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [get(a * width + b, -1) for a, b in zip(part, part[1:])]  # noqa: B905  rank of the pair that starts here, -1 for none
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                push(rank, i)
+        while (entry := pop()) is not None:
             rank, i = entry
             if pair[i] != rank:
                 continue
-            gone = end[i]
-            end[i] = after = end[gone]
-            pair[gone] = -1
-            if after < n:
-                before[after] = i
-                fresh = get(piece[i : end[after]])
-            else:
-                fresh = None
-            pair[i] = -1 if fresh is None else fresh
-            if fresh is not None:
-                queue.push(fresh, i)
+            gone = after[i]
+            after[i] = right = after[gone]
+            part[i] = rank
+            pair[gone] = fresh = -1
+            if right < n:
+                before[right] = i
+                fresh = get(rank * width + part[right], -1)
+                if fresh >= 0:
+                    push(fresh, i)
+            pair[i] = fresh
             if i:
                 left = before[i]
-                fresh = get(piece[left:after])
-                if fresh is None:
-                    pair[left] = -1
-                elif fresh != pair[left]:
-                    pair[left] = fresh
-                    queue.push(fresh, left)
+                fresh = get(part[left] * width + rank, -1)
+                if fresh >= 0 and fresh != pair[left]:
+                    push(fresh, left)
+                pair[left] = fresh
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            ids.append(part[i])
+            i = after[i]
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        get, add = known.get, out.append
+        get, out = self.known.get, []
+        add = out.append
         for token in self.split(text):
             code = get(token)
             if code is None:
-                code = np.array(self.merge(token.encode()), "<u4").tobytes()
-                if len(token) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[token] = code
+                code = self._remembered(token)
+                get = self.known.get
             add(code)
         return np.frombuffer(b"".join(out), "<u4") if out else np.zeros(0, "<u4")
 
+    def _remembered(self, token: str) -> bytes:
+        """The packed ids of a token that the newer dictionary lacks."""
+        code = self.older.get(token)
+        if code is None:
+            ids = self.merge(token.encode())
+            code = struct.pack(f"<{len(ids)}I", *ids)
+        if len(token) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[token] = code
+        return code
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.parts.__getitem__, ids.tolist()))
 
