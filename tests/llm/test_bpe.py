@@ -46,6 +46,8 @@ def test_queue_is_ordered():
     entries = [(rng.randrange(300_000) if rng.random() < 0.5 else rng.randrange(70), rng.randrange(1000)) for _ in range(5000)]
     for entry in entries:
         queue.push(*entry)
+    queue.push(299_999, 5)
+    entries.append((299_999, 5))
     got = []
     while (entry := queue.pop()) is not None:
         got.append(entry)
