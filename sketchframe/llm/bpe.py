@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from sketchframe.llm.common import texts
 
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 
 
 class RankQueue:
@@ -100,16 +100,34 @@ class Codec:
         part = [single[b] for b in piece]  # id of the part that starts here
         if min(part) < 0:
             raise KeyError(f"byte {piece[part.index(-1)]} is not in the vocabulary")
-        n, queue = len(part), self.queue
-        push, pop = queue.push, queue.pop
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        pair = [get(a * width + b, -1) for a, b in zip(part, part[1:])]  # noqa: B905  rank of the pair that starts here, -1 for none
+        n, pair = len(part), [get(a * width + b, -1) for a, b in zip(part, part[1:])]  # noqa: B905  rank of the pair that starts here
         pair.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        # the steps of RankQueue.push and pop, in place: they are most of the work
+        queue = self.queue
+        low, buckets, top = queue.low, queue.buckets, 0
         for i, rank in enumerate(pair):
             if rank >= 0:
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so a heap
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            first = bits & -bits
+            rank = (word << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = bits = bits ^ first
+                if not bits:
+                    top ^= 1 << word
             if pair[i] != rank:
                 continue
             gone = after[i]
@@ -119,15 +137,21 @@ class Codec:
             if right < n:
                 before[right] = i
                 fresh = get(rank * width + part[right], -1)
-                if fresh >= 0:
-                    push(fresh, i)
             pair[i] = fresh
+            moved = ((fresh, i),) if fresh >= 0 else ()
             if i:
                 left = before[i]
                 fresh = get(part[left] * width + rank, -1)
                 if fresh >= 0 and fresh != pair[left]:
-                    push(fresh, left)
+                    moved += ((fresh, left),)
                 pair[left] = fresh
+            for fresh, at in moved:
+                if fresh in buckets:
+                    heappush(buckets[fresh], at)
+                else:
+                    buckets[fresh] = [at]
+                    low[fresh >> 8] |= 1 << (fresh & 255)
+                    top |= 1 << (fresh >> 8)
         ids, i = [], 0
         while i < n:
             ids.append(part[i])
