@@ -45,7 +45,7 @@ def sketch_plain(samples: DataFrame, n: int) -> DataFrame:
 def sketch_count(samples: DataFrame, c: int, offset: int = 0, seed: int = HASH_SEED) -> DataFrame:
     """c positions per sample by (a s + b) mod c; ``offset`` shifts which a, b are used."""
     a, b = coefficients(c, f"j + {offset}L", seed)
-    return _one_hot(samples, c, f"pmod({a} * s + {b}, {c}L) + 1L")
+    return _one_hot(samples, c, f"pmod({a} * pmod(s, {c}L) + {b}, {c}L) + 1L")
 
 
 def sketch_bbit(samples: DataFrame, b: int) -> DataFrame:

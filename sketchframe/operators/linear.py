@@ -54,8 +54,10 @@ def to_vectors(features: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
     A vector is stored as (type 0, size, indices, values).  No built-in function
     makes a sparse one from arrays, but the JSON reader fills the vector type,
-    which keeps the assembly in the JVM.
+    which keeps the assembly in the JVM.  Its size and indices are 32-bit, so wider tables raise an error.
     """
+    if width >= 2**31:
+        raise ValueError(f"a vector of width {width} does not fit; MLlib's indices have 31 bits")
     marker = rows.selectExpr("row_id", "cast(null as bigint) as col", "cast(null as double) as v")
     cells = features.select("row_id", "col", F.col("v").cast("double").alias("v")).unionByName(marker)
     entry = F.when(F.col("col").isNotNull(), F.struct("col", "v"))  # collect_list skips the marker's null
@@ -79,10 +81,11 @@ ROWS_PER_TASK = 20_000
 
 @dataclass(frozen=True)
 class LinearModel:
-    """A fitted MLlib model and the labels behind its class numbers."""
+    """A fitted MLlib model, the labels behind its class numbers, and whether every solver converged."""
 
     model: object
     classes: list[int]
+    converged: bool = True
 
 
 def train_linear(vectors: DataFrame, y: DataFrame, C: float = 1.0, tol: float = 1e-4, max_iter: int = 100, parallelism: int = 4) -> LinearModel:
@@ -94,15 +97,19 @@ def train_linear(vectors: DataFrame, y: DataFrame, C: float = 1.0, tol: float =
     classes = sorted(r[0] for r in y.select("label").distinct().collect())  # one entry per class
     m = y.count()
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
-    # A solver pass costs a task per partition, so small tables get few of them.
-    data = data.select("features", index.cast("double").alias("label")).coalesce(1 + m // ROWS_PER_TASK).persist()
+    # A solver pass costs a task per partition, so small tables get few of them; the exchange keeps
+    # what comes before it, the assembly of the vectors, as wide as it was.
+    data = data.select("features", index.cast("double").alias("label")).repartition(1 + m // ROWS_PER_TASK).persist()
     solver = LogisticRegression(
         fitIntercept=False, standardization=False, regParam=1.0 / (C * m), tol=tol, maxIter=max_iter
     )
     try:
         if len(classes) > 2:
             solver = OneVsRest(classifier=solver, parallelism=parallelism)
-        return LinearModel(solver.fit(data), classes)
+        fitted = solver.fit(data)
+        models = fitted.models if len(classes) > 2 else [fitted]
+        done = all(part.summary.totalIterations < max_iter for part in models if part.hasSummary)
+        return LinearModel(fitted, classes, done)
     finally:
         data.unpersist()
 
@@ -265,26 +272,31 @@ class _JoinedSteps:
         return write_out(moved.unionByName(still), "step"), losses
 
     def table(self, weights: DataFrame) -> DataFrame:
-        return weights
+        return weights.where("w <> 0")
 
 
 WEIGHTS = "class int, f bigint, w double"
 
 
 def minibatch_lr(
-    x: DataFrame, y: DataFrame, cfg: MinibatchConfig, classes: list[int] | None = None, packed: bool | None = None
+    x: DataFrame, y: DataFrame, cfg: MinibatchConfig, classes: list[int] | None = None, packed: bool = True
 ) -> MinibatchModel:
     """Sequential mini-batch logistic regression; all classes share each pass.
 
     Rows are laid out once by batch, so a step's scan prunes to its own batch.
     Without ``classes`` the labels are 0 and 1.  ``packed`` chooses how a step
-    runs and follows from the model's size if left out.
+    runs: with the weights as arrays, which are too large beyond ``BROADCAST_ROWS``, or
+    as a table.  Both take features 0 to width - 1 only and store no zero weights.
     """
     spark = x.sparkSession
     classes = list(classes or [1])
-    if packed is None:
-        packed = len(classes) * cfg.width <= BROADCAST_ROWS
+    if packed and len(classes) * cfg.width > BROADCAST_ROWS:
+        raise ValueError(f"{len(classes)} classes of width {cfg.width} are too large to pack; use packed=False")
+    low, high = x.agg(F.min("f"), F.max("f")).first()
+    if low is not None and (low < 0 or high >= cfg.width):
+        raise ValueError(f"features {low} to {high} do not fit a width of {cfg.width}")
     batches = batch_rows(y.select("row_id"), cfg.batch_size)
+    batches = write_out(batches, "batches")
     labels = y.join(batches, "row_id").join(batch_sizes(batches), "batch").select("batch", "row_id", "label", "size")
     labels = write_out(labels.repartitionByRange("batch").sortWithinPartitions("batch"), "labels")
     m = labels.count()
@@ -328,48 +340,77 @@ def taylor_loss(scored: DataFrame) -> DataFrame:
     return sizes.agg((F.sum(per_batch) / F.sum("size")).alias("loss"))
 
 
-def stop_rule(losses: DataFrame, max_iter: int, eps: float = 1e-5, on_converge: bool = True) -> DataFrame:
-    """(stop_epoch, status) of a loss table (epoch, loss), one row per epoch."""
+def stop_rule(losses: DataFrame, max_iter: int, eps: float = 1e-5, on_converge: bool = True, on_overflow: bool = False) -> DataFrame:
+    """(stop_epoch, status) of a loss table (epoch, loss), one row per epoch.
+
+    A log that ends before any rule stops it gives its last epoch and ``ok``; ``NaN`` tells that a loss up to the
+    stop was no number or at least 1e5, which with ``on_overflow`` is itself a reason to stop.
+    """
     step = F.abs(F.lag("loss").over(Window.orderBy("epoch")) - F.col("loss"))  # a row per epoch
-    finite = F.col("loss") < 1e5  # false for NaN, which sorts above all numbers
-    marked = losses.withColumn("converged", F.coalesce(step < eps, F.lit(False)) & F.lit(on_converge))
-    ends = marked.where(F.col("converged") | (F.col("epoch") >= max_iter))
-    last = F.min(F.struct("epoch", F.when(F.col("converged"), "converged").otherwise("max_iter").alias("why"))).alias("e")
-    overflow = losses.agg(F.min(F.when(~finite, F.col("epoch")))).scalar()
-    status = F.when(overflow <= F.col("e.epoch"), F.lit("NaN")).otherwise(F.col("e.why"))
-    return ends.agg(last).select(F.col("e.epoch").alias("stop_epoch"), status.alias("status"))
+    finite = F.coalesce(F.col("loss") < 1e5, F.lit(False))  # false for NaN, which sorts above all numbers
+    marked = losses.select(
+        "epoch", (F.coalesce(step < eps, F.lit(False)) & F.lit(on_converge)).alias("converged"), (~finite).alias("overflow")
+    )
+    ends = F.col("converged") | (F.col("epoch") >= max_iter) | (F.col("overflow") & F.lit(on_overflow))
+    why = F.when(F.col("converged"), "converged").otherwise("max_iter")
+    summed = marked.agg(
+        F.min(F.when(ends, F.struct("epoch", why.alias("why")))).alias("stop"),
+        F.max("epoch").alias("last"),
+        F.min(F.when(F.col("overflow"), F.col("epoch"))).alias("bad"),
+    )
+    at = F.coalesce("stop.epoch", "last")
+    status = F.when(F.col("bad") <= at, "NaN").otherwise(F.coalesce("stop.why", F.lit("ok")))
+    return summed.select(at.alias("stop_epoch"), status.alias("status")).where("stop_epoch is not null")
 
 
 # --- scoring ----------------------------------------------------------------
 
 
 def epoch_scores(df: DataFrame, rows: DataFrame, weights: DataFrame, weight_rows: int | None = None) -> DataFrame:
-    """(class, epoch, row_id, z) for every stored epoch and class in one job."""
-    product = df.join(maybe_broadcast(weights, weight_rows), "f")
-    terms = product.select("class", "epoch", "row_id", (F.col("v") * F.col("w")).alias("p"))
-    models = weights.agg(F.collect_set(F.struct("class", "epoch"))).scalar()
-    zeros = rows.select(F.inline(models), "row_id").select("class", "epoch", "row_id", F.lit(0.0).alias("p"))
-    return terms.unionByName(zeros).groupBy("class", "epoch", "row_id").agg(F.sum("p").alias("z"))
+    """(class, epoch, row_id, z) for every stored epoch and class in one job.
+
+    A cell meets the weights of all models at once and every model is one aggregate column, so the exchange
+    carries a record per row and task, whatever the number of models; they become rows after it.
+    """
+    models = [tuple(r) for r in weights.select("class", "epoch").distinct().orderBy("class", "epoch").collect()]  # a row per model
+    if not models:
+        return rows.select(F.lit(0).alias("class"), F.lit(0).alias("epoch"), "row_id", F.lit(0.0).alias("z")).where("false")
+    own = [F.sum(F.when((F.col("class") == c) & (F.col("epoch") == e), F.col("w"))).alias(f"w{i}") for i, (c, e) in enumerate(models)]
+    wide = weights.groupBy("f").agg(*own)
+    product = df.join(maybe_broadcast(wide, weight_rows), "f")
+    terms = product.select("row_id", *[(F.col("v") * F.coalesce(f"w{i}", F.lit(0.0))).alias(f"p{i}") for i in range(len(models))])
+    zeros = rows.select("row_id", *[F.lit(0.0).alias(f"p{i}") for i in range(len(models))])
+    summed = terms.unionByName(zeros).groupBy("row_id").agg(*[F.sum(f"p{i}").alias(f"z{i}") for i in range(len(models))])
+    each = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(e).alias("epoch"), F.col(f"z{i}").alias("z")) for i, (c, e) in enumerate(models)])
+    return summed.select("row_id", F.inline(each)).select("class", "epoch", "row_id", "z")
 
 
 def _right(prediction: Column) -> Column:
     return F.avg((prediction == F.col("label")).cast("double")).alias("accuracy")
 
 
-def score_epochs(df: DataFrame, y: DataFrame, weights: DataFrame, weight_rows: int | None = None, cut: float = 0.5) -> DataFrame:
+def activation(z: Column, sigmoid: str | None) -> Column:
+    """The curve a model was trained with; the logistic one without a name."""
+    return logistic(z) if sigmoid is None else approx_sigmoid(z, sigmoid)
+
+
+def score_epochs(
+    df: DataFrame, y: DataFrame, weights: DataFrame, weight_rows: int | None = None, cut: float = 0.5, sigmoid: str | None = None
+) -> DataFrame:
     """(epoch, accuracy) of a two-class model; an epoch that was not stored is not scored."""
     scores = epoch_scores(df, y.select("row_id"), weights, weight_rows)
-    guess = threshold(logistic(F.col("z")), cut, 0)
+    guess = threshold(activation(F.col("z"), sigmoid), cut, 0)
     return scores.join(y, "row_id").groupBy("epoch").agg(_right(guess))
 
 
-def ovr_predict(scores: DataFrame) -> DataFrame:
-    """(epoch, row_id, prediction): class of highest score, the first class on ties."""
-    best = F.max(F.struct("z", (-F.col("class")).alias("back"))).alias("b")
+def ovr_predict(scores: DataFrame, sigmoid: str | None = None) -> DataFrame:
+    """(epoch, row_id, prediction): class of highest score, or of highest activation, the first class on ties."""
+    worth = F.col("z") if sigmoid is None else approx_sigmoid(F.col("z"), sigmoid)
+    best = F.max(F.struct(worth.alias("z"), (-F.col("class")).alias("back"))).alias("b")
     return scores.groupBy("epoch", "row_id").agg(best).select("epoch", "row_id", (-F.col("b.back")).alias("prediction"))
 
 
-def score_epochs_ovr(df: DataFrame, y: DataFrame, weights: DataFrame, weight_rows: int | None = None) -> DataFrame:
+def score_epochs_ovr(df: DataFrame, y: DataFrame, weights: DataFrame, weight_rows: int | None = None, sigmoid: str | None = None) -> DataFrame:
     """(epoch, accuracy) of a one-vs-rest model."""
-    predicted = ovr_predict(epoch_scores(df, y.select("row_id"), weights, weight_rows))
+    predicted = ovr_predict(epoch_scores(df, y.select("row_id"), weights, weight_rows), sigmoid)
     return predicted.join(y, "row_id").groupBy("epoch").agg(_right(F.col("prediction")))

@@ -134,25 +134,60 @@ def _multiply(frames: Iterable[pd.DataFrame], by: list[str], key: PublicKey) ->
         yield flush()
 
 
-def paillier_sum(df: DataFrame, by: list[str], key: PublicKey) -> DataFrame:
+def _multiply_sorted(frames: Iterable[pd.DataFrame], by: list[str], key: PublicKey) -> Iterator[pd.DataFrame]:
+    """Products of the ciphertexts of each key where equal keys stand together; one key is held at a time."""
+    square, group, total, top = key.square, None, 1, 0
+    rows: list[tuple] = []
+
+    def packed() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[*by, "c", "exponent"], dtype=object)
+        rows.clear()
+        return out
+
+    for frame in frames:
+        for *now, c, e in zip(*(frame[name].tolist() for name in [*by, "c", "exponent"])):
+            c = _unpack(c)
+            if now != group:
+                if group is not None:
+                    rows.append((*group, key.pack(total), top))
+                group, total, top = now, c, e
+                continue
+            if e > top:
+                total, top = pow(total, BASE ** (e - top), square), e
+            elif e < top:
+                c = pow(c, BASE ** (top - e), square)
+            total = total * c % square
+        if rows:
+            yield packed()
+    if group is not None:
+        rows.append((*group, key.pack(total), top))
+        yield packed()
+
+
+def paillier_sum(df: DataFrame, by: list[str], key: PublicKey, bound: float | None = None) -> DataFrame:
     """Encrypted sum of a column per key: (by..., c, exponent).
 
-    Ciphertexts are multiplied within each task before the shuffle, then in
-    ``SALTS`` groups per key, then per key: a key that holds a third of the
-    rows reaches the last step as at most ``SALTS`` records.
+    Ciphertexts are multiplied within each task before the shuffle, then in ``SALTS`` groups per key, then per
+    key: a key that holds a third of the rows reaches the last step as at most ``SALTS`` records.  Each step is
+    one stream over sorted partitions, however many keys there are.  With ``bound``, the largest size of a value, a sum
+    that might not fit the key raises an error.
     """
     fields = df.select(*by, "c", "exponent").schema
+    if bound is not None:
+        most = df.agg(F.count("*"), F.max("exponent")).first()
+        if most[0] and most[0] * bound * BASE ** most[1] > key.n // 2:
+            raise ValueError("the sum of so many values might not fit the key")
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _multiply(frames, by, key)
 
-    def per_group(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(_multiply([frame], by, key))
+    def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _multiply_sorted(frames, by, key)
 
     local = df.select(*by, "c", "exponent").mapInPandas(partial, fields)
-    salt = F.pmod(F.xxhash64("c"), F.lit(SALTS))
-    middle = local.withColumn("salt", salt).groupBy(*by, "salt").applyInPandas(per_group, fields)
-    return middle.groupBy(*by).applyInPandas(per_group, fields)
+    salted = local.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)))
+    middle = salted.repartition(*by, "salt").sortWithinPartitions(*by).drop("salt").mapInPandas(streamed, fields)
+    return middle.repartition(*by).sortWithinPartitions(*by).mapInPandas(streamed, fields)
 
 
 def paillier_weighted_sum(df: DataFrame, weight: str, by: list[str], key: PublicKey, exponent: int = 0) -> DataFrame:

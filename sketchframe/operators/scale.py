@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchframe.operators.reshape import to_dense, to_long
-from sketchframe.session import maybe_broadcast
+from sketchframe.session import BROADCAST_ROWS, maybe_broadcast, write_out
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -68,13 +68,13 @@ def fit_robust(df: DataFrame, rows: DataFrame, m: int, n: int, accuracy: int = 1
     )
     brackets = brackets.select("f", F.inline(wanted))
     counted = dense.groupBy("f", "v").agg(F.count("*").alias("c"))
-    near = counted.join(maybe_broadcast(brackets, n * len(QUARTILES)), "f")
+    near = counted.join(_beside(brackets, n * len(QUARTILES)), "f")
     below = near.groupBy("f", "q").agg(
         F.sum(F.when(F.col("v") < F.col("low"), F.col("c")).otherwise(0)).alias("base")
     )
     inside = near.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
     running = F.sum("c").over(Window.partitionBy("f", "q").orderBy("v"))
-    ranked = inside.select("f", "q", "v", running.alias("r")).join(maybe_broadcast(below, n * len(QUARTILES)), ["f", "q"])
+    ranked = inside.select("f", "q", "v", running.alias("r")).join(_beside(below, n * len(QUARTILES)), ["f", "q"])
     upto = F.col("base") + F.col("r")
     position = (m - 1) * F.element_at(F.array(*[F.lit(q) for q in QUARTILES]), F.col("q") + 1)
     whole = F.floor(position)
@@ -88,8 +88,17 @@ def fit_robust(df: DataFrame, rows: DataFrame, m: int, n: int, accuracy: int = 1
     )
 
 
+def _beside(fitted: DataFrame, rows: int) -> DataFrame:
+    """A fitted table for a join: sent to all tasks if provably small, else stored.
+
+    A stored table is laid out for the join by an exchange of its own; only then may adaptive execution split the other
+    side at a hot key, which it does not where an aggregate is laid out by that key already.
+    """
+    return maybe_broadcast(fitted, rows) if rows <= BROADCAST_ROWS else write_out(fitted, "fitted")
+
+
 def _apply(df: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
-    joined = df.join(maybe_broadcast(fitted, n), "f", "left")
+    joined = df.join(_beside(fitted, n), "f", "left")
     width = F.when(F.coalesce("spread", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("spread"))
     scaled = (F.col("v") - F.coalesce("shift", F.lit(0.0))) / width
     return to_long(joined.select("row_id", "f", scaled.alias("v")))
@@ -117,5 +126,5 @@ def scale_maxabs(df: DataFrame, n: int, fitted: DataFrame | None = None) -> Data
 
 def scale_normalize(df: DataFrame) -> DataFrame:
     """Each row to unit length; a zero row has no stored cell and stays as it is."""
-    norms = df.groupBy("row_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    norms = write_out(df.groupBy("row_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")), "norms")
     return df.join(norms, "row_id").select("row_id", "f", (F.col("v") / F.col("norm")).alias("v"))

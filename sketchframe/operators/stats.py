@@ -97,8 +97,9 @@ def accuracy(df: DataFrame, percent: bool = False) -> DataFrame:
 
 
 def best_epoch(metrics: DataFrame) -> DataFrame:
-    """The row of highest accuracy; the earliest epoch on ties."""
+    """The row of highest accuracy; the earliest epoch on ties.  NaN loses to any number."""
     others = [c for c in metrics.columns if c not in ("accuracy", "epoch")]
-    best = F.max(F.struct("accuracy", (-F.col("epoch")).alias("_back"), *others)).alias("b")
+    worth = F.when(~F.isnan("accuracy"), F.col("accuracy")).alias("_worth")
+    best = F.max(F.struct(worth, "accuracy", (-F.col("epoch")).alias("_back"), *others)).alias("b")
     fields = [F.col("b.accuracy"), (-F.col("b._back")).alias("epoch"), *[F.col(f"b.{c}") for c in others]]
     return metrics.agg(best).select(*fields).select(*metrics.columns)

@@ -80,7 +80,7 @@ def sink_sketch(spark, root):
 
 @query(
     "sink_partitioned",
-    select("select row_id, j, s, 3::int as ratio, 2::int as seed from m", CUST_PART, CUST_ROWS, PART_COUNT, sampled_sql("m", "SM", seed=2)),
+    select("select row_id, j, s, 0.3::double as ratio, 2::int as seed from m", CUST_PART, CUST_ROWS, PART_COUNT, sampled_sql("m", "SM", seed=2)),
 )
 def sink_partitioned(spark, root):
     """Two runs in one layout; reading one prunes the other's folder."""

@@ -10,6 +10,7 @@ from sketchframe.functions.numeric import approx_sigmoid
 from sketchframe.operators import expand, linear, reshape, sketch
 from sketchframe.queries.registry import CUST_PART, CUST_ROWS, EMB, EMB_ROWS, query, r6, rounded, select
 from sketchframe.queries.sketches import SEED, customers, vectors
+from sketchframe.session import write_out
 from sketchframe.sources import views
 
 # --- library solver: no SQL form ---------------------------------------------
@@ -21,9 +22,9 @@ def quality_model(spark, root):
     """Document quality from a compressed min-hash sketch of the words."""
     y = views.doc_labels(spark, root)
     rows = y.select("row_id")
-    samples = sketch.one_based(sketch.p_minhash(views.doc_terms(spark, root), rows, LR_K, SEED))
+    samples = sketch.one_based(sketch.p_minhash(views.doc_terms(spark, root, labelled=True), rows, LR_K, SEED))
     features = expand.sketch_count(samples, LR_C)
-    data = linear.to_vectors(features, rows, LR_K * LR_C).persist()
+    data = write_out(linear.to_vectors(features, rows, LR_K * LR_C), "vectors")
     return linear.train_linear(data, y, C=1.0), data, y
 
 

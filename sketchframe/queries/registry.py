@@ -133,7 +133,7 @@ EMB = (
 )
 EMB_ROWS = "rws as (select vec_id as row_id from embeddings)"
 EMB_DIM = "dim as (select max(len(embedding))::bigint as n from embeddings)"
-EVENT_TYPES_SQL = "(values ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4)) t(name, f)"
+EVENT_TYPES_SQL = "(select event_type as name, row_number() over (order by event_type) - 1 as f from (select distinct event_type from events where event_type is not null)) t"
 EVENT_MIX = (
     "x as (select user_id as row_id, f::bigint as f, sum(value) as v"
     f" from events join {EVENT_TYPES_SQL} on event_type = name group by 1, 2)"

@@ -136,7 +136,8 @@ def head_rows(spark, root):
     ),
 )
 def densify(spark, root):
-    dense = reshape.to_dense(views.event_mix(spark, root), views.event_rows(spark, root), len(views.EVENT_TYPES))
+    types = views.event_types(spark, root)
+    dense = reshape.to_dense(views.event_mix(spark, root, types), views.event_rows(spark, root), len(types))
     return dense.withColumn("v", rounded("v"))
 
 
@@ -257,8 +258,9 @@ DENSE_EMB = (
     ),
 )
 def scale_minmax(spark, root):
-    x, rows = views.event_mix(spark, root), views.event_rows(spark, root)
-    return scale.scale_minmax(x, rows, rows.count(), len(views.EVENT_TYPES)).withColumn("v", rounded("v"))
+    types = views.event_types(spark, root)
+    x, rows = views.event_mix(spark, root, types), views.event_rows(spark, root)
+    return scale.scale_minmax(x, rows, rows.count(), len(types)).withColumn("v", rounded("v"))
 
 
 @query(

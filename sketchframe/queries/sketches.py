@@ -207,21 +207,19 @@ def cws_0bit(spark, root):
     return sketch.cws_0bit(x, rows, K, SEED)
 
 
-TERM_ID = "('0x' || substr(md5(term), 1, 6))::bigint"
+TERM_ID = "('0x' || substr(md5(term), 1, 15))::bigint"
 DOC_TERMS = (
     f"x as (select doc_id as row_id, {TERM_ID} as f, count(*)::double as v from (select doc_id,"
-    " unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as term from documents"
-    " where doc_id in (select doc_id from labels)) where term <> '' group by 1, 2)"
+    " unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) as term from documents) where term <> '' group by 1, 2)"
 )
 
 
 @query(
     "p_minhash_terms",
-    select("select row_id, j, s from m", DOC_TERMS, "rws as (select doc_id as row_id from labels)", sampled_sql("m", "SM", k=8)),
+    select("select row_id, j, s from m", DOC_TERMS, "rws as (select distinct doc_id as row_id from documents)", sampled_sql("m", "SM", k=8)),
 )
 def p_minhash_terms(spark, root):
-    rows = views.doc_labels(spark, root).select("row_id")
-    return sketch.p_minhash(views.doc_terms(spark, root), rows, 8, SEED)
+    return sketch.p_minhash(views.doc_terms(spark, root), views.doc_rows(spark, root), 8, SEED)
 
 
 @query("samples_one_based", select("select row_id, j, s from s", CUST, SM))

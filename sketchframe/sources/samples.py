@@ -41,21 +41,22 @@ def read_sketch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_dense_csv(sketch: DataFrame, rows: DataFrame, width: int, path: str) -> None:
-    """One line of 0/1 per row, for tools that read dense text."""
-    columns = sketch.groupBy("row_id").agg(F.collect_set("col").alias("ones"))
-    ones = F.coalesce("ones", F.array().cast("array<bigint>"))
-    positions = F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))
-    cells = F.transform(positions, lambda p: F.array_contains(ones, p).cast("int").cast("string"))
-    rows.join(columns, "row_id", "left").select(F.concat_ws(",", cells).alias("value")).write.mode("errorifexists").text(path)
+    """One line of 0/1 per row, for tools that read dense text: the ones in order, with runs of zeros between."""
+    columns = sketch.groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("col").cast("int"))).alias("ones"))
+    stops = F.concat(F.coalesce("ones", F.array().cast("array<int>")), F.array(F.lit(width)))
+    befores = F.concat(F.array(F.lit(-1)), F.coalesce("ones", F.array().cast("array<int>")))
+    runs = F.zip_with(befores, stops, lambda a, b: F.repeat(F.lit("0,"), b - a - 1))
+    line = F.array_join(runs, "1,")
+    rows.join(columns, "row_id", "left").select(F.rtrim(line, F.lit(",")).alias("value")).write.mode("errorifexists").text(path)
 
 
 LAYOUT = ["dataset", "ratio", "method", "k", "seed", "gamma"]
 
 
 def run_path(root: str, dataset: str, portion: float, method: str, k: int, seed: int, gamma: float | None = None) -> str:
-    """The folder one run lands in; ``gamma`` keeps its first five characters."""
-    tail = "none" if gamma is None else str(gamma)[:5]
-    return f"{root}/dataset={dataset}/ratio={int(10 * portion)}/method={method}/k={k}/seed={seed}/gamma={tail}"
+    """The folder one run lands in; portion and gamma keep all their digits, so no two runs share one."""
+    tail = "none" if gamma is None else repr(float(gamma))
+    return f"{root}/dataset={dataset}/ratio={float(portion)!r}/method={method}/k={k}/seed={seed}/gamma={tail}"
 
 
 def write_run(

@@ -22,9 +22,9 @@ class SparseData(NamedTuple):
 def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | None = None) -> DataFrame:
     """(row_id, value): lines numbered from 0 in file order.
 
-    A task numbers its own lines; each file block then gets the total of the
-    blocks before it.  One pass over the text counts and stores one record per
-    file block; the text itself is not moved while those are few.
+    The text is read once and stored with its file, block and place in the task, as the task saw them; a
+    later evaluation under another parallelism would cut the files elsewhere.  Each block then gets the
+    total of the blocks before it, and every number comes from the stored lines.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -33,7 +33,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | No
     )
     if keep is not None:
         lines = lines.where(keep)
-    tagged = lines.withColumn("_local", F.monotonically_increasing_id())
+    tagged = write_out(lines.withColumn("_local", F.monotonically_increasing_id()), "lines")
     counted = tagged.groupBy("_file", "_block").agg(F.min("_local").alias("first"), F.count("*").alias("size"))
     blocks = write_out(counted, "blocks")
     before = F.sum("size").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
@@ -49,7 +49,7 @@ def read_svmlight(
 
     With ``zero_based='auto'`` indices count from 0 if index 0 occurs, else
     from 1.  Without ``n`` the width is the largest index seen.  Both answers
-    come from one pass over the indices, skipped when they are given.
+    come from one pass over the stored lines.  An index beyond a given ``n`` raises an error.
     """
     body = F.trim(F.regexp_replace("value", "#.*", ""))
     lines = numbered_lines(spark, path, keep=body != "")
@@ -62,13 +62,12 @@ def read_svmlight(
         F.split_part("p", F.lit(":"), F.lit(1)).cast("bigint").alias("f"),
         F.split_part("p", F.lit(":"), F.lit(2)).cast("float").cast("double").alias("v"),
     )
-    shift = 0 if zero_based is True else 1
-    if zero_based == "auto" or n is None:
-        low, high = cells.agg(F.min("f"), F.max("f")).first()
-        if zero_based == "auto":
-            shift = 0 if low == 0 else 1
-        if n is None:
-            n = 0 if high is None else high + 1 - shift
+    low, high = cells.agg(F.min("f"), F.max("f")).first()
+    shift = 0 if zero_based is True or (zero_based == "auto" and low == 0) else 1
+    if n is None:
+        n = 0 if high is None else high + 1 - shift
+    if high is not None and not (low >= shift and high - shift < n):
+        raise ValueError(f"indices {low} to {high} do not fit a width of {n}")
     x = cells.withColumn("f", F.col("f") - F.lit(shift).cast("bigint")).where(F.col("v") != 0)
     return SparseData(x, y, y.select("row_id"), n)
 

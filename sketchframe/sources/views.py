@@ -44,35 +44,42 @@ def emb_width(spark: SparkSession, root: str) -> int:
     return table(spark, root, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
 
 
-# Terms are numbered by 24 bits of their MD5, so no global dictionary is needed.
-TERM_BITS = 24
+# Terms are numbered by 60 bits of their MD5, so no global dictionary is needed.
+TERM_BITS = 60
 
 
-def doc_terms(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled documents as sets of lower-case ASCII words, weighted by count."""
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+def doc_terms(spark: SparkSession, root: str, labelled: bool = False) -> DataFrame:
+    """Documents as sets of lower-case words (runs of letters), weighted by count."""
+    words = F.explode(F.split(F.lower("text"), "[^\\p{L}]+"))
     docs = table(spark, root, "documents").select("doc_id", "text")
-    wanted = table(spark, root, "labels").select("doc_id")
-    terms = docs.join(wanted, "doc_id", "left_semi").select("doc_id", words.alias("term")).where(F.col("term") != "")
+    if labelled:
+        docs = docs.join(table(spark, root, "labels").select("doc_id"), "doc_id", "left_semi")
+    terms = docs.select("doc_id", words.alias("term")).where(F.col("term") != "")
     term_id = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, TERM_BITS // 4), 16, 10).cast("bigint")
     counted = terms.groupBy("doc_id", "term").count()
     return weighted_set(counted, F.col("doc_id"), term_id, F.col("count"))
 
 
+def doc_rows(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select(F.col("doc_id").alias("row_id")).distinct()
+
+
 def doc_labels(spark: SparkSession, root: str) -> DataFrame:
     labels = table(spark, root, "labels")
     return labels.select(F.col("doc_id").alias("row_id"), F.col("quality").cast("int").alias("label"))
 
 
-# The order of the event columns.
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+def event_types(spark: SparkSession, root: str) -> list[str]:
+    """The event types of the table in alphabetical order: a column each."""
+    return [r[0] for r in table(spark, root, "events").select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]
 
 
-def event_mix(spark: SparkSession, root: str) -> DataFrame:
-    """Users by event type, summing the value."""
-    events = table(spark, root, "events").select("user_id", "event_type", "value")
-    column = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")) - 1
-    return weighted_set(events.where(column >= 0), F.col("user_id"), column, F.col("value"))
+def event_mix(spark: SparkSession, root: str, types: list[str]) -> DataFrame:
+    """Users by event type, summing the value; a type that ``types`` lacks is an error."""
+    events = table(spark, root, "events").select("user_id", "event_type", "value").where("event_type is not null")
+    column = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("event_type")) - 1
+    known = F.when(column >= 0, column).otherwise(F.raise_error(F.concat(F.lit("unknown event type "), "event_type")).cast("bigint"))
+    return weighted_set(events, F.col("user_id"), known, F.col("value"))
 
 
 def event_rows(spark: SparkSession, root: str) -> DataFrame:

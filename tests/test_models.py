@@ -121,6 +121,39 @@ def test_stop_rule(spark):
     assert rule(3, 2, 1.95, 1, 0, 0, on_converge=False) == (5, "max_iter")
     assert rule(3, math.nan, 1, max_iter=3) == (3, "NaN")
     assert rule(3, 2, 1e6, max_iter=2) == (2, "max_iter")
+    assert rule(3, 2, max_iter=9) == (2, "ok")
+    assert rule(3, math.inf, 1, max_iter=9) == (3, "NaN")
+    assert rule(3, 1e6, 1, max_iter=3) == (3, "NaN")
+    assert rule(3, 1e6, 1, max_iter=3, on_overflow=True) == (2, "NaN")
+    assert linear.stop_rule(losses(), 3).count() == 0
+
+
+def test_contracts_of_the_two_training_forms(spark):
+    x, y = data()
+    cells, labels = frames(spark, x, y)
+    for packed in (True, False):
+        with pytest.raises(ValueError):
+            linear.minibatch_lr(cells, labels, linear.MinibatchConfig(batch_size=9, width=3), packed=packed)
+        still = linear.minibatch_lr(cells, labels, linear.MinibatchConfig(batch_size=9, width=4, alpha=0.0, epochs=1), packed=packed)
+        assert still.weights.count() == 0
+    with pytest.raises(ValueError):
+        linear.minibatch_lr(cells, labels, linear.MinibatchConfig(batch_size=9, width=10**6))
+
+
+def test_vectors_have_31_bits(spark, cells, rows_of):
+    with pytest.raises(ValueError):
+        linear.to_vectors(cells({0: {0: 1.0}}).withColumnRenamed("f", "col"), rows_of([0]), 2**31)
+
+
+def test_scores_use_the_curve_of_training(spark, cells):
+    x = cells({0: {0: 1.0}, 1: {0: -6.0}, 2: {0: 0.2}})
+    y = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "row_id bigint, label int")
+    w = spark.createDataFrame([(1, 1, 0, 1.0)], "class int, epoch int, f bigint, w double")
+    share = lambda kind: linear.score_epochs(x, y, w, sigmoid=kind).first()["accuracy"]
+    assert share(None) == share("linear") == pytest.approx(2 / 3)
+    # the cubic curve rises again far from zero, and the segment gives 0 beyond one half
+    assert share("cube") == pytest.approx(sum(0.5 + 0.197 * z - 0.004 * z**3 >= 0.5 for z in (1, -6, 0.2)) / 3)
+    assert share("segment") == pytest.approx(sum((z if -0.5 < z < 0.5 else 0) >= 0.5 for z in (1, -6, 0.2)) / 3)
 
 
 # --- shares --------------------------------------------------------------------

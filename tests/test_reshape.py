@@ -137,6 +137,8 @@ def test_gamma_rules(cells):
 def test_best_epoch_takes_the_earliest(spark):
     metrics = spark.createDataFrame([(1, 0.5, "x"), (2, 0.7, "y"), (3, 0.7, "z")], "epoch int, accuracy double, status string")
     assert tuple(stats.best_epoch(metrics).first()) == (2, 0.7, "y")
+    broken = spark.createDataFrame([(1, float("nan"), "x"), (2, 0.1, "y")], "epoch int, accuracy double, status string")
+    assert tuple(stats.best_epoch(broken).first()) == (2, 0.1, "y")
 
 
 def test_reports(spark):

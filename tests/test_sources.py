@@ -85,7 +85,7 @@ def test_layout_prunes(spark, tmp_path, drawn):
     root = str(tmp_path / "runs")
     samples.write_run(drawn, root, "d", 0.3, "SM", 2, 1)
     samples.write_run(drawn.where("row_id = 0"), root, "d", 0.3, "RBF", 2, 1, gamma=0.0123456)
-    assert samples.run_path("", "d", 0.3, "RBF", 2, 1, 0.0123456).endswith("ratio=3/method=RBF/k=2/seed=1/gamma=0.012")
+    assert samples.run_path("", "d", 0.3, "RBF", 2, 1, 0.0123456).endswith("ratio=0.3/method=RBF/k=2/seed=1/gamma=0.0123456")
     one = samples.read_run(spark, root, method="RBF")
     assert one.count() == 2
     plan = one._jdf.queryExecution().executedPlan().toString()
@@ -94,6 +94,57 @@ def test_layout_prunes(spark, tmp_path, drawn):
         samples.read_run(spark, root, colour="red")
 
 
+def test_runs_that_differ_in_a_late_digit_do_not_meet():
+    paths = {samples.run_path("", "d", p, "RBF", 2, 1, g) for p in (0.3, 0.35) for g in (0.00123, 0.00124, 8.4731e-09, 8.4735e-05)}
+    assert len(paths) == 8
+
+
+@pytest.mark.parametrize("before, after", [(8, 3), (2, 8)])
+def test_lines_survive_another_parallelism(spark, tmp_path, before, after):
+    """Lines are numbered as they were read, however the session would cut the files later."""
+    path = str(tmp_path / "text")
+    spark.range(20_000, numPartitions=3).selectExpr("cast(id as string) as value").write.text(path)
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(names[0], before)
+        spark.conf.set(names[1], 1)
+        lines = svmlight.numbered_lines(spark, path)
+        spark.conf.set(names[0], after)
+        spark.conf.set(names[2], "16k")
+        got = lines.collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sorted(r.row_id for r in got) == list(range(20_000))
+    assert {r.value for r in got} == {str(i) for i in range(20_000)}
+    in_order = [int(r.value) for r in sorted(got, key=lambda r: r.row_id)]
+    assert sum(b < a for a, b in zip(in_order, in_order[1:])) <= 2
+
+
+def test_samples_without_row_ids(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.createDataFrame([("1,2",), ("3,4",)], "value string").coalesce(1).write.text(path)
+    got = {(r.row_id, r.j): r.s for r in samples.read_samples(spark, path, has_row_id=False).collect()}
+    assert got == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 4}
+
+
+def test_an_index_beyond_the_width_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "beyond")
+    spark.createDataFrame([("1 1:1 5:2",)], "value string").write.text(path)
+    with pytest.raises(ValueError):
+        svmlight.read_svmlight(spark, path, n=4, zero_based=False)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from sketchframe.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 # --- plans ---------------------------------------------------------------------
 
 
