@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchframe.session import write_out
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,19 +31,26 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text) is in ``kept(doc_id, key, rows)``, once each.
+def only(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``pairs(doc_id, key, rows, kept)`` keeps, once each.
 
-    ``rows`` tells how often ``docs`` has that pair; only pairs it has more than once are grouped.
+    ``rows`` tells how often ``docs`` has that id and text.  Rows that a bitmap shows to be kept and single, nearly all, pass
+    where they are; the others meet their pair in a join, and repeated ones are grouped.
     """
-    tagged = docs.withColumn("_key", text_key())
-    marks = kept.select(F.col("doc_id").alias("_id"), F.col("key").alias("_mark"), F.col("rows").alias("_rows"))
-    same = (tagged["_key"] == marks["_mark"]) & tagged["doc_id"].eqNullSafe(marks["_id"])
-    joined = tagged.join(marks, same).drop("_id", "_mark")
-    once = joined.where("_rows = 1").select(docs.columns)
+    concerned = pairs.where("rows > 1 or not kept").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_mark"), F.col("rows").alias("_rows"), F.col("kept").alias("_kept")
+    )
+    concerned = write_out(concerned, "concerned")
+    tagged = docs.withColumn("_own", text_key())
+    tagged = tagged.withColumn("_hash", F.xxhash64("_own", F.col("doc_id").cast("bigint")))
+    tagged = flagged(tagged, "_hash", concerned.select(F.xxhash64("_mark", "_id").alias("id")))
+    free = tagged.where("not _maybe").select(docs.columns)
+    same = (F.col("_own") == F.col("_mark")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    met = tagged.where("_maybe").join(concerned, same, "left")
+    single = met.where("_mark is null").select(docs.columns)
     columns = F.struct(*docs.columns)
-    more = joined.where("_rows > 1").groupBy("doc_id", "_key").agg(F.min(columns).alias("_row")).select("_row.*")
-    return once.unionByName(more)
+    repeated = met.where("_kept").groupBy("doc_id", "_own").agg(F.min(columns).alias("_row")).select("_row.*")
+    return free.unionByName(single).unionByName(repeated)
 
 
 def labelled(labels: DataFrame, column: str, learn: Column) -> DataFrame:
@@ -68,11 +77,11 @@ def learnable(n: int, out: int) -> tuple[Column, Column]:
 BITMAP_BITS = 24
 
 
-def in_bitmap(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose long may be in ``wanted(id)``: all that are, and a share of the others.
+def flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: whether its long may be in ``wanted(id)``; true for all that are, and a share of the others.
 
     A bitmap of fixed size (2 MB), sent to all tasks, tells; it spares wide rows an exchange that a join
-    throws away.  The more ids are wanted, the more other rows pass.
+    throws away.  The more ids are wanted, the more other rows are flagged.
     """
     place = F.col("id").bitwiseAND((1 << BITMAP_BITS) - 1)
     pages = wanted.select(F.shiftright(place, 15).alias("_page"), place.bitwiseAND(32767).alias("_bit"))
@@ -81,4 +90,10 @@ def in_bitmap(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     byte = F.substring("_map", F.shiftright(own.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))
     value = F.conv(F.hex(byte), 16, 10).cast("int")
     is_set = F.call_function("shiftright", value, own.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    return df.join(F.broadcast(pages), F.shiftright(own, 15) == F.col("_page")).where(is_set).drop("_page", "_bit", "_map")
+    joined = df.join(F.broadcast(pages), F.shiftright(own, 15) == F.col("_page"), "left")
+    return joined.withColumn("_maybe", F.coalesce(is_set, F.lit(False))).drop("_page", "_bit", "_map")
+
+
+def in_bitmap(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` that are flagged: all whose long is in ``wanted(id)``, and some others."""
+    return flagged(df, column, wanted).where("_maybe").drop("_maybe")

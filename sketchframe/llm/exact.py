@@ -52,5 +52,4 @@ def classes(docs: DataFrame, keep: str = "smallest", content_hash: Callable[[Col
 def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs``, all columns, one for each distinct text."""
     found = classes(docs, keep)
-    again = found.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
-    return only(docs, write_out(again.where("kept").select("doc_id", "key", "rows"), "kept"))
+    return only(docs, found.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.llm.common import only, text_key, texts
+from sketchframe.llm.common import in_bitmap, only, text_key, texts
 from sketchframe.llm.components import components
 from sketchframe.llm.text import Flat, flat, mix, salted, shingles, uniform
 from sketchframe.session import write_out
@@ -86,7 +86,7 @@ def _signed(bands: int, rows: int, size: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in flat(batch.column("text")):
+            for piece in flat(batch.column("text"), 2 << 20):
                 row, shingle, weight = weighted(piece, size)
                 per_row = np.bincount(row, minlength=piece.n)
                 owner = prob_minhash(row, shingle, weight, piece.n, m)
@@ -181,8 +181,9 @@ def near_classes(
     star = write_out(led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct(), "star")
     wanted = degrees.join(nodes.select("print", "key", "doc_id"), "print")
     wanted = write_out(wanted.select("print", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "wanted")
-    same = (base["key"] == wanted["_key"]) & base["doc_id"].eqNullSafe(wanted["_id"])
-    bodies = write_out(base.join(wanted, same).select("print", "text").dropDuplicates(["print"]), "bodies")
+    some = in_bitmap(base.withColumn("_hash", F.xxhash64("key", "doc_id")), "_hash", wanted.select(F.xxhash64("_key", "_id").alias("id")))
+    same = (some["key"] == wanted["_key"]) & some["doc_id"].eqNullSafe(wanted["_id"])
+    bodies = write_out(some.join(wanted, same).select("print", "text").dropDuplicates(["print"]), "bodies")
     found = _similarities(star, bodies, size)
     links = found.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
 
@@ -222,7 +223,8 @@ def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
 
     Several rows may bear the least id of a class; then the one with the least text key stays.
     """
-    found = near_classes(docs, **options).where("kept")
-    pairs = found.groupBy("root", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    one = pairs.groupBy("root").agg(F.min(F.struct("key", "doc_id", "rows")).alias("one"))
-    return only(docs, write_out(one.select("one.*"), "kept"))
+    found = write_out(near_classes(docs, **options), "found")
+    pairs = write_out(found.groupBy("root", "key", "doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("least")), "pairs")
+    best = write_out(pairs.where("least").groupBy("root").agg(F.min("key").alias("best")), "best")
+    stays = F.col("least") & (F.col("key") == F.col("best"))
+    return only(docs, pairs.join(best, "root").select("doc_id", "key", "rows", stays.alias("kept")))

@@ -99,7 +99,7 @@ class BlockMaxIndex:
             used = np.flatnonzero(part.any(axis=0))
             self.blocks.append((start, used, np.ascontiguousarray(part[:, used].T)))
             bounds.append(part.max(axis=0))
-        self.bounds = np.array(bounds).reshape(-1, width)
+        self.bounds = np.array(bounds).reshape(len(bounds), width)
 
     def search(self, queries: np.ndarray, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k largest positive cosines of each query and their examples (-1: none).
