@@ -38,6 +38,7 @@ from sketchframe.llm.text import Flat, flat, mix, salted, shingles, uniform
 from sketchframe.session import write_out
 
 BANDS, ROWS, REGISTERS = 20, 4, 160
+HELD = 2_000_000  # shingles that a verifying task keeps at hand
 
 
 # --- in a task --------------------------------------------------------------
@@ -117,20 +118,26 @@ def _signed(bands: int, rows: int, size: int, m: int):
 
 
 def _verified(size: int):
-    def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for piece in flat(column):
+    def sets(column: pa.Array, names: list[str], held: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Add the shingles of texts that are not held yet; members of one group come again and again."""
+        new = list({name: i for i, name in enumerate(names) if name not in held}.values())
+        for piece in flat(column.take(pa.array(new, pa.int64()))):
             row, shingle, weight = weighted(piece, size)
             cut = np.searchsorted(row, np.arange(piece.n + 1))
-            out += [(shingle[s:e], weight[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        return out
+            for i in range(piece.n):
+                held[names[new[piece.first + i]]] = shingle[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                pairs = zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True)
-                value = [probability_jaccard(*a, *b) for a, b in pairs]
+                if sum(len(x) for x, _ in held.values()) > HELD:
+                    held.clear()
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                sets(part.column("text_a"), a, held)
+                sets(part.column("text_b"), b, held)
+                value = [probability_jaccard(*held[x], *held[y]) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
 
     return run
@@ -175,9 +182,8 @@ def near_classes(
     sizes = write_out(members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     met = write_out(members.join(sizes, ["band", "h"]), "met")
     degrees = write_out(met.groupBy("print").agg(F.sum("n").alias("degree")), "degrees")
-    shared = write_out(met.drop("n").join(degrees, "print"), "shared")
-    leaders = shared.groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
-    led = write_out(shared.drop("degree").join(write_out(leaders, "leaders"), ["band", "h"]), "led")
+    leaders = met.join(degrees, "print").groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
+    led = write_out(met.drop("n").join(write_out(leaders, "leaders"), ["band", "h"]), "led")
     star = write_out(led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct(), "star")
     wanted = degrees.join(nodes.select("print", "key", "doc_id"), "print")
     wanted = write_out(wanted.select("print", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "wanted")
@@ -192,16 +198,17 @@ def near_classes(
     placed = led.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     placed = write_out(placed, "placed")
     mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    apart = write_out(placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"]), "apart")
+    apart = placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"])
     known = found.select(F.col("a").alias("print"), F.col("b").alias("lead"), "similarity")
     apart = apart.join(known, ["print", "lead"], "left").join(nodes.select("print", "signature"), "print")
     apart = write_out(apart.withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
-    x, y = apart.alias("x"), apart.alias("y")
+    # of two members in different components one at least is not linked to the leader
+    x, y = apart.where(F.col("similarity") < threshold - 1e-9).alias("x"), apart.alias("y")
     likely = (
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.root") < F.col("y.root"))
-        & (F.col("x.print") != F.col("x.lead"))
+        & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("y.similarity") >= threshold - 1e-9) | (F.col("x.print") < F.col("y.print")))
         & (F.col("y.print") != F.col("y.lead"))
         & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1.0 - threshold + 1e-9)
         & (_agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8) >= least)
