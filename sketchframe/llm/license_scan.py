@@ -91,7 +91,7 @@ _FAMILIES = [
 _SENTENCES = [
     ("mit", "charge", "permission\\s+is\\s+hereby\\s+granted,?\\s+free\\s+of\\s+charge,?\\s+to\\s+any\\s+person\\s+obtaining\\s+a\\s+copy", 1),
     ("isc", "permission", "permission\\s+to\\s+use,\\s+copy,\\s+modify,\\s+and(?:/or)?\\s+distribute\\s+this\\s+software\\s+for\\s+any\\s+purpose\\s+with\\s+or\\s+without\\s+fee", 1),
-    ("bsd-3-clause", "endorse", "neither\\s+the\\s+names?\\s+of\\s+.{1,120}?\\s+endorse\\s+or\\s+promote\\s+products", 1),
+    ("bsd-3-clause", "endorse", "neither\\s+the\\s+names?\\s+of\\s+[\\s\\S]{1,2000}?\\s+endorse\\s+or\\s+promote\\s+products", 1),
     ("bsd-2-clause", "redistribution", "redistribution\\s+and\\s+use\\s+in\\s+source\\s+and\\s+binary\\s+forms,?\\s+with\\s+or\\s+without", 2),
     ("bsd-4-clause", "advertising", "all\\s+advertising\\s+materials\\s+mentioning\\s+features", 1),
     ("zlib", "as-is", "provided\\s+'as-is',?\\s+without\\s+any\\s+express\\s+or\\s+implied\\s+warranty", 2),

@@ -135,3 +135,18 @@ def test_there_are_hundreds_of_rules_with_keywords_that_their_matches_hold():
 def test_containment(documents, text, stays):
     (row,) = license_scan.scan(documents([(1, text)])).collect()
     assert [h.label for h in row.hits] == stays
+
+
+WRAPPED = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("holder", ["the copyright holder", "the University of " + "Somewhere and of\nElsewhere, " * 30])
+def test_wrapped_bsd_3(documents, holder):
+    (row,) = license_scan.scan(documents([(1, WRAPPED.format(holder))])).collect()
+    assert row.labels.split(",") == ["bsd-2-clause", "bsd-3-clause"]
+    assert [(h.start, h.stop, h.priority, h.rule, h.label) for h in row.hits] == hits(WRAPPED.format(holder))
