@@ -3,9 +3,9 @@
 Detection reads a text once and gives spans: assignments, access keys and long hexadecimal
 runs (the base), and elsewhere tokens that mix cases and digits with high entropy (``mixed``).  The hash of each candidate's
 value is then counted over the whole corpus by distinct repositories and distinct owners.  A value that
-``copied`` or more owners have is a widely copied example; one that a single owner has looks live.  Base spans always stay;
-a mixed token is reported only where its value looks live, since identifiers that many owners share
-are no secrets.  By default a document counts as a repository and its source as the owner.
+``copied`` or more owners, or ``widely`` or more repositories have is a widely copied example; one that a single
+owner has in fewer repositories looks live.  Base spans always stay; a mixed token is reported unless its value is a
+copied one, since identifiers that so many share are no secrets.  By default a document counts as a repository and its source as the owner.
 
 Counting takes distinct (hash, repository) and (hash, owner) pairs first, so that a value that a third of
 all rows hold pre-aggregates in every task.  Values are stored and moved as hashes only.
@@ -91,11 +91,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "hash")
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied: int = 3) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied: int = 3, widely: int = 10) -> DataFrame:
     """Per row: doc_id, counts by base kind, base_sha256, spans, n_mixed, n_live, n_copied, and the ``findings``.
 
-    A finding has start, stop, kind, repositories, owners and verdict: ``live`` for one owner, ``copied`` from
-    ``copied`` owners on, ``shared`` between.
+    A finding has start, stop, kind, repositories, owners and verdict: ``copied`` from
+    ``copied`` owners or ``widely`` repositories on, else ``live`` for one owner, ``shared`` for more.
     """
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -110,10 +110,10 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", cop
     rows = write_out(base.mapInArrow(_detect, schema).withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = rows.select("row", "repository", "owner", F.inline("found"))
     known = write_out(ownership(each.select("hash", "repository", "owner")), "ownership")
-    verdict = F.when(F.col("owners") <= 1, "live").when(F.col("owners") >= copied, "copied").otherwise("shared")
+    verdict = F.when((F.col("owners") >= copied) | (F.col("repositories") >= widely), "copied").when(F.col("owners") <= 1, "live").otherwise("shared")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     judged = each.join(known, "hash").select("row", "start", "kind", F.struct("start", "stop", kind.alias("kind"), "repositories", "owners", verdict.alias("verdict")).alias("f"))
-    judged = judged.where((F.col("kind") < 3) | (F.col("f.verdict") == "live"))
+    judged = judged.where((F.col("kind") < 3) | (F.col("f.verdict") != "copied"))
     # a row's own findings
     listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "f"))).alias("l"))
     listed = listed.select("row", F.transform("l", lambda x: x["f"]).alias("findings"))

@@ -150,3 +150,18 @@ def test_wrapped_bsd_3(documents, holder):
     (row,) = license_scan.scan(documents([(1, WRAPPED.format(holder))])).collect()
     assert row.labels.split(",") == ["bsd-2-clause", "bsd-3-clause"]
     assert [(h.start, h.stop, h.priority, h.rule, h.label) for h in row.hits] == hits(WRAPPED.format(holder))
+
+
+def test_both_counts_decide(documents):
+    """Ids of one remainder by 3 have one owner."""
+    key, own, twice = "Zq8Lr2Xv7Bn4Mc1Tp9Wd3", "Kd5Wm1Rz8Hv3Gs6Jb4Nq9", "Yt7Pf2Qc9Lx4Vk1Sn6Dh3"
+    docs = [(3 * i, f"example {key} password=hunter22") for i in range(10)] + [(3 * i, f"mine {own}") for i in range(20, 24)]
+    docs += [(100, f"a {twice}"), (101, f"a {twice}")]
+    by_id = {r.doc_id: r for r in secret_scan.scan(documents(docs)).collect()}
+    # ten documents of one owner: an example, whose base span stays
+    assert by_id[0].spans.startswith("assign:") and "mixed" not in by_id[0].spans
+    assert [(f.kind, f.repositories, f.owners, f.verdict) for f in by_id[0].findings] == [("assign", 10, 1, "copied")] and by_id[0].n_live == 0
+    # few documents of one owner
+    assert by_id[60].spans == "mixed:5:26" and [f.verdict for f in by_id[60].findings] == ["live"]
+    # a document that was copied to a second owner
+    assert by_id[100].spans == by_id[101].spans == "mixed:2:23" and [f.verdict for f in by_id[100].findings] == ["shared"]
