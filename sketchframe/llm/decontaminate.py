@@ -3,10 +3,10 @@
 Texts become templates: runs of digits, units of measure after a number, and names (capitalised words inside a
 sentence) turn into placeholders of one character each, all other words are lower-cased.  Windows of
 ``width`` template words are hashed and joined between benchmark and documents, then compared
-word by word.  Matches of one document and item on one diagonal (document position less item position) belong
-together.  Their slots must be consistent: each value in the item must always stand for the same value in the
-document, as it does in a question that was asked again with other numbers or names.  Consistent diagonals
-that cover at least ``share`` of an item's windows make a leak.
+word by word.  The slots of a window must be consistent: each value in the item must stand for one value in the
+document within that window, as it does in a question that was asked again with other numbers or names.  Only windows
+with a conflict are left out, so one slot that differs costs the windows around it and equal values
+far apart may be different variables.  Windows that cover at least ``share`` of an item's windows make a leak.
 
 The benchmark side is counted first: up to ``BROADCAST_ROWS`` windows are sent to all tasks, so that documents
 are neither moved nor multiplied; beyond that, the windows of both sides are exchanged by their hash.
@@ -129,15 +129,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
         F.zip_with("pattern", F.arrays_zip("values", "said"), lambda p, v: F.struct(_is_slot(p).alias("slot"), v["values"].alias("value"), v["said"].alias("said"))),
         lambda s: s["slot"],
     )
-    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "at", (F.col("pos") - F.col("at")).alias("diagonal"), pairs.alias("pairs"))
-    # one item's windows on one diagonal: their number is bounded by the item
-    lined = hits.groupBy("doc_id", "key", "item_id", "item_key", "windows", "diagonal").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "at", F.array_distinct(pairs).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda s: s["value"])))
-    lined = lined.where(F.size("pairs") == values)
-    alike = lined.groupBy("doc_id", "key", "item_id", "item_key", "windows").agg(
-        F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    # one item's windows in one document: the sets are bounded by the item and the values met
+    alike = hits.where(F.size("pairs") == values).groupBy("doc_id", "key", "item_id", "item_key", "windows").agg(
+        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     matched = F.size("at").cast("bigint")
     whole = alike.select(

@@ -93,3 +93,30 @@ def test_every_planted_item_is_found(spark):
     bench = spark.read.parquet(f"{root}/benchmark.parquet")
     want = {(r.doc_id, i.item_id) for i in bench.collect() for r in docs.where(docs.text.contains(i.text)).collect()}
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+
+
+def only_leak(spark, documents, item, text):
+    found = decontaminate.leaks(documents([(1, text)]), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert len(found) <= 1
+    return found[0] if found else None
+
+
+def test_one_conflict_costs_the_windows_around_it(spark, documents):
+    words = [rng.choice(WORDS) for _ in range(217)]
+    words[50] = words[150] = "2"
+    copy = list(words)
+    copy[150] = "3"
+    found = only_leak(spark, documents, " ".join(words), " ".join(copy))
+    assert (found.windows, found.matched, found.changed) == (210, 210, 1)
+    # both in one window: only the windows that hold both conflict
+    words[150], words[54] = "x", "2"
+    copy = list(words)
+    copy[54] = "3"
+    found = only_leak(spark, documents, " ".join(words), " ".join(copy))
+    assert (found.windows, found.matched) == (210, 206)
+
+
+def test_equal_values_may_be_different_variables(spark, documents):
+    item = "the shop on the corner sells 2 pens to every child that comes in and each of them costs 2 dollars at noon"
+    found = only_leak(spark, documents, item, item.replace("2 pens", "3 pens").replace("2 dollars", "5 dollars"))
+    assert found.matched == found.windows
