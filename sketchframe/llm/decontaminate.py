@@ -13,7 +13,9 @@ are neither moved nor multiplied; beyond that, the windows of both sides are exc
 
 Defined cases: null texts are empty and match nothing.  An item of fewer than ``width`` words is one window
 of all its words.  Windows with fewer than ``literals`` ordinary words (or half the words of a short item)
-tell nothing and are not compared.  Items with equal ids and texts count once.  Rows that repeat id and text
+tell little: they match only where all values are equal.  A leak has ``share`` of all of an item's windows or of
+those that tell more, and the greater of the two is reported.  Items without any ordinary word are
+not compared.  Items with equal ids and texts count once.  Rows that repeat id and text
 give one row per item.  Other columns are not read.
 """
 
@@ -78,20 +80,29 @@ def _hashes(words: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
-    """(item_id, at, windows, size, h, pattern, slots): the windows of every item, its template and its values."""
+    """(item_id, item_key, at, size, pattern, values, windows, telling, told, h): the windows of every item.
+
+    ``windows`` counts them and ``telling`` those with enough ordinary words, as ``told`` says of each.
+    """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     words = items.select("item_id", "text", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
     words = words.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(width)))
-    spread = words.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("at"))
+    words = words.where(F.exists("t", lambda w: ~_is_slot(w)))
+
+    def told(pattern: Column) -> Column:
+        return F.size(F.filter(pattern, lambda w: ~_is_slot(w))) >= F.least(F.lit(literals), F.ceil(F.col("size") / 2))
+
+    places = F.sequence(F.lit(0), F.size("t") - F.col("size"))
+    telling = F.size(F.filter(places, lambda i: told(F.slice("t", i + 1, F.col("size")))))
+    # the counts are the row's own, so that nothing is joined and items without an id stay
+    words = words.withColumn("windows", (F.size("t") - F.col("size") + 1).cast("bigint")).withColumn("telling", telling.cast("bigint"))
+    spread = words.select("*", F.explode(places).alias("at"))
     pattern = F.slice("t", F.col("at") + 1, F.col("size"))
-    cut = spread.select(
+    return spread.select(
         "item_id", text_key().alias("item_key"), "at", "size", pattern.alias("pattern"),
         F.transform(F.slice("r", F.col("at") + 1, F.col("size")), F.lower).alias("values"),
+        "windows", "telling", told(pattern).alias("told"), F.xxhash64(pattern).alias("h"),
     )
-    ordinary = F.size(F.filter("pattern", lambda w: ~_is_slot(w)))
-    told = cut.where(ordinary >= F.least(F.lit(literals), F.ceil(F.col("size") / 2)))
-    totals = told.groupBy("item_id", "item_key").agg(F.count("*").alias("windows"))
-    return told.join(totals, ["item_id", "item_key"]).withColumn("h", F.xxhash64("pattern"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, share: float = 0.25, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -129,15 +140,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
         F.zip_with("pattern", F.arrays_zip("values", "said"), lambda p, v: F.struct(_is_slot(p).alias("slot"), v["values"].alias("value"), v["said"].alias("said"))),
         lambda s: s["slot"],
     )
-    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "at", F.array_distinct(pairs).alias("pairs"))
+    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "telling", "told", "at", F.array_distinct(pairs).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda s: s["value"])))
     # one item's windows in one document: the sets are bounded by the item and the values met
-    alike = hits.where(F.size("pairs") == values).groupBy("doc_id", "key", "item_id", "item_key", "windows").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
+    equal = F.forall("pairs", lambda s: s["value"] == s["said"])
+    fits = equal | (F.col("told") & (F.size("pairs") == values))
+    alike = hits.where(fits).groupBy("doc_id", "key", "item_id", "item_key", "windows", "telling").agg(
+        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("told"), F.col("at"))).alias("told_at"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    )
     matched = F.size("at").cast("bigint")
     whole = alike.select(
-        "doc_id", "item_id", "windows", matched.alias("matched"), (matched / F.col("windows")).alias("share"),
+        "doc_id", "item_id", "windows", matched.alias("matched"), F.greatest(matched / F.col("windows"), F.when(F.col("telling") > 0, F.size("told_at") / F.col("telling"))).alias("share"),
         F.size("pairs").cast("bigint").alias("slots"), F.size(F.filter("pairs", lambda s: s["value"] != s["said"])).cast("bigint").alias("changed"), "key",
     )
     return whole.where(F.col("share") >= share)

@@ -120,3 +120,17 @@ def test_equal_values_may_be_different_variables(spark, documents):
     item = "the shop on the corner sells 2 pens to every child that comes in and each of them costs 2 dollars at noon"
     found = only_leak(spark, documents, item, item.replace("2 pens", "3 pens").replace("2 dollars", "5 dollars"))
     assert found.matched == found.windows
+
+
+def test_items_of_numbers_are_found_verbatim(spark, documents):
+    item = "What is 12 + 7 - 3 + 45 - 6 + 9 + 81 - 4 + 2 + 66?"
+    found = only_leak(spark, documents, item, prose(20) + ". " + item + " " + prose(5))
+    assert found.windows == found.matched == 5 and found.changed == 0
+    # other numbers alone tell nothing
+    assert only_leak(spark, documents, item, "What is 13 + 8 - 2 + 44 - 7 + 1 + 80 - 5 + 3 + 67?") is None
+
+
+def test_items_without_an_id(spark, documents):
+    items = spark.createDataFrame([(None, PLAIN[0]), (None, PLAIN[1]), (3, PLAIN[2])], "item_id bigint, text string")
+    found = decontaminate.leaks(documents([(1, PLAIN[0]), (2, PLAIN[2]), (3, PLAIN[1])]), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, None), (2, 3), (3, None)}
