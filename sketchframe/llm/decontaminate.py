@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts become templates: runs of digits, units of measure after a number, and names (capitalised words inside a
-sentence) turn into placeholders of one character each, all other words are lower-cased.  Windows of
+Texts become templates: runs of digits, units of measure after a number, and names turn into placeholders of one
+character each, all other words are lower-cased.  A capitalised word may be a name or not, so a text has two templates:
+all of its capitalised words are names in one and words in the other, whatever stands before them.  Windows of
+both count; a window without capitalised words has one hash, others two.  Windows of
 ``width`` template words are hashed and joined between benchmark and documents, then compared
 word by word.  The slots of a window must be consistent: each value in the item must stand for one value in the
 document within that window, as it does in a question that was asked again with other numbers or names.  Only windows
@@ -55,14 +57,14 @@ def raw_words(text: Column) -> Column:
     return _words(_apart(text))
 
 
-def template_words(text: Column) -> Column:
-    """The same words with placeholders, one for one."""
+def template_words(text: Column, names: bool = True) -> Column:
+    """The same words with placeholders, one for one; capitalised words are names if ``names``."""
     apart = _apart(text)
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     united = F.regexp_replace(apart, f"(?<=\\p{{N}})([ -]+)(?i:{units})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}")
-    named = F.regexp_replace(
-        F.when(text.rlike("\\p{N}"), united).otherwise(apart), " (?<=[\\p{L}\\p{N},;:)] )\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", f" {NAME}"
-    )
+    named = F.when(text.rlike("\\p{N}"), united).otherwise(apart)
+    if names:
+        named = F.regexp_replace(named, "(?<![\\p{L}\\p{N}])\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", NAME)
     numbered = F.when(text.rlike("\\p{N}"), F.regexp_replace(named, "\\p{N}+", NUMBER)).otherwise(named)
     # U+0130 is the one letter whose lower case is longer
     return _words(F.lower(F.replace(numbered, F.lit("\u0130"), F.lit("i"))))
@@ -72,22 +74,27 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _hashes(words: Column, size: int) -> Column:
-    """The hash of every window of ``size`` words, in order."""
-    places = F.sequence(F.lit(0), F.size(words) - size)
-    made = F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
-    return F.when(F.size(words) >= size, made).otherwise(F.array().cast("array<bigint>"))
+def _hashes(plain: Column, named: Column, size: int) -> Column:
+    """(pos, hs) of every window of ``size`` words, in order: the hashes of its templates, one where they are equal."""
+    places = F.sequence(F.lit(0), F.size(plain) - size)
+
+    def window(i: Column) -> Column:
+        both = F.array(F.xxhash64(F.slice(plain, i + 1, size)), F.xxhash64(F.slice(named, i + 1, size)))
+        return F.struct(i.alias("pos"), F.array_distinct(both).alias("hs"))
+
+    return F.when(F.size(plain) >= size, F.transform(places, window)).otherwise(F.array().cast("array<struct<pos:int,hs:array<bigint>>>"))
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
-    """(item_id, item_key, at, size, pattern, values, windows, telling, told, h): the windows of every item.
+    """(item_id, item_key, at, size, pattern, named, values, windows, telling, telling_at, told, h): every item's windows.
 
-    ``windows`` counts them and ``telling`` those with enough ordinary words, as ``told`` says of each.
+    A window has a row per template.  ``windows`` counts windows and ``telling`` those with enough ordinary words besides
+    names, as ``telling_at`` says of each; ``told`` says it of the template.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    words = items.select("item_id", "text", template_words(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
+    words = items.select("item_id", "text", template_words(F.col("text")).alias("t"), template_words(F.col("text"), False).alias("p"), raw_words(F.col("text")).alias("r"))
     words = words.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(width)))
-    words = words.where(F.exists("t", lambda w: ~_is_slot(w)))
+    words = words.where(F.exists("p", lambda w: ~_is_slot(w)))
 
     def told(pattern: Column) -> Column:
         return F.size(F.filter(pattern, lambda w: ~_is_slot(w))) >= F.least(F.lit(literals), F.ceil(F.col("size") / 2))
@@ -96,12 +103,14 @@ def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
     telling = F.size(F.filter(places, lambda i: told(F.slice("t", i + 1, F.col("size")))))
     # the counts are the row's own, so that nothing is joined and items without an id stay
     words = words.withColumn("windows", (F.size("t") - F.col("size") + 1).cast("bigint")).withColumn("telling", telling.cast("bigint"))
-    spread = words.select("*", F.explode(places).alias("at"))
-    pattern = F.slice("t", F.col("at") + 1, F.col("size"))
+    cut = words.select("*", F.explode(places).alias("at"))
+    plain, named = (F.slice(c, F.col("at") + 1, F.col("size")) for c in ("p", "t"))
+    # whether a window tells enough is judged with names as slots
+    spread = cut.select("*", told(named).alias("telling_at"), F.explode(F.array_distinct(F.array(plain, named))).alias("pattern"))
     return spread.select(
-        "item_id", text_key().alias("item_key"), "at", "size", pattern.alias("pattern"),
+        "item_id", text_key().alias("item_key"), "at", "size", "pattern", F.array_contains("pattern", NAME).alias("named"),
         F.transform(F.slice("r", F.col("at") + 1, F.col("size")), F.lower).alias("values"),
-        "windows", "telling", told(pattern).alias("told"), F.xxhash64(pattern).alias("h"),
+        "windows", "telling", "telling_at", told(F.col("pattern")).alias("told"), F.xxhash64("pattern").alias("h"),
     )
 
 
@@ -113,21 +122,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     items = write_out(item_windows(benchmark, width, literals), "items")
     few = items.count() <= limit
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most `width` numbers
-    base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"))
+    base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"), template_words(F.col("text"), False).alias("p"))
     key = text_key().alias("key")
+    if not few:
+        # every window carries its words as written, so a text is cut once
+        base = base.withColumn("r", raw_words(F.col("text")))
+    written = raw_words(F.col("text")) if few else F.col("r")
     parts = []
     for n in sizes:
         own = items.where(F.col("size") == n)
-        spread = base.select("doc_id", "text", "t", F.posexplode(_hashes(F.col("t"), n)).alias("pos", "h"))
-        found = F.slice("t", F.col("pos") + 1, n).alias("found")
+        spread = base.select("doc_id", "text", "t", "p", *([] if few else ["r"]), F.inline(_hashes(F.col("p"), F.col("t"), n))).select("*", F.explode("hs").alias("h"))
+        # a pattern without names is met by plain words
+        plain, named = (F.slice(c, F.col("pos") + 1, n) for c in ("p", "t"))
         # the words as written are wanted only where the template has slots
         slotted = F.exists("pattern", _is_slot)
-        said = F.transform(F.slice(raw_words(F.col("text")), F.col("pos") + 1, n), F.lower)
+        said = F.transform(F.slice(written, F.col("pos") + 1, n), F.lower)
         if few:
-            met = spread.join(F.broadcast(own), "h").where(found == F.col("pattern"))
+            met = spread.join(F.broadcast(own), "h").where(F.when(F.col("named"), named).otherwise(plain) == F.col("pattern"))
             met = met.select(*own.columns, "doc_id", key, "pos", F.when(slotted, said).otherwise(F.col("values")).alias("said"))
         else:
-            met = spread.select("doc_id", key, "pos", "h", found, said.alias("said")).join(own, "h").where(F.col("found") == F.col("pattern"))
+            met = spread.select("doc_id", key, "pos", "h", plain.alias("plain"), named.alias("with_names"), said.alias("said")).join(own, "h")
+            met = met.where(F.when(F.col("named"), F.col("with_names")).otherwise(F.col("plain")) == F.col("pattern"))
             met = met.select(*own.columns, "doc_id", "key", "pos", "said")
         parts.append(met)
     nothing = items.where("false").select(
@@ -140,13 +155,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
         F.zip_with("pattern", F.arrays_zip("values", "said"), lambda p, v: F.struct(_is_slot(p).alias("slot"), v["values"].alias("value"), v["said"].alias("said"))),
         lambda s: s["slot"],
     )
-    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "telling", "told", "at", F.array_distinct(pairs).alias("pairs"))
+    hits = hits.select("doc_id", "key", "item_id", "item_key", "windows", "telling", "telling_at", "told", "at", F.array_distinct(pairs).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda s: s["value"])))
     # one item's windows in one document: the sets are bounded by the item and the values met
     equal = F.forall("pairs", lambda s: s["value"] == s["said"])
     fits = equal | (F.col("told") & (F.size("pairs") == values))
     alike = hits.where(fits).groupBy("doc_id", "key", "item_id", "item_key", "windows", "telling").agg(
-        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("told"), F.col("at"))).alias("told_at"),
+        F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("telling_at"), F.col("at"))).alias("told_at"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     matched = F.size("at").cast("bigint")

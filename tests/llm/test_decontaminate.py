@@ -134,3 +134,15 @@ def test_items_without_an_id(spark, documents):
     items = spark.createDataFrame([(None, PLAIN[0]), (None, PLAIN[1]), (3, PLAIN[2])], "item_id bigint, text string")
     found = decontaminate.leaks(documents([(1, PLAIN[0]), (2, PLAIN[2]), (3, PLAIN[1])]), items).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(1, None), (2, 3), (3, None)}
+
+
+def test_names_anywhere(spark, documents):
+    item = "Tom has 5 apples. Ann has 7. Tom gives Ann 2 apples. How many does Tom have?"
+    again = "Sam has 6 apples. Eve has 9. Sam gives Eve 3 apples. How many does Sam have?"
+    for before in ("", "x. ", "say: \"", "\n", "now "):
+        found = only_leak(spark, documents, item, before + again)
+        assert found is not None and found.share >= 0.25 and found.changed >= 5, before
+        assert only_leak(spark, documents, item, before + item).share == 1.0
+    assert only_leak(spark, documents, "Alice has 3 apples", "Now Alice has 3 apples").share == 1.0
+    assert only_leak(spark, documents, "Now Alice has 3 red apples", "now Peter has 4 red apples") is None
+    assert only_leak(spark, documents, item, item.upper()).share == 1.0
