@@ -31,7 +31,8 @@ def approx_sigmoid(z, kind: str = "linear"):
 
 
 def threshold(p: Column, cut: float = 0.5, negative: int = -1) -> Column:
-    return F.when(p >= F.lit(cut), F.lit(1)).otherwise(F.lit(negative)).cast("int")
+    """1 from ``cut`` on, else ``negative``; also for NaN, which Spark sorts above all numbers."""
+    return F.when((p >= F.lit(cut)) & ~F.isnan(p), F.lit(1)).otherwise(F.lit(negative)).cast("int")
 
 
 def taylor_term(z, y, batch_size):

@@ -7,12 +7,8 @@ Features are X(row_id, f, v), labels y(row_id, label), weights W with a column
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
@@ -22,7 +18,9 @@ from pyspark.sql import types as T
 
 from sketchframe.functions.numeric import approx_sigmoid, logistic, taylor_term, threshold
 from sketchframe.operators.reshape import batch_rows, batch_sizes, to_dense
-from sketchframe.session import BROADCAST_ROWS, fresh_path, maybe_broadcast, write_out
+from sketchframe.operators.stats import best_epoch
+from sketchframe.operators.training import WEIGHTS, MinibatchConfig, MinibatchModel, train_run
+from sketchframe.session import fresh_path, maybe_broadcast, write_out
 
 
 def linear_scores(df: DataFrame, rows: DataFrame, weights: DataFrame, width: int | None = None) -> DataFrame:
@@ -131,101 +129,6 @@ def model_weights(spark: SparkSession, fitted: LinearModel) -> DataFrame:
 # --- mini-batch training ----------------------------------------------------
 
 
-@dataclass(frozen=True)
-class MinibatchConfig:
-    """Step w <- w - penalty * alpha * g - lam * alpha * w / B, with g = X'e / B."""
-
-    batch_size: int
-    width: int
-    alpha: float = 0.1
-    lam: float = 0.0
-    penalty: float = 1.0
-    epochs: int = 5
-    sigmoid: str = "linear"
-    eps: float = 1e-5
-    stop_on_converge: bool = True
-    stop_on_overflow: bool = False
-    loss_on: str = "score"
-
-
-@dataclass(frozen=True)
-class MinibatchModel:
-    """Weights W(class, epoch, f, w) after each epoch and the loss of each epoch."""
-
-    weights: DataFrame
-    metrics: DataFrame
-
-
-class _PackedSteps:
-    """Steps of a model narrow enough to broadcast.
-
-    A row is packed as one list, which the width bounds, and a step is one pass
-    over the rows of its batch: every task sums its part of the gradient in
-    numpy, and Spark adds the parts up.  The weights are arrays on the driver.
-    """
-
-    def __init__(self, x: DataFrame, labels: DataFrame, cfg: MinibatchConfig):
-        self.spark, self.cfg = x.sparkSession, cfg
-        packed = x.groupBy("row_id").agg(F.collect_list(F.struct(F.col("f").cast("int").alias("f"), "v")).alias("cells"))
-        rows = labels.join(packed, "row_id", "left").select(
-            "batch", "label", "size", F.coalesce("cells", F.array().cast("array<struct<f:int,v:double>>")).alias("cells")
-        )
-        self.rows = write_out(rows.repartitionByRange("batch").sortWithinPartitions("batch"), "packed")
-
-    def start(self, classes: list[int]) -> dict[int, np.ndarray]:
-        return {c: np.zeros(self.cfg.width) for c in classes}
-
-    def step(self, weights: dict[int, np.ndarray], batch: int, size: int, active: list[int]):
-        cfg = self.cfg
-        shared = self.spark.sparkContext.broadcast({c: weights[c] for c in active})
-
-        def contributions(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            slope = {c: np.zeros(cfg.width) for c in model}
-            loss = dict.fromkeys(model, 0.0)
-            for frame in frames:
-                lists = frame.column("cells")
-                entries = lists.flatten()
-                f, v = (entries.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                row = np.repeat(np.arange(frame.num_rows), np.diff(lists.offsets.to_numpy()))
-                label, count = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("label", "size"))
-                for c, w in model.items():
-                    z = np.bincount(row, v * w[f], minlength=frame.num_rows)
-                    target = (label == c).astype(float)
-                    guess = approx_sigmoid(z, cfg.sigmoid)
-                    error = (guess - target) / count
-                    slope[c] += np.bincount(f, v * error[row], minlength=cfg.width)
-                    loss[c] += taylor_term(guess if cfg.loss_on == "prob" else z, target, count).sum()
-            for c in model:
-                f = slope[c].nonzero()[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(f) + 1, c, dtype=np.int32)),
-                        pa.array(np.append(f, -1).astype(np.int64)),
-                        pa.array(np.append(slope[c][f], loss[c])),
-                    ],
-                    names=["class", "f", "g"],
-                )
-
-        parts = self.rows.where(F.col("batch") == batch).mapInArrow(contributions, "class int, f bigint, g double")
-        sums = parts.groupBy("class", "f").agg(F.sum("g").alias("g")).toPandas()  # at most classes * (width + 1) rows
-        shared.unpersist()
-        moved, losses = dict(weights), {}
-        decay = 1.0 - cfg.lam * cfg.alpha / size
-        for c in active:
-            mine = sums[sums["class"] == c]
-            slope = mine[mine.f >= 0]
-            gradient = np.zeros(cfg.width)
-            gradient[slope.f.to_numpy()] = slope.g.to_numpy()
-            moved[c] = weights[c] * decay - cfg.penalty * cfg.alpha * gradient
-            losses[c] = float(mine.g[mine.f < 0].sum())
-        return moved, losses
-
-    def table(self, weights: dict[int, np.ndarray]) -> DataFrame:
-        rows = [pd.DataFrame({"class": c, "f": w.nonzero()[0], "w": w[w != 0]}) for c, w in weights.items()]
-        return self.spark.createDataFrame(pd.concat(rows), WEIGHTS)
-
-
 class _JoinedSteps:
     """Steps of a model of any width: the weights are a table.
 
@@ -275,23 +178,20 @@ class _JoinedSteps:
         return weights.where("w <> 0")
 
 
-WEIGHTS = "class int, f bigint, w double"
-
-
 def minibatch_lr(
     x: DataFrame, y: DataFrame, cfg: MinibatchConfig, classes: list[int] | None = None, packed: bool = True
 ) -> MinibatchModel:
     """Sequential mini-batch logistic regression; all classes share each pass.
 
-    Rows are laid out once by batch, so a step's scan prunes to its own batch.
+    Rows are laid out once by batch, so a step reads its own batch.
     Without ``classes`` the labels are 0 and 1.  ``packed`` chooses how a step
-    runs: with the weights as arrays, which are too large beyond ``BROADCAST_ROWS``, or
-    as a table.  Both take features 0 to width - 1 only and store no zero weights.
+    runs: with the weights as arrays (``train_run`` in a folder of its own), which are too large beyond
+    ``BROADCAST_ROWS``, or as a table.  Both take features 0 to width - 1 only and store no zero weights.
     """
     spark = x.sparkSession
+    if packed:
+        return train_run(fresh_path(spark, "training"), x, y, cfg, classes)
     classes = list(classes or [1])
-    if packed and len(classes) * cfg.width > BROADCAST_ROWS:
-        raise ValueError(f"{len(classes)} classes of width {cfg.width} are too large to pack; use packed=False")
     low, high = x.agg(F.min("f"), F.max("f")).first()
     if low is not None and (low < 0 or high >= cfg.width):
         raise ValueError(f"features {low} to {high} do not fit a width of {cfg.width}")
@@ -301,7 +201,7 @@ def minibatch_lr(
     labels = write_out(labels.repartitionByRange("batch").sortWithinPartitions("batch"), "labels")
     m = labels.count()
     sizes = [min(cfg.batch_size, m - start) for start in range(0, m, cfg.batch_size)]
-    steps = (_PackedSteps if packed else _JoinedSteps)(x, labels, cfg)
+    steps = _JoinedSteps(x, labels, cfg)
     weights = steps.start(classes)
     snapshots = fresh_path(spark, "epochs")
     previous: dict[int, float] = {}
@@ -366,15 +266,24 @@ def stop_rule(losses: DataFrame, max_iter: int, eps: float = 1e-5, on_converge:
 # --- scoring ----------------------------------------------------------------
 
 
+MODELS_AT_ONCE = 64
+
+
 def epoch_scores(df: DataFrame, rows: DataFrame, weights: DataFrame, weight_rows: int | None = None) -> DataFrame:
-    """(class, epoch, row_id, z) for every stored epoch and class in one job.
+    """(class, epoch, row_id, z) for every stored epoch and class.
 
-    A cell meets the weights of all models at once and every model is one aggregate column, so the exchange
-    carries a record per row and task, whatever the number of models; they become rows after it.
+    A cell meets the weights of up to ``MODELS_AT_ONCE`` models at once and every model is one aggregate column, so the exchange
+    carries a record per row and task, not one per model; they become rows after it.
     """
     models = [tuple(r) for r in weights.select("class", "epoch").distinct().orderBy("class", "epoch").collect()]  # a row per model
-    if not models:
-        return rows.select(F.lit(0).alias("class"), F.lit(0).alias("epoch"), "row_id", F.lit(0.0).alias("z")).where("false")
+    scored = rows.select(F.lit(0).alias("class"), F.lit(0).alias("epoch"), "row_id", F.lit(0.0).alias("z")).where("false")
+    for start in range(0, len(models), MODELS_AT_ONCE):
+        some = _scores_of(models[start : start + MODELS_AT_ONCE], df, rows, weights, weight_rows)
+        scored = some if start == 0 else scored.unionByName(some)
+    return scored
+
+
+def _scores_of(models: list[tuple[int, int]], df: DataFrame, rows: DataFrame, weights: DataFrame, weight_rows: int | None) -> DataFrame:
     own = [F.sum(F.when((F.col("class") == c) & (F.col("epoch") == e), F.col("w"))).alias(f"w{i}") for i, (c, e) in enumerate(models)]
     wide = weights.groupBy("f").agg(*own)
     product = df.join(maybe_broadcast(wide, weight_rows), "f")
@@ -414,3 +323,22 @@ def score_epochs_ovr(df: DataFrame, y: DataFrame, weights: DataFrame, weight_row
     """(epoch, accuracy) of a one-vs-rest model."""
     predicted = ovr_predict(epoch_scores(df, y.select("row_id"), weights, weight_rows), sigmoid)
     return predicted.join(y, "row_id").groupBy("epoch").agg(_right(F.col("prediction")))
+
+
+def epochs_of(model: MinibatchModel, x: DataFrame, y: DataFrame, classes: list[int] | None = None, sigmoid: str | None = None, width: int | None = None) -> DataFrame:
+    """(epoch, accuracy, best) of a trained model on the rows of ``y``, held out or not; of equal accuracies the first epoch is best.
+
+    Two classes without a list of them are told apart by one model and a threshold, several by the highest activation.
+    """
+    score = score_epochs_ovr if classes else score_epochs
+    scored = write_out(score(x, y, model.weights, width, sigmoid=sigmoid), "accuracies")
+    best = best_epoch(scored).select(F.col("epoch").alias("_best"))
+    return scored.join(F.broadcast(best), F.col("epoch") == F.col("_best"), "left").select("epoch", "accuracy", F.col("_best").isNotNull().alias("best"))
+
+
+def train_best_epoch(
+    run: str, x: DataFrame, y: DataFrame, x_test: DataFrame, y_test: DataFrame, cfg: MinibatchConfig, classes: list[int] | None = None, **options: object
+) -> tuple[MinibatchModel, DataFrame]:
+    """Train one model a class in the folder ``run``, or go on there, and score every epoch on held-out rows."""
+    model = train_run(run, x, y, cfg, classes, **options)
+    return model, epochs_of(model, x_test, y_test, classes, cfg.sigmoid, max(len(classes or [1]), 1) * cfg.epochs * cfg.width)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from sketchframe.functions.numeric import approx_sigmoid
 from sketchframe.operators import expand, linear, reshape, sketch
-from sketchframe.queries.registry import CUST_PART, CUST_ROWS, EMB, EMB_ROWS, query, r6, rounded, select
+from sketchframe.queries.registry import CUST_PART, CUST_ROWS, query, r6, rounded, select
 from sketchframe.queries.sketches import SEED, customers, vectors
-from sketchframe.session import write_out
+from sketchframe.session import fresh_path, write_out
 from sketchframe.sources import views
 
 # --- library solver: no SQL form ---------------------------------------------
@@ -168,41 +168,79 @@ def ovr_predict(spark, root):
 
 # --- mini-batch training ----------------------------------------------------------
 
-STEPS = {"batch_size": 250, "alpha": 0.5, "lam": 0.1, "epochs": 2}
-MAX_BATCHES = 4
-
-
-def _training_sql() -> str:
-    """The same updates unrolled; a batch beyond the last one changes nothing."""
-    alpha, lam = STEPS["alpha"], STEPS["lam"]
-    ctes = [
-        EMB,
-        EMB_ROWS,
-        "y as (select vec_id as row_id, (label < 5)::int as label,"
-        f" ((row_number() over (order by vec_id)) - 1) // {STEPS['batch_size']} as batch from embeddings)",
-        "w0 as (select f, 0.0::double as w from (select distinct f from x))",
+
+def _trained_sql(rows: str, classes: list[int], width: int, batch_size: int, alpha: float, lam: float, epochs: int) -> list[str]:
+    """CTE ``t(step, class, w)``: the weights after every step, whatever the number of batches.
+
+    ``rows`` selects (row_id, label, x), x being the list of ``width`` features; a recursion takes one batch a step.
+    """
+    sums = ", ".join(f"sum(e * x[{i}])" for i in range(1, width + 1))
+    return [
+        f"r as materialized (select *, count(*) over (partition by batch)::double as size from (select *, ((row_number() over (order by row_id)) - 1) // {batch_size} as batch from ({rows})))",
+        "nb as materialized (select max(batch) + 1 as n from r)",
+        f"""t as (
+            select 0::bigint as step, unnest({classes}) as class, list_transform(range({width}), lambda i: 0.0::double) as w
+            union all
+            select step + 1, class, list_transform(range(1, {width + 1}), lambda i: w[i] * (1 - {lam}::double * {alpha} / size) - {alpha}::double * g[i])
+            from (
+                select step, class, any_value(w) as w, any_value(size) as size, [{sums}] as g
+                from (
+                    select step, class, w, x, size, (0.25::double * list_inner_product(w, x) + 0.5::double - (label = class)::int) / size as e
+                    from t, nb, r where r.batch = t.step % nb.n and t.step < {epochs} * nb.n
+                )
+                group by step, class
+            )
+        )""",
     ]
-    finals = []
-    step = 0
-    for epoch in range(1, STEPS["epochs"] + 1):
-        for b in range(MAX_BATCHES):
-            step += 1
-            old = f"w{step - 1}"
-            ctes += [
-                f"z{step} as materialized (select row_id, label, coalesce(z, 0) as z, (count(*) over ())::double as size from y left join"
-                f" (select row_id, sum(v * w) as z from x join {old} using (f) group by 1) using (row_id) where batch = {b})",
-                f"g{step} as materialized (select f, sum(v * (0.25::double * z + 0.5::double - label) / size) as g from x join z{step} using (row_id) group by 1)",
-                f"w{step} as materialized (select f, w * (1 - coalesce({lam}::double * {alpha} / (select max(size) from z{step}), 0))"
-                f" - {alpha}::double * coalesce(g, 0) as w from {old} left join g{step} using (f))",
-            ]
-        finals.append(f"select {epoch} as epoch, f, {r6('w')} as w from w{step}")
-    return select(" union all ".join(finals), ctes)
-
-
-@query("minibatch_lr", _training_sql())
+
+
+def _recursive(ctes: list[str], final: str) -> str:
+    return "with recursive " + ",\n".join(ctes) + "\n" + final
+
+
+STEPS = {"batch_size": 250, "alpha": 0.5, "lam": 0.1, "epochs": 2}
+EMB_WIDTH = 64
+EMB_LIST = "list_transform(embedding, lambda c: c::double) as x"
+
+
+@query(
+    "minibatch_lr",
+    _recursive(
+        _trained_sql(f"select vec_id as row_id, (label < 5)::int as label, {EMB_LIST} from embeddings", [1], EMB_WIDTH, **STEPS),
+        f"select (step // n)::int as epoch, unnest(range({EMB_WIDTH}))::bigint as f, {r6('unnest(w)')} as w from t, nb where step > 0 and step % n = 0",
+    ),
+)
 def minibatch_lr(spark, root):
     x, _ = vectors(spark, root)
     y = views.emb_labels(spark, root).withColumn("label", (F.col("label") < 5).cast("int"))
     cfg = linear.MinibatchConfig(width=views.emb_width(spark, root), stop_on_converge=False, **STEPS)
     model = linear.minibatch_lr(x, y, cfg)
     return model.weights.select("epoch", "f", rounded("w").alias("w"))
+
+
+BEST = {"batch_size": 100, "alpha": 2.0, "lam": 0.1, "epochs": 4}
+CLASSES = [0, 1, 2]
+
+
+@query(
+    "train_best_epoch",
+    _recursive(
+        [
+            *_trained_sql(f"select vec_id as row_id, label % 3 as label, {EMB_LIST} from embeddings where vec_id % 4 <> 0", CLASSES, EMB_WIDTH, **BEST),
+            f"held as (select vec_id as row_id, label % 3 as label, {EMB_LIST} from embeddings where vec_id % 4 = 0)",
+            "z as (select (step // n)::int as epoch, row_id, label, class, list_inner_product(w, x) as z from t, nb, held where step > 0 and step % n = 0)",
+            "guess as (select epoch, row_id, label, class, row_number() over (partition by epoch, row_id order by z desc, class) as place from z)",
+            "scored as (select epoch, avg((class = label)::int) as accuracy from guess where place = 1 group by epoch)",
+        ],
+        f"select epoch, {r6('accuracy')} as accuracy, row_number() over (order by accuracy desc, epoch) = 1 as best from scored",
+    ),
+)
+def train_best_epoch(spark, root):
+    """Three one-vs-rest models trained on three quarters of the embeddings, scored after every epoch on the last quarter."""
+    x, _ = vectors(spark, root)
+    y = views.emb_labels(spark, root).withColumn("label", F.col("label") % 3)
+    learn, held = y.where("row_id % 4 <> 0"), y.where("row_id % 4 = 0")
+    cfg = linear.MinibatchConfig(width=views.emb_width(spark, root), stop_on_converge=False, **BEST)
+    run = fresh_path(spark, "training")
+    _, epochs = linear.train_best_epoch(run, x.join(learn.select("row_id"), "row_id"), learn, x.join(held.select("row_id"), "row_id"), held, cfg, CLASSES)
+    return epochs.withColumn("accuracy", rounded("accuracy"))
