@@ -144,10 +144,9 @@ class _State:
             loss, status = self.closed.get(c, (None, None))
             head = {"class": c, "epoch": epoch, "active": self.active[c], "total": self.total[c], "previous": self.previous[c], "loss": loss, "status": status}
             f = w.nonzero()[0]
-            parts.append(pd.DataFrame([{**head, "f": -1, "w": 0.0}]))
-            if len(f):
-                parts.append(pd.DataFrame({"class": c, "epoch": epoch, "f": f, "w": w[f]}))
-        return pd.concat(parts)[["class", "epoch", "active", "total", "previous", "loss", "status", "f", "w"]].astype(object).where(lambda d: d.notna(), None)
+            for part in (pd.DataFrame([{**head, "f": -1, "w": 0.0}]), pd.DataFrame({"class": c, "epoch": epoch, "f": f, "w": w[f]})):
+                parts.append(part.reindex(columns=[c.split()[0] for c in STATE.split(", ")]).astype(object))
+        return pd.concat(parts).astype(object).where(lambda d: d.notna(), None)
 
     def load(self, rows: list) -> None:
         for r in rows:
