@@ -26,13 +26,13 @@ def stream_key(seed: int, stream: str, party: str = "", repeat: int = 1) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big", signed=True)
 
 
-def hash64(key: int, first: str, *rest: str) -> str:
-    """64 hash bits of one or more whole numbers under a stream key."""
-    numbers = [f"cast({first} as bigint) ^ ({key}L)", *[f"cast({r} as bigint)" for r in rest]]
+def hash64(key: int | str, first: str, *rest: str) -> str:
+    """64 hash bits of one or more whole numbers under a stream key, a number or SQL text that chooses one."""
+    numbers = [f"cast({first} as bigint) ^ ({key if isinstance(key, str) else f'{key}L'})", *[f"cast({r} as bigint)" for r in rest]]
     return f"xxhash64({', '.join(numbers)})"
 
 
-def uniform(key: int, first: str, *rest: str) -> str:
+def uniform(key: int | str, first: str, *rest: str) -> str:
     """Uniform double in the open interval (0, 1)."""
     return f"((shiftrightunsigned({hash64(key, first, *rest)}, 12) + 0.5D) * {_STEP!r}D)"
 

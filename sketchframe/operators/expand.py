@@ -95,6 +95,28 @@ def expand_two_party_blocks(
     return hstack(block(a, n1, 0), block(b_samples, n2, k1), party_width(n1, b, c) * k1, "col")
 
 
+def expand_parties(samples: DataFrame, n1: int, n2: int, k1: int, b: int = 0, c: int = 0, blocks: bool = True) -> DataFrame:
+    """Both parties' samples S(row_id, second, j, s), from 1, as one projection.
+
+    The same columns as ``expand_two_party_blocks``, or without ``blocks`` as ``expand_two_party_global``.
+    """
+    if b and c:
+        raise ValueError("b and c exclude each other")
+    if not blocks:
+        moved = samples.selectExpr("row_id", f"if(second, j + {k1}L, j) as j", f"if(second and s > 0, s + {n1}L, s) as s")
+        return expand(moved, n1 + n2, b, c)
+
+    def place(n: int, offset: int) -> str:
+        if c and n > c:
+            first, then = coefficients(c, f"j + {offset}L")
+            return f"pmod({first} * pmod(s, {c}L) + {then}, {c}L) + 1L"
+        return f"pmod(s, {2**b}L) + 1L" if b else "s"
+
+    wide = party_width(n1, b, c), party_width(n2, b, c)
+    columns = [f"{w}L * j + {w}L - ({place(n, o)})" for w, n, o in zip(wide, (n1, n2), (0, k1), strict=True)]
+    return samples.where("s > 0").selectExpr("row_id", f"if(second, {columns[1]} + {wide[0] * k1}L, {columns[0]}) as col", "1 as v")
+
+
 def resplit_sketch(
     sketch: DataFrame, width: int, portion: float, align: str = "portion", boundary: int | None = None
 ) -> tuple[DataFrame, DataFrame]:

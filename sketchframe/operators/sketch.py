@@ -87,6 +87,57 @@ def _smallest(
     return _unfold(wide, [f"c{t}" for t in range(size)], size, k, "s")
 
 
+def _smallest_of_parties(df: DataFrame, rows: DataFrame, n1: int, k1: int, k2: int, score: Callable[[str], str], settle_ties: bool) -> DataFrame:
+    """``_smallest`` for the owners of the columns below ``n1`` and of the rest, over one set of gathered cells.
+
+    A block of draws belongs to one party and a cell meets its own party's blocks only, so the aggregate columns and the
+    records exchanged are those of one table with ``k1 + k2`` draws.  Columns of the second party count from 0, and
+    ``second`` tells the parties apart, also in ``score``.
+    """
+    if min(k1, k2) < 1:
+        raise ValueError("both parties need draws")
+    limit = BLOCK if settle_ties else HASHED_BLOCK
+    blocks = math.ceil(k1 / limit), math.ceil(k2 / limit)
+    size = max(math.ceil(k1 / blocks[0]), math.ceil(k2 / blocks[1]))
+    cells = positive_part(df).selectExpr("row_id", f"f >= {n1}L as second", f"if(f >= {n1}L, f - {n1}L, f) as f", "v")
+    marker = rows.selectExpr("row_id", "explode(array(false, true)) as second", "-1L as f", "cast(null as double) as v")
+    own = f"explode(if(second, sequence(0L, {blocks[1] - 1}L), sequence(0L, {blocks[0] - 1}L))) as blk"
+    fanned = by_row(cells.unionByName(marker)).selectExpr("row_id", "second", "f", "v", own)
+
+    def least(j: str) -> str:
+        a = f"coalesce({score(j)}, double('NaN'))"
+        return f"min(struct({a} as a, f)).f" if settle_ties else f"min_by(f, {a})"
+
+    draws = [F.expr(f"{least(f'(blk * {size}L + {t}L)')} as c{t}") for t in range(size)]
+    wide = fanned.groupBy("row_id", "second", "blk").agg(*draws)
+    long = wide.selectExpr("row_id", "second", "blk", f"posexplode(array({', '.join(f'c{t}' for t in range(size))})) as (t, s)")
+    return long.selectExpr("row_id", "second", f"blk * {size}L + t as j", "s").where(f"j < if(second, {k2}L, {k1}L)")
+
+
+def _key(seed: int, stream: str, parties: tuple[str, ...], repeat: int) -> int | str:
+    """The stream key of one party, or SQL text that chooses between those of two."""
+    keys = [stream_key(seed, stream, party, repeat) for party in parties]
+    return keys[0] if len(keys) == 1 else f"if(second, {keys[1]}L, {keys[0]}L)"
+
+
+def _minhash_score(seed: int, parties: tuple[str, ...], repeat: int) -> Callable[[str], str]:
+    key = _key(seed, "u", parties, repeat)
+    return lambda j: f"-ln({uniform(key, 'f', j)}) / v"
+
+
+def _cws_score(seed: int, parties: tuple[str, ...], repeat: int) -> Callable[[str], str]:
+    keys = {name: _key(seed, name, parties, repeat) for name in ("beta", "v1", "v2", "u1", "u2")}
+
+    def score(j: str) -> str:
+        # ln a instead of a: the same order with one factor less to evaluate,
+        # as a = r exp(-g) / exp(g (t - beta)) for g = -ln(u1 u2), r = -ln(v1 v2).
+        beta, v1, v2, u1, u2 = (uniform(key, "f", j) for key in keys.values())
+        g = f"(-ln({u1} * {u2}))"
+        return f"ln(-ln({v1} * {v2})) - {g} * (floor(ln(v) / {g} + {beta}) - {beta} + 1.0D)"
+
+    return score
+
+
 def p_minhash(
     df: DataFrame,
     rows: DataFrame,
@@ -106,12 +157,7 @@ def p_minhash(
     ``settle_ties`` a hash aggregate does the work in about half the
     time, and one of two features with bitwise equal scores is taken.
     """
-    key = stream_key(seed, "u", party, repeat)
-
-    def score(j: str) -> str:
-        return f"-ln({uniform(key, 'f', j)}) / v"
-
-    return _smallest(df, rows, k, score, clustered, settle_ties)
+    return _smallest(df, rows, k, _minhash_score(seed, (party,), repeat), clustered, settle_ties)
 
 
 def cws_0bit(
@@ -125,17 +171,20 @@ def cws_0bit(
     settle_ties: bool = True,
 ) -> DataFrame:
     """S(row_id, j, s) of consistent weighted sampling, keeping only the feature."""
-    names = ("beta", "v1", "v2", "u1", "u2")
-    keys = {name: stream_key(seed, name, party, repeat) for name in names}
+    return _smallest(df, rows, k, _cws_score(seed, (party,), repeat), clustered, settle_ties)
+
+
+PARTIES = ("A", "B")
+
+
+def p_minhash_of_parties(df: DataFrame, rows: DataFrame, n1: int, k1: int, k2: int, seed: int = 1, settle_ties: bool = True) -> DataFrame:
+    """S(row_id, second, j, s) of two parties' columns in one pass; each part is that party's own ``p_minhash``."""
+    return _smallest_of_parties(df, rows, n1, k1, k2, _minhash_score(seed, PARTIES, 1), settle_ties)
 
-    def score(j: str) -> str:
-        # ln a instead of a: the same order with one factor less to evaluate,
-        # as a = r exp(-g) / exp(g (t - beta)) for g = -ln(u1 u2), r = -ln(v1 v2).
-        beta, v1, v2, u1, u2 = (uniform(keys[name], "f", j) for name in names)
-        g = f"(-ln({u1} * {u2}))"
-        return f"ln(-ln({v1} * {v2})) - {g} * (floor(ln(v) / {g} + {beta}) - {beta} + 1.0D)"
 
-    return _smallest(df, rows, k, score, clustered, settle_ties)
+def cws_0bit_of_parties(df: DataFrame, rows: DataFrame, n1: int, k1: int, k2: int, seed: int = 1, settle_ties: bool = True) -> DataFrame:
+    """S(row_id, second, j, s) of two parties' columns in one pass; each part is that party's own ``cws_0bit``."""
+    return _smallest_of_parties(df, rows, n1, k1, k2, _cws_score(seed, PARTIES, 1), settle_ties)
 
 
 def one_based(samples: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from sketchframe.operators import sketch as sk
 from sketchframe.operators.joins import hstack
 from sketchframe.operators.reshape import split_width, vertical_split_at
 from sketchframe.operators.stats import resolve_gamma
+from sketchframe.session import write_out
 from sketchframe.sources.samples import read_samples, write_samples, write_sketch
 
 
@@ -102,8 +103,17 @@ def sketch_central(train: Split, test: Split, cfg: SketchConfig) -> tuple[DataFr
     return one(train), one(test)
 
 
+def sampled_parties(split: Split, cfg: SketchConfig) -> DataFrame:
+    """S(row_id, second, j, s) from 1 of both parties, over one scan and one exchange of the split's cells."""
+    run = {"SM": sk.p_minhash_of_parties, "MM": sk.cws_0bit_of_parties}[cfg.method]
+    return sk.one_based(run(split.x, split.rows, cfg.n1, cfg.k1, cfg.k - cfg.k1, cfg.seed, cfg.settle_ties))
+
+
 def party_samples(split: Split, cfg: SketchConfig) -> tuple[DataFrame, DataFrame]:
     """The two parties' samples; each party sees its own columns only."""
+    if cfg.sampled:
+        both = sampled_parties(split, cfg)
+        return both.where("not second").drop("second"), both.where("second").drop("second")
     a, b = vertical_split_at(split.x, cfg.n1)
     first = samples(Split(a, split.rows), cfg, cfg.k1, cfg.n1, "A")
     second = samples(Split(b, split.rows), cfg, cfg.k - cfg.k1, cfg.n - cfg.n1, "B")
@@ -111,15 +121,18 @@ def party_samples(split: Split, cfg: SketchConfig) -> tuple[DataFrame, DataFrame
 
 
 def sketch_vertical(train: Split, test: Split, cfg: SketchConfig) -> tuple[DataFrame, DataFrame]:
-    """As ``sketch_central`` with columns and samples divided by ``portion``."""
+    """As ``sketch_central`` with columns and samples divided by ``portion``.
+
+    Sampled sketches take both parties in one pass over a split; the kernel methods take a pass each.
+    """
     cfg = with_gamma(cfg, train)
     if not 0 < cfg.k1 < cfg.k:
         raise ValueError("portion leaves one party without samples")
 
     def one(split: Split) -> DataFrame:
-        a, b = party_samples(split, cfg)
         if cfg.sampled:
-            return ex.expand_two_party_blocks(a, b, cfg.n1, cfg.n - cfg.n1, cfg.k1, cfg.b, cfg.c)
+            return ex.expand_parties(sampled_parties(split, cfg), cfg.n1, cfg.n - cfg.n1, cfg.k1, cfg.b, cfg.c)
+        a, b = party_samples(split, cfg)
         return hstack(as_features(a), as_features(b), cfg.k1, "col")
 
     return one(train), one(test)
@@ -156,5 +169,8 @@ def squeeze_samples(
 
 def store_party_samples(split: Split, cfg: SketchConfig, path_a: str, path_b: str) -> None:
     a, b = party_samples(split, cfg)
+    if cfg.sampled:  # sampled once, then told apart
+        both = write_out(sampled_parties(split, cfg), "samples", ["second"])
+        a, b = both.where("not second").drop("second"), both.where("second").drop("second")
     write_samples(a, path_a)
     write_samples(b, path_b)

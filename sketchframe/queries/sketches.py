@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from sketchframe.operators import expand, sketch
-from sketchframe.operators.reshape import vertical_split
+from sketchframe.operators.reshape import split_width
 from sketchframe.plans.sketching import SketchConfig, Split, sketch_central, sketch_vertical, squeeze_samples, store_party_samples
 from sketchframe.queries.registry import (
     CUST_PART,
@@ -264,37 +264,35 @@ def sketch_bbit(spark, root):
 def hash_coefficients(spark, root):
     """How the coefficients of each draw spread the parts over the buckets."""
     parts = views.table(spark, root, "part").select((F.col("p_partkey") + 1).alias("s"))
-    spread = parts.selectExpr("s", f"explode(sequence(0L, {K - 1}L)) as j")
-    a, b = expand.coefficients(16)
-    counted = spread.selectExpr("j", f"pmod({a} * s + {b}, 16L) as bucket").groupBy("j", "bucket").agg(F.count("*").alias("features"))
-    return counted.selectExpr("j", f"{a} as a", f"{b} as b", "bucket", "features")
+    drawn = expand.hash_coefficients(spark.range(K).withColumnRenamed("id", "j"), 16)
+    spread = parts.selectExpr("s", f"explode(sequence(0L, {K - 1}L)) as j").join(F.broadcast(drawn), "j")  # K rows
+    return spread.selectExpr("j", "a", "b", "pmod(a * s + b, 16L) as bucket").groupBy("j", "a", "b", "bucket").agg(F.count("*").alias("features"))
 
 
-def two_parties(spark, root, method="SM"):
+def party_tables(spark, root, method="SM"):
+    """(samples with ``second``, width of the first party, width of the second)."""
     x, rows = customers(spark, root)
     n = views.part_count(spark, root)
-    a, b = vertical_split(x, n, PORTION)
-    draw = sketch.p_minhash if method == "SM" else sketch.cws_0bit
-    n1 = math.floor(n * PORTION)
-    return (
-        sketch.one_based(draw(a, rows, K1, SEED, "A")),
-        sketch.one_based(draw(b, rows, K - K1, SEED, "B")),
-        n1,
-        n - n1,
-    )
+    n1 = split_width(n, PORTION)
+    draw = sketch.p_minhash_of_parties if method == "SM" else sketch.cws_0bit_of_parties
+    return sketch.one_based(draw(x, rows, n1, K1, K - K1, SEED)), n1, n - n1
+
+
+def two_parties(spark, root, method="SM"):
+    both, n1, n2 = party_tables(spark, root, method)
+    return both.where("not second").drop("second"), both.where("second").drop("second"), n1, n2
 
 
 MODES = {"plain": {}, "count": {"c": 16}, "bbit": {"b": 4}}
 
 
 def _register_two_party(kind: str, mode: str, sizes: dict[str, int]) -> None:
-    spark_expand = expand.expand_two_party_global if kind == "global" else expand.expand_two_party_blocks
     ctes = global_sql(**sizes) if kind == "global" else blocks_sql(**sizes)
 
     @query(f"sketch2_{kind}_{mode}", select("select row_id, col, v from z", CUST, party_sampled_sql("SM"), ctes))
     def run(spark, root):
-        a, b, n1, n2 = two_parties(spark, root)
-        return spark_expand(a, b, n1, n2, K1, **sizes)
+        samples, n1, n2 = party_tables(spark, root)
+        return expand.expand_parties(samples, n1, n2, K1, blocks=kind == "blocks", **sizes)
 
 
 for _kind in ("global", "blocks"):

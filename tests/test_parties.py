@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+from conftest import as_dict
+
+from sketchframe.operators import expand, sketch
+from sketchframe.operators.reshape import vertical_split_at
+from sketchframe.plans.sketching import SketchConfig, Split, party_samples, sketch_vertical
+from sketchframe.queries import QUERIES
+
+N, N1 = 40, 13
+
+
+@pytest.fixture(scope="module")
+def table(cells, rows_of):
+    draws = np.random.default_rng(2)
+    rows = {r: {int(f): float(draws.integers(-1, 5)) for f in draws.choice(N, draws.integers(0, 20), replace=False)} for r in range(30)}
+    rows[3] = {f: 1.0 for f in range(N1)}  # nothing for the second party
+    rows[4] = {f: 2.0 for f in range(N1, N)}
+    return cells(rows), rows_of(range(31))
+
+
+@pytest.mark.parametrize("method", ["p_minhash", "cws_0bit"])
+@pytest.mark.parametrize(("k1", "k2"), [(3, 5), (1, 1), (70, 20), (20, 130)])
+@pytest.mark.parametrize("settle", [True, False])
+def test_one_pass_gives_each_partys_own_samples(table, method, k1, k2, settle):
+    x, rows = table
+    both = getattr(sketch, f"{method}_of_parties")(x, rows, N1, k1, k2, 5, settle)
+    for second, (part, k, party) in enumerate(zip(vertical_split_at(x, N1), (k1, k2), sketch.PARTIES)):
+        own = getattr(sketch, method)(part, rows, k, 5, party, settle_ties=settle)
+        assert as_dict(both.where(f"second = {bool(second)}"), "s", "j") == as_dict(own, "s", "j")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"c": 4}, {"c": 20}, {"b": 2}])
+def test_one_projection_expands_both(table, sizes):
+    x, rows = table
+    both = sketch.one_based(sketch.p_minhash_of_parties(x, rows, N1, 3, 5)).persist()
+    a, b = (both.where(f"second = {s}").drop("second") for s in (False, True))
+    cell = lambda df: sorted(map(tuple, df.select("row_id", "col", "v").collect()))
+    assert cell(expand.expand_parties(both, N1, N - N1, 3, **sizes)) == cell(expand.expand_two_party_blocks(a, b, N1, N - N1, 3, **sizes))
+    assert cell(expand.expand_parties(both, N1, N - N1, 3, blocks=False, **sizes)) == cell(expand.expand_two_party_global(a, b, N1, N - N1, 3, **sizes))
+    both.unpersist()
+    with pytest.raises(ValueError):
+        expand.expand_parties(both, N1, N - N1, 3, b=1, c=2)
+
+
+@pytest.mark.parametrize("method", ["SM", "MM"])
+def test_a_split_is_scanned_once(spark, table, method):
+    x, rows = table
+    cfg = SketchConfig(method, N, 10, c=8, portion=0.3)
+    train, _ = sketch_vertical(Split(x, rows), Split(x, rows), cfg)
+    text = train._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RebalancePartitions") == 1 and text.count("Aggregate") == 1
+    a, b = party_samples(Split(x, rows), cfg)
+    assert a.count() == 31 * cfg.k1 and b.count() == 31 * (10 - cfg.k1)
+
+
+def test_a_query_reads_its_table_once(spark):
+    plan = QUERIES["sketch2_blocks_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_both_parties_need_draws(table):
+    with pytest.raises(ValueError):
+        sketch.p_minhash_of_parties(*table, N1, 0, 4)
