@@ -10,8 +10,10 @@ document within that window, as it does in a question that was asked again with
 with a conflict are left out, so one slot that differs costs the windows around it and equal values
 far apart may be different variables.  Windows that cover at least ``share`` of an item's windows make a leak.
 
-The benchmark side is counted first: up to ``BROADCAST_ROWS`` windows are sent to all tasks, so that documents
-are neither moved nor multiplied; beyond that, the windows of both sides are exchanged by their hash.
+Words are hashed once a text, windows by the hashes of their words.  What unfolds is a row of few numbers a window; texts and words
+stay behind.  Windows whose hash the benchmark has become hits: up to ``BROADCAST_ROWS`` distinct hashes, a number each, are sent to
+all tasks, and beyond that a bitmap turns most windows away before both sides are exchanged.  Documents with hits
+meet their text again, once each, for a comparison word by word.  The cost of a text is linear in its length.
 
 Defined cases: null texts are empty and match nothing.  An item of fewer than ``width`` words is one window
 of all its words.  Windows with fewer than ``literals`` ordinary words (or half the words of a short item)
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.llm.common import text_key, texts
+from sketchframe.llm.common import in_bitmap, text_key, texts
 from sketchframe.session import BROADCAST_ROWS, write_out
 
 # Characters of the private use area that stand for a number, a name and a unit.
@@ -38,6 +40,7 @@ UNITS = (
     "week weeks month months year years hz khz mhz ghz w kw mw v kv ma kj pa kpa mol "
     "kb mb gb tb usd eur gbp dollar dollars cent cents euro euros percent kmh mph"
 ).split()
+_NAME = "\\p{Lu}\\p{Ll}+"
 _SPLIT = f"[^\\p{{L}}\\p{{N}}{NUMBER}{NAME}{UNIT}]+"
 
 
@@ -64,7 +67,7 @@ def template_words(text: Column, names: bool = True) -> Column:
     united = F.regexp_replace(apart, f"(?<=\\p{{N}})([ -]+)(?i:{units})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}")
     named = F.when(text.rlike("\\p{N}"), united).otherwise(apart)
     if names:
-        named = F.regexp_replace(named, "(?<![\\p{L}\\p{N}])\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}])", NAME)
+        named = F.regexp_replace(named, f"(?<![\\p{{L}}\\p{{N}}]){_NAME}(?![\\p{{L}}\\p{{N}}])", NAME)
     numbered = F.when(text.rlike("\\p{N}"), F.regexp_replace(named, "\\p{N}+", NUMBER)).otherwise(named)
     # U+0130 is the one letter whose lower case is longer
     return _words(F.lower(F.replace(numbered, F.lit("\u0130"), F.lit("i"))))
@@ -74,15 +77,26 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _hashes(plain: Column, named: Column, size: int) -> Column:
-    """(pos, hs) of every window of ``size`` words, in order: the hashes of its templates, one where they are equal."""
-    places = F.sequence(F.lit(0), F.size(plain) - size)
+def _named(raw: Column, plain: Column) -> Column:
+    """The plain template with names as placeholders: what ``template_words`` gives, from words that are known already."""
+    return F.zip_with(raw, plain, lambda r, p: F.when(r.rlike(f"^{_NAME}$") & ~_is_slot(p), F.lit(NAME)).otherwise(p))
 
-    def window(i: Column) -> Column:
-        both = F.array(F.xxhash64(F.slice(plain, i + 1, size)), F.xxhash64(F.slice(named, i + 1, size)))
-        return F.struct(i.alias("pos"), F.array_distinct(both).alias("hs"))
 
-    return F.when(F.size(plain) >= size, F.transform(places, window)).otherwise(F.array().cast("array<struct<pos:int,hs:array<bigint>>>"))
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(plain: Column, named: Column, sizes: list[int]) -> Column:
+    """(size, pos, h) of every window of each size, from the hashes of words; one h where both templates are equal."""
+
+    def of(n: int) -> Column:
+        def window(i: Column) -> Column:
+            hs = F.array_distinct(F.array(*[F.xxhash64(*[F.get(c, i + k) for k in range(n)]) for c in (plain, named)]))
+            return F.transform(hs, lambda h: F.struct(F.lit(n).alias("size"), i.alias("pos"), h.alias("h")))
+
+        return F.when(F.size(plain) >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size(plain) - n), window)))
+
+    return F.flatten(F.filter(F.array(*map(of, sizes)), lambda w: w.isNotNull()))
 
 
 def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
@@ -110,47 +124,57 @@ def item_windows(benchmark: DataFrame, width: int, literals: int) -> DataFrame:
     return spread.select(
         "item_id", text_key().alias("item_key"), "at", "size", "pattern", F.array_contains("pattern", NAME).alias("named"),
         F.transform(F.slice("r", F.col("at") + 1, F.col("size")), F.lower).alias("values"),
-        "windows", "telling", "telling_at", told(F.col("pattern")).alias("told"), F.xxhash64("pattern").alias("h"),
+        "windows", "telling", "telling_at", told(F.col("pattern")).alias("told"), F.xxhash64(_word_hashes(F.col("pattern"))).alias("h"),
     )
 
 
+def _hits(base: DataFrame, hashes: DataFrame, sizes: list[int], limit: int) -> DataFrame:
+    """(doc_id, key, size, pos, h), stored: windows of the texts whose hash is among ``hashes(h)``."""
+    if not sizes:
+        return base.select("doc_id", F.lit("").alias("key"), F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("h")).where("false")
+    cut = base.select("doc_id", text_key().alias("key"), raw_words(F.col("text")).alias("r"), template_words(F.col("text"), False).alias("p"))
+    hashed = cut.select("doc_id", "key", _word_hashes(F.col("p")).alias("hp"), _word_hashes(_named(F.col("r"), F.col("p"))).alias("ht"))
+    windows = hashed.select("doc_id", "key", _windows(F.col("hp"), F.col("ht"), sizes).alias("w"))
+    # the outer form: the plain one gets a filter on the size of its array, which Spark moves down and evaluates per window
+    spread = windows.select("doc_id", "key", F.inline_outer("w")).where("h is not null")
+    if hashes.count() <= limit:  # 8 bytes each
+        return write_out(spread.join(F.broadcast(hashes), "h", "left_semi"), "hits")
+    return write_out(in_bitmap(spread, "h", hashes.select(F.col("h").alias("id"))).join(hashes, "h", "left_semi"), "hits")
+
+
+def _said(base: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` with the window's words in both templates, and as written in lower case; each text is cut once."""
+    places = F.collect_set(F.struct("size", "pos")).alias("places")  # windows of one text
+    wanted = write_out(hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(places), "wanted")
+    concerned = in_bitmap(base.withColumn("key", text_key()).withColumn("_hash", F.xxhash64("key", "doc_id")), "_hash", wanted.select(F.xxhash64("_key", "_id").alias("id")))
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    found = concerned.join(wanted, same).select("doc_id", "key", "text", "places").dropDuplicates(["doc_id", "key"])
+    cut = found.select("doc_id", "key", "places", raw_words(F.col("text")).alias("r"), template_words(F.col("text"), False).alias("p"))
+    # stored, so that no expression over the whole text is evaluated again within a window
+    cut = write_out(cut.select("doc_id", "key", "places", "p", _named(F.col("r"), F.col("p")).alias("t"), F.transform("r", F.lower).alias("r")), "words")
+
+    def words(column: str, place: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), place["size"] - 1), lambda k: F.get(F.col(column), place["pos"] + k))
+
+    each = F.transform("places", lambda w: F.struct(w["size"].alias("size"), w["pos"].alias("pos"), words("p", w).alias("plain"), words("t", w).alias("with_names"), words("r", w).alias("said")))
+    windows = cut.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.inline_outer(each))
+    windows = write_out(windows.withColumnRenamed("size", "_size").withColumnRenamed("pos", "_pos"), "windows")
+    match = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("pos") == F.col("_pos"))
+    # rows that repeat id and text have the same hits
+    return hits.distinct().join(windows, match).select("doc_id", "key", "size", "pos", "h", "plain", "with_names", "said")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, share: float = 0.25, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, windows, matched, share, slots, changed) of every leak, and the document's ``key``.
 
     ``slots`` counts the placeholders met, ``changed`` those whose value in the document differs.
     """
     items = write_out(item_windows(benchmark, width, literals), "items")
-    few = items.count() <= limit
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most `width` numbers
-    base = texts(docs).select("doc_id", "text", template_words(F.col("text")).alias("t"), template_words(F.col("text"), False).alias("p"))
-    key = text_key().alias("key")
-    if not few:
-        # every window carries its words as written, so a text is cut once
-        base = base.withColumn("r", raw_words(F.col("text")))
-    written = raw_words(F.col("text")) if few else F.col("r")
-    parts = []
-    for n in sizes:
-        own = items.where(F.col("size") == n)
-        spread = base.select("doc_id", "text", "t", "p", *([] if few else ["r"]), F.inline(_hashes(F.col("p"), F.col("t"), n))).select("*", F.explode("hs").alias("h"))
-        # a pattern without names is met by plain words
-        plain, named = (F.slice(c, F.col("pos") + 1, n) for c in ("p", "t"))
-        # the words as written are wanted only where the template has slots
-        slotted = F.exists("pattern", _is_slot)
-        said = F.transform(F.slice(written, F.col("pos") + 1, n), F.lower)
-        if few:
-            met = spread.join(F.broadcast(own), "h").where(F.when(F.col("named"), named).otherwise(plain) == F.col("pattern"))
-            met = met.select(*own.columns, "doc_id", key, "pos", F.when(slotted, said).otherwise(F.col("values")).alias("said"))
-        else:
-            met = spread.select("doc_id", key, "pos", "h", plain.alias("plain"), named.alias("with_names"), said.alias("said")).join(own, "h")
-            met = met.where(F.when(F.col("named"), F.col("with_names")).otherwise(F.col("plain")) == F.col("pattern"))
-            met = met.select(*own.columns, "doc_id", "key", "pos", "said")
-        parts.append(met)
-    nothing = items.where("false").select(
-        "*", F.lit(0).cast("bigint").alias("doc_id"), F.lit("").alias("key"), F.lit(0).alias("pos"), F.col("values").alias("said")
-    )
-    hits = parts[0] if parts else nothing
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
+    hits = _hits(texts(docs), write_out(items.select("h").distinct(), "hashes"), sizes, limit)
+    met = _said(texts(docs), hits).join(items, ["size", "h"])
+    # a pattern without names is met by plain words
+    hits = met.where(F.when(F.col("named"), F.col("with_names")).otherwise(F.col("plain")) == F.col("pattern"))
     pairs = F.filter(
         F.zip_with("pattern", F.arrays_zip("values", "said"), lambda p, v: F.struct(_is_slot(p).alias("slot"), v["values"].alias("value"), v["said"].alias("said"))),
         lambda s: s["slot"],
