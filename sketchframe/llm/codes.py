@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchframe.llm.text import mix
-from sketchframe.llm.vectors import finite, matrix, task_sums, width_of
+from sketchframe.llm.vectors import finite, matrix, width_of
+from sketchframe.operators.gather import task_sums
 from sketchframe.session import maybe_broadcast, write_out
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6

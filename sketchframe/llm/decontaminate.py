@@ -87,15 +87,17 @@ def _word_hashes(words: Column) -> Column:
 
 
 def _windows(plain: Column, named: Column, sizes: list[int]) -> Column:
-    """(size, pos, h) of every window of each size, from the hashes of words; one h where both templates are equal."""
+    """(size, pos, h, g) of every window of each size, from the hashes of words: h of the plain template, g of that with names."""
 
     def of(n: int) -> Column:
         def window(i: Column) -> Column:
-            hs = F.array_distinct(F.array(*[F.xxhash64(*[F.get(c, i + k) for k in range(n)]) for c in (plain, named)]))
-            return F.transform(hs, lambda h: F.struct(F.lit(n).alias("size"), i.alias("pos"), h.alias("h")))
+            h, g = (F.xxhash64(*[F.get(c, i + k) for k in range(n)]) for c in (plain, named))
+            return F.struct(F.lit(n).alias("size"), i.alias("pos"), h.alias("h"), g.alias("g"))
 
-        return F.when(F.size(plain) >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size(plain) - n), window)))
+        return F.when(F.size(plain) >= n, F.transform(F.sequence(F.lit(0), F.size(plain) - n), window))
 
+    if len(sizes) == 1:
+        return of(sizes[0])
     return F.flatten(F.filter(F.array(*map(of, sizes)), lambda w: w.isNotNull()))
 
 
@@ -137,9 +139,14 @@ def _hits(base: DataFrame, hashes: DataFrame, sizes: list[int], limit: int) -> D
     windows = hashed.select("doc_id", "key", _windows(F.col("hp"), F.col("ht"), sizes).alias("w"))
     # the outer form: the plain one gets a filter on the size of its array, which Spark moves down and evaluates per window
     spread = windows.select("doc_id", "key", F.inline_outer("w")).where("h is not null")
+    either = F.explode(F.array_distinct(F.array("h", "g"))).alias("h")
     if hashes.count() <= limit:  # 8 bytes each
-        return write_out(spread.join(F.broadcast(hashes), "h", "left_semi"), "hits")
-    return write_out(in_bitmap(spread, "h", hashes.select(F.col("h").alias("id"))).join(hashes, "h", "left_semi"), "hits")
+        # most windows leave at two look-ups, before any of them is doubled
+        own, other = (F.broadcast(hashes.select(F.col("h").alias(name))) for name in ("_h", "_g"))
+        known = spread.join(own, F.col("h") == F.col("_h"), "left").join(other, F.col("g") == F.col("_g"), "left").where("_h is not null or _g is not null")
+        return write_out(known.select("doc_id", "key", "size", "pos", either).join(F.broadcast(hashes), "h", "left_semi"), "hits")
+    doubled = spread.select("doc_id", "key", "size", "pos", either)
+    return write_out(in_bitmap(doubled, "h", hashes.select(F.col("h").alias("id"))).join(hashes, "h", "left_semi"), "hits")
 
 
 def _said(base: DataFrame, hits: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.llm.vectors import finite, matrix, scaled_floor, task_sums, width_of
+from sketchframe.llm.vectors import finite, matrix, scaled_floor, width_of
+from sketchframe.operators.gather import task_sums
 from sketchframe.session import write_out
 
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 16
