@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sketchframe.operators import paillier, reshape, shares
-from sketchframe.queries.registry import EMB, EMB_DIM, EMB_ROWS, hashed, key_sql, query, r6, rounded, select
+from sketchframe.operators import encrypted, paillier, reshape, shares
+from sketchframe.queries.registry import CUST_PART, EMB, EMB_DIM, EMB_ROWS, hashed, key_sql, query, r6, rounded, select
 from sketchframe.queries.reshaping import DENSE_EMB
 from sketchframe.queries.sketches import vectors
 from sketchframe.sources import views
@@ -188,3 +188,42 @@ def paillier_weighted_sum(spark, root):
     lines = encrypted_lines(spark, root)
     summed = paillier.paillier_weighted_sum(lines, "l_tax", ["l_returnflag"], TEST_KEY.public, exponent=4)
     return paillier.decrypt_column(summed, TEST_KEY).withColumn("v", rounded("v"))
+
+
+def encrypted_vector(spark, ids, name, secret):
+    """One of seven encrypted numbers per id, from -3/8 to 3/8."""
+    values = ids.select(name, ((F.pmod(name, F.lit(7)) - 3) / F.lit(8.0)).alias("w"))
+    return paillier.encrypt_column(values.repartition(spark.sparkContext.defaultParallelism, name), "w", [name], TEST_KEY.public, secret)
+
+
+@query(
+    "paillier_matvec",
+    select(f"select row_id, {r6('sum(v * ((f % 7 - 3) / 8.0::double))')} as z from x group by 1", CUST_PART),
+)
+def paillier_matvec(spark, root):
+    """What customers bought times encrypted weights of the parts."""
+    x = views.cust_part(spark, root)
+    w = encrypted_vector(spark, views.table(spark, root, "part").select(F.col("p_partkey").cast("bigint").alias("f")), "f", b"test weights")
+    product = encrypted.encrypted_matvec(x, w, TEST_KEY.public, bound=1.0)
+    return paillier.decrypt_column(product, TEST_KEY, "z").withColumn("z", rounded("z"))
+
+
+@query(
+    "paillier_matvec_t",
+    select(f"select f, {r6('sum(v * ((row_id % 7 - 3) / 8.0::double))')} as g from x group by 1", CUST_PART),
+)
+def paillier_matvec_t(spark, root):
+    """The transposed table times encrypted residuals of the customers."""
+    x = views.cust_part(spark, root)
+    d = encrypted_vector(spark, views.table(spark, root, "customer").select(F.col("c_custkey").cast("bigint").alias("row_id")), "row_id", b"test rest")
+    product = encrypted.encrypted_matvec_t(x, d, TEST_KEY.public, bound=1.0)
+    return paillier.decrypt_column(product, TEST_KEY, "g").withColumn("g", rounded("g"))
+
+
+@query("paillier_add", f"select o_orderkey, {r6('o_totalprice + o_custkey')} as v from orders")
+def paillier_add(spark, root):
+    """Two columns encrypted under different exponents, added row by row."""
+    orders = views.table(spark, root, "orders").repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey")
+    a = paillier.encrypt_column(orders.select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], TEST_KEY.public, b"test a", exponent=8)
+    b = paillier.encrypt_column(orders.select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"], TEST_KEY.public, b"test b", exponent=0)
+    return paillier.decrypt_column(encrypted.encrypted_add(a, b, ["o_orderkey"], TEST_KEY.public), TEST_KEY).withColumn("v", rounded("v"))
