@@ -10,6 +10,7 @@ from sketchframe.queries.sketches import COUNT_SQL, CUST, SEED, SM, based_sample
 from sketchframe.session import fresh_path
 from sketchframe.sources import samples as files
 from sketchframe.sources import svmlight, views
+from sketchframe.sources.dense import read_dense_csv
 
 VECTOR_CELLS = (
     "select vec_id as row_id, (pos - 1)::bigint as f, embedding[pos]::double as v"
@@ -78,6 +79,19 @@ def sink_sketch(spark, root):
     return files.read_sketch(spark, path)
 
 
+@query(
+    "sink_dense_sketch",
+    f"select rank as row_id, col, v::double as v from ({COUNT_SQL}) join"
+    " (select c_custkey as row_id, row_number() over (order by c_custkey) - 1 as rank from customer) using (row_id)",
+)
+def sink_dense_sketch(spark, root):
+    """A sketch as dense text and back; lines follow the order of the rows."""
+    path = fresh_path(spark, "dense")
+    rows = customers(spark, root)[1]
+    files.export_dense_csv(expand.sketch_count(based_samples(spark, root), 16), rows, 16 * K, path)
+    return read_dense_csv(spark, path)
+
+
 @query(
     "sink_partitioned",
     select("select row_id, j, s, 0.3::double as ratio, 2::int as seed from m", CUST_PART, CUST_ROWS, PART_COUNT, sampled_sql("m", "SM", seed=2)),

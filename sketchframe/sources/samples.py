@@ -41,13 +41,18 @@ def read_sketch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_dense_csv(sketch: DataFrame, rows: DataFrame, width: int, path: str) -> None:
-    """One line of 0/1 per row, for tools that read dense text: the ones in order, with runs of zeros between."""
+    """One line of 0/1 per row in the order of the ids, for tools that read dense text: the ones in order, with runs of zeros between.
+
+    The files are ranges of ids, so that a line's number is the rank of its row; ``read_dense_csv`` reads them.
+    """
     columns = sketch.groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("col").cast("int"))).alias("ones"))
-    stops = F.concat(F.coalesce("ones", F.array().cast("array<int>")), F.array(F.lit(width)))
-    befores = F.concat(F.array(F.lit(-1)), F.coalesce("ones", F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    ordered = rows.join(columns, "row_id", "left").orderBy("row_id").select(F.coalesce("ones", none).alias("ones"))
+    stops = F.concat("ones", F.array(F.lit(width)))
+    befores = F.concat(F.array(F.lit(-1)), "ones")
     runs = F.zip_with(befores, stops, lambda a, b: F.repeat(F.lit("0,"), b - a - 1))
     line = F.array_join(runs, "1,")
-    rows.join(columns, "row_id", "left").select(F.rtrim(line, F.lit(",")).alias("value")).write.mode("errorifexists").text(path)
+    ordered.select(F.rtrim(line, F.lit(",")).alias("value")).write.mode("errorifexists").text(path)
 
 
 LAYOUT = ["dataset", "ratio", "method", "k", "seed", "gamma"]
