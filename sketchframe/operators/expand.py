@@ -106,6 +106,14 @@ def expand_parties(samples: DataFrame, n1: int, n2: int, k1: int, b: int = 0, c:
         moved = samples.selectExpr("row_id", f"if(second, j + {k1}L, j) as j", f"if(second and s > 0, s + {n1}L, s) as s")
         return expand(moved, n1 + n2, b, c)
 
+    return samples.where("s > 0").selectExpr("row_id", f"{party_column(n1, n2, k1, b, c)} as col", "1 as v")
+
+
+def party_column(n1: int, n2: int, k1: int, b: int = 0, c: int = 0) -> str:
+    """SQL for the column that a sample (second, j, s) of two parties' blocks lands in."""
+    if b and c:
+        raise ValueError("b and c exclude each other")
+
     def place(n: int, offset: int) -> str:
         if c and n > c:
             first, then = coefficients(c, f"j + {offset}L")
@@ -114,7 +122,7 @@ def expand_parties(samples: DataFrame, n1: int, n2: int, k1: int, b: int = 0, c:
 
     wide = party_width(n1, b, c), party_width(n2, b, c)
     columns = [f"{w}L * j + {w}L - ({place(n, o)})" for w, n, o in zip(wide, (n1, n2), (0, k1), strict=True)]
-    return samples.where("s > 0").selectExpr("row_id", f"if(second, {columns[1]} + {wide[0] * k1}L, {columns[0]}) as col", "1 as v")
+    return f"if(second, {columns[1]} + {wide[0] * k1}L, {columns[0]})"
 
 
 def resplit_sketch(

@@ -7,9 +7,14 @@ triple identities only need addition.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchframe.functions.hashing import hash64, stream_key, uniform
@@ -19,6 +24,7 @@ from sketchframe.session import maybe_broadcast
 RING = 2**60
 BASE = 16
 MANTISSA_BITS = 53
+TINY = 1e-200
 
 
 def own_exponent(x: Column) -> Column:
@@ -31,9 +37,26 @@ def own_exponent(x: Column) -> Column:
     return F.when(size == 0, F.lit(13)).otherwise(F.floor(bits / F.lit(4.0))).cast("int")
 
 
-def fixed_encode(x: Column, exponent: int | Column | None = None, ring: int = RING) -> Column:
-    """STRUCT(encoding, exponent): round(x * 16^e) modulo the ring, negatives in its top half."""
+def settled(x: Column, exponent: int | Column | None, precision: float | None, max_exponent: int | None) -> tuple[Column, Column]:
+    """The value to encode and its exponent.
+
+    A size below 1e-200 counts as zero.  ``precision`` sets the exponent to the whole power of 16 that it reaches, so it is 256 for two
+    digits behind the point; without either the value's own precision decides.  An exponent below ``max_exponent`` is raised to it.
+    """
+    if exponent is not None and precision is not None:
+        raise ValueError("exponent and precision exclude each other")
+    x = F.when(F.abs(x) < TINY, F.lit(0.0)).otherwise(x.cast("double"))
+    if precision is not None:
+        exponent = math.floor(math.log(precision, BASE))
     e = own_exponent(x) if exponent is None else F.lit(exponent) if isinstance(exponent, int) else exponent
+    return x, (e if max_exponent is None else F.greatest(e, F.lit(max_exponent)))
+
+
+def fixed_encode(
+    x: Column, exponent: int | Column | None = None, ring: int = RING, precision: float | None = None, max_exponent: int | None = None
+) -> Column:
+    """STRUCT(encoding, exponent): round(x * 16^e) modulo the ring, negatives in its top half; see ``settled`` for e."""
+    x, e = settled(x, exponent, precision, max_exponent)
     scaled = F.rint(x * F.pow(F.lit(float(BASE)), e))
     message = F.concat(F.lit("value does not fit the ring: "), x.cast("string"))
     whole = F.when(F.abs(scaled) <= F.lit(float(ring // 2)), scaled).otherwise(F.raise_error(message).cast("double"))
@@ -53,16 +76,34 @@ def fixed_decode(encoding: Column, exponent: int | Column, ring: int = RING) ->
     return signed.cast("double") * F.pow(F.lit(float(BASE)), -e)
 
 
-def ring_mask(seed: int, party: str, *ids: str, secret: str | None = None) -> Column:
-    """Uniform ring element per cell, from the columns that identify it.
+def ring_mask(seed: int, party: str, *ids: str) -> Column:
+    """Uniform ring element per cell, from the columns that identify it; it repeats, for tests."""
+    return F.expr(f"shiftrightunsigned({hash64(stream_key(seed, 'mask', party), *ids)}, 4)")
 
-    Seeded masks repeat, for tests; with ``secret`` the mask is a keyed digest
-    that only the holder of the secret can recompute.
+
+def keyed_masks(spark: SparkSession, secret: str, party: str) -> Callable[..., Column]:
+    """A function from whole-number id columns to uniform ring elements that only the holder of the secret can make again.
+
+    The secret reaches the tasks as a broadcast, so neither the plan nor what Spark logs of it shows it.  A mask is a keyed digest of
+    its ids, so a task that runs again makes the same one; a null id is an id of its own.
     """
-    if secret is None:
-        return F.expr(f"shiftrightunsigned({hash64(stream_key(seed, 'mask', party), *ids)}, 4)")
-    digest = F.sha2(F.concat_ws(":", F.lit(secret), F.lit(party), *[F.col(i).cast("string") for i in ids]), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    held = spark.sparkContext.broadcast(hashlib.sha256(secret.encode()).digest())
+    tag = hashlib.sha256(party.encode()).digest()[:16]
+
+    @F.pandas_udf("bigint")
+    def mask(*ids: pd.Series) -> pd.Series:
+        cells = np.ascontiguousarray(np.stack([i.to_numpy() for i in ids], axis=1).astype("<i8"))
+        size, data = cells.shape[1] * 8, cells.tobytes()
+        start = hashlib.blake2b(key=held.value, person=tag, digest_size=8)
+        out = np.empty(len(cells), "<u8")
+        for r in range(len(cells)):
+            one = start.copy()
+            one.update(data[r * size : (r + 1) * size])
+            out[r] = int.from_bytes(one.digest(), "little")
+        return pd.Series((out >> np.uint64(4)).astype(np.int64))
+
+    # a null would turn its column into doubles on the way
+    return lambda *ids: mask(*[c for i in ids for c in (F.col(i).isNull().cast("bigint"), F.coalesce(F.col(i).cast("bigint"), F.lit(0)))])
 
 
 def share_split(
@@ -72,9 +113,10 @@ def share_split(
 
     Give it a dense table: every cell is masked, zeros too, so that neither
     share shows where the zeros are.  The mask is a function of the cell, so
-    both tables are projections of the input without a shuffle.
+    both tables are projections of the input without a shuffle.  Seeded masks are for tests; data takes a ``secret``.
     """
-    mask = ring_mask(seed, party, "row_id", "f", secret=secret)
+    cell = "row_id", "f"
+    mask = ring_mask(seed, party, *cell) if secret is None else keyed_masks(df.sparkSession, secret, party)(*cell)
     encoded = fixed_encode(F.col(column), exponent)["encoding"]
     first = df.select("row_id", "f", mask.alias("share"))
     second = df.select("row_id", "f", F.pmod(encoded - mask, F.lit(RING)).alias("share"))

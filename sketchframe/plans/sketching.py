@@ -167,6 +167,38 @@ def squeeze_samples(
     return left, right
 
 
+def squeeze_grid(
+    spark: SparkSession, path_a: str, path_b: str, cfgs: dict[str, SketchConfig], out: str | None = None, align: str = "portion"
+) -> DataFrame:
+    """(layout, party, row_id, col, v): stored samples of two parties compressed in many ways at once.
+
+    Every layout has a name and a configuration, which may differ in k, b and c.  With a smaller k each party's first draws are
+    taken, which are the samples that k draws would have given.  The samples are read once, and a sample meets all layouts in one
+    projection.  With ``out`` the result is stored by layout and party and read back from there.
+    """
+    if not cfgs:
+        raise ValueError("a grid needs a layout")
+    if align not in ("portion", "party"):
+        raise ValueError("align must be 'portion' or 'party'")
+    cells = []
+    for name, cfg in cfgs.items():
+        n2, k2 = cfg.n - cfg.n1, cfg.k - cfg.k1
+        if not cfg.sampled or k2 < 1 or cfg.k1 < 1:
+            raise ValueError(f"layout {name} has no samples of two parties")
+        boundary = ex.party_width(cfg.n1, cfg.b, cfg.c) * cfg.k1
+        cut = boundary if align == "party" else split_width(sketch_width(cfg), cfg.portion)
+        col = f"if(j < if(second, {k2}L, {cfg.k1}L), {ex.party_column(cfg.n1, n2, cfg.k1, cfg.b, cfg.c)}, null)"
+        cells.append(F.struct(F.lit(name).alias("layout"), F.lit(cut).cast("bigint").alias("cut"), F.expr(col).cast("bigint").alias("col")))
+    both = read_samples(spark, path_a).withColumn("second", F.lit(False)).unionByName(read_samples(spark, path_b).withColumn("second", F.lit(True)))
+    unfolded = both.where("s > 0").select("row_id", F.explode(F.array(*cells)).alias("e")).where("e.col is not null")
+    party, col = F.expr("if(e.col < e.cut, 'a', 'b')"), F.expr("if(e.col < e.cut, e.col, e.col - e.cut)")
+    grid = unfolded.select("e.layout", party.alias("party"), "row_id", col.alias("col"))
+    if out is not None:
+        grid.write.mode("errorifexists").partitionBy("layout", "party").parquet(out)
+        grid = spark.read.schema("row_id bigint, col bigint, layout string, party string").parquet(out)
+    return grid.select("layout", "party", "row_id", "col", F.lit(1).alias("v"))
+
+
 def store_party_samples(split: Split, cfg: SketchConfig, path_a: str, path_b: str) -> None:
     a, b = party_samples(split, cfg)
     if cfg.sampled:  # sampled once, then told apart

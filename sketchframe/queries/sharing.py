@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sketchframe.operators import encrypted, paillier, reshape, shares
+from sketchframe.operators import encrypted, paillier, reshape, shares, wide
 from sketchframe.queries.registry import CUST_PART, EMB, EMB_DIM, EMB_ROWS, hashed, key_sql, query, r6, rounded, select
 from sketchframe.queries.reshaping import DENSE_EMB
 from sketchframe.queries.sketches import vectors
@@ -46,6 +46,43 @@ def fixed_point(spark, root):
     )
 
 
+WIDE = "1329227995784915872903807060280344576::hugeint"
+
+
+@query(
+    "fixed_precision",
+    f"select l_orderkey, l_linenumber, {ring_sql('l_tax', '3')} as by_precision, greatest({OWN}, 13)::int as exponent,"
+    f" {ring_sql('l_discount', f'greatest({OWN}, 13)')} as raised, 0::bigint as tiny from lineitem",
+)
+def fixed_precision(spark, root):
+    """The exponent from a precision, one that is raised to a least one, and values too small to keep."""
+    lines = views.table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    raised = shares.fixed_encode(F.col("l_discount"), max_exponent=13)
+    coded = lines.select(
+        "l_orderkey",
+        "l_linenumber",
+        shares.fixed_encode(F.col("l_tax"), precision=5000.0)["encoding"].alias("by_precision"),
+        raised.alias("r"),
+        shares.fixed_encode((F.col("l_tax") + 1.0) * 1e-250)["encoding"].alias("tiny"),
+    )
+    return coded.select("l_orderkey", "l_linenumber", "by_precision", F.col("r.exponent").alias("exponent"), F.col("r.encoding").alias("raised"), "tiny")
+
+
+@query(
+    "wide_sum",
+    f"select l_returnflag, ((e % {WIDE} + {WIDE}) % {WIDE} >> 60)::bigint as hi, ((e % {WIDE} + {WIDE}) % {WIDE} & 1152921504606846975::hugeint)::bigint as lo,"
+    " e::double / pow(16.0::double, 14) as total from (select l_returnflag,"
+    " sum(round_even(-l_extendedprice * pow(16.0::double, 10), 0)::hugeint * 65536 + round_even(l_tax * pow(16.0::double, 14), 0)::hugeint)::hugeint as e from lineitem group by 1)",
+)
+def wide_sum(spark, root):
+    """Two columns under different exponents, aligned, added and summed in the ring of 2^120."""
+    lines = views.table(spark, root, "lineitem")
+    coded = lines.select("l_returnflag", wide.wide_encode(-F.col("l_extendedprice"), 10).alias("a"), wide.wide_encode(F.col("l_tax"), 14).alias("b"))
+    added = coded.select("l_returnflag", wide.wide_add(wide.wide_align(F.col("a"), F.lit(10), 14), F.col("b")).alias("e"))
+    summed = wide.wide_sum(added, "e", ["l_returnflag"])
+    return summed.select("l_returnflag", F.col("e.hi").alias("hi"), F.col("e.lo").alias("lo"), wide.wide_decode(F.col("e"), 14).alias("total"))
+
+
 EMBS = [EMB, EMB_ROWS, EMB_DIM, DENSE_EMB]
 
 
@@ -81,6 +118,16 @@ def share_reconstruct(spark, root):
     return shares.reconstruct(a, b).withColumn("v", F.col("v") + 0.0)
 
 
+@query(
+    "share_reconstruct_wide",
+    select("select row_id, f, round_even(v * pow(16.0::double, 20), 0) / pow(16.0::double, 20) + 0.0::double as v from d", EMBS),
+)
+def share_reconstruct_wide(spark, root):
+    """Twenty digits behind the point, which the small ring has no room for."""
+    a, b = wide.wide_split(dense_vectors(spark, root), 20)
+    return wide.wide_reconstruct(a, b, 20).withColumn("v", F.col("v") + 0.0)
+
+
 @query(
     "share_dataset",
     select(

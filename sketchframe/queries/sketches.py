@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from sketchframe.operators import expand, sketch
 from sketchframe.operators.reshape import split_width
-from sketchframe.plans.sketching import SketchConfig, Split, sketch_central, sketch_vertical, squeeze_samples, store_party_samples
+from sketchframe.plans.sketching import SketchConfig, Split, sketch_central, sketch_vertical, squeeze_grid, squeeze_samples, store_party_samples
 from sketchframe.queries.registry import (
     CUST_PART,
     CUST_ROWS,
@@ -454,3 +455,55 @@ def squeeze(spark, root):
     store_party_samples(Split(x, rows), cfg, path_a, path_b)
     left, right = squeeze_samples(spark, path_a, path_b, cfg, out=fresh_path(spark, "squeezed"))
     return both(left, right, "party", "a", "b")
+
+
+GRID_K = 7
+GRID_SIZES = [("plain", 0, 0), ("bits2", 2, 0), ("count8", 0, 8)]
+
+
+def grid_sql(name: str, k: int, b: int, c: int) -> str:
+    """One layout of the grid as a query of its own."""
+    k1 = math.floor(k * PORTION)
+    first, second = (f"case when {n} <= {c} then {n} else {c} end" if c else str(2**b) if b else n for n in ("n1", "n2"))
+    w = f"(select floor(({first} * {k1} + {second} * {k - k1}) * {PORTION}::double)::bigint as w from cut)"
+
+    def place(n: str) -> str:
+        if c:
+            return f"case when {n} <= {c} then {column_sql(n, 's')} else {column_sql(str(c), COUNT_PLACE.format(c=c))} end"
+        return column_sql(str(2**b), f"s % {2**b} + 1") if b else column_sql(n, "s")
+
+    joins = [f" join {h} using (j)" if c else "" for h in (f"{name}_ha", f"{name}_hb")]
+    return (
+        f"select '{name}' as layout, case when col < w then 'a' else 'b' end as party, row_id,"
+        f" case when col < w then col else col - w end as col, 1 as v from {w}, ("
+        f"select row_id, {place('n1')} as col from sa{joins[0]}, cut where s > 0 and j < {k1}"
+        f" union all select row_id, {place('n2')} + ({first}) * {k1} from sb{joins[1]}, cut where s > 0 and j < {k - k1})"
+    )
+
+
+GRID = [(f"{size}_{k}", k, b, c) for size, b, c in GRID_SIZES for k in (GRID_K, K)]
+
+
+@query(
+    "squeeze_grid",
+    select(
+        " union all ".join(grid_sql(*g) for g in GRID),
+        CUST,
+        party_sampled_sql("SM"),
+        *[
+            part
+            for name, k, _, c in GRID
+            if c
+            for k1 in [math.floor(k * PORTION)]
+            for part in (coefficient_sql(f"{name}_ha", c, k1), coefficient_sql(f"{name}_hb", c, k - k1, k1))
+        ],
+    ),
+)
+def squeeze_all(spark, root):
+    """Stored samples in six layouts, sizes by numbers of draws, from one read."""
+    x, rows = customers(spark, root)
+    whole = SketchConfig("SM", views.part_count(spark, root), K, seed=SEED, portion=PORTION)
+    path_a, path_b = fresh_path(spark, "samples_a"), fresh_path(spark, "samples_b")
+    store_party_samples(Split(x, rows), whole, path_a, path_b)
+    layouts = {name: replace(whole, k=k, b=b, c=c) for name, k, b, c in GRID}
+    return squeeze_grid(spark, path_a, path_b, layouts, out=fresh_path(spark, "grid"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +67,65 @@ def run_path(root: str, dataset: str, portion: float, method: str, k: int, seed:
     return f"{root}/dataset={dataset}/ratio={float(portion)!r}/method={method}/k={k}/seed={seed}/gamma={tail}"
 
 
+def _tag(column: str, value: object) -> str:
+    """A layout value as the folder names and the list of commits spell it."""
+    if column == "gamma" and value is None:
+        return "none"
+    return repr(float(value)) if column in ("ratio", "gamma") and value != "none" else str(value)
+
+
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    schema = ", ".join(f"{c} string" for c in [*LAYOUT, "version"]) + ", number bigint"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/_commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def committed_runs(spark: SparkSession, root: str, **want: object) -> DataFrame:
+    """(layout columns as text, version, number): the last commit of every run that fits the conditions."""
+    unknown = set(want) - set(LAYOUT)
+    if unknown:
+        raise ValueError(f"not part of the layout: {sorted(unknown)}")
+    log = _commits(spark, root)
+    for column, value in want.items():
+        log = log.where(F.col(column) == _tag(column, value))
+    last = log.groupBy(*LAYOUT).agg(F.max(F.struct("number", "version")).alias("last"))
+    return last.select(*LAYOUT, "last.version", "last.number")
+
+
 def write_run(
     df: DataFrame, root: str, dataset: str, portion: float, method: str, k: int, seed: int, gamma: float | None = None
 ) -> None:
-    """Add one run to the partitioned layout, replacing only its own folder."""
-    df.write.mode("overwrite").parquet(run_path(root, dataset, portion, method, k, seed, gamma))
+    """Add one run to the partitioned layout, or put a new version in its place.
+
+    The rows go to a folder of their own that no reader lists.  Then one row, the commit, is added to ``_commits`` in a file that
+    appears by a rename; from there on readers take the new version, and those that already read the old one go on with it.  A
+    writer that is lost before that leaves the run as it was.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    values = (dataset, portion, method, k, seed, gamma)
+    tags = {c: _tag(c, v) for c, v in zip(LAYOUT, values, strict=True)}
+    df.write.mode("errorifexists").parquet(f"{run_path(root, *values)}/version={version}")
+    before = committed_runs(spark, root, **dict(zip(LAYOUT, values, strict=True))).first()
+    row = [F.lit(t).alias(c) for c, t in tags.items()]
+    number = F.lit(before["number"] + 1 if before else 1).cast("bigint").alias("number")
+    spark.range(1).coalesce(1).select(*row, F.lit(version).alias("version"), number).write.mode("append").parquet(f"{root}/_commits")
 
 
 def read_run(spark: SparkSession, root: str, **want: object) -> DataFrame:
-    """Read the layout; conditions on its columns prune whole folders."""
-    unknown = set(want) - set(LAYOUT)
-    if unknown:
-        raise ValueError(f"not part of the layout: {sorted(unknown)}")
-    runs = spark.read.parquet(root)
+    """The committed runs of the layout; conditions on its columns choose the folders that are listed at all.
+
+    The driver holds a path per chosen run.  Where no run fits the result is empty, with the columns of some other run.
+    """
+    chosen = committed_runs(spark, root, **want).collect() or committed_runs(spark, root).limit(1).collect()
+    if not chosen:
+        raise ValueError(f"no committed run in {root}")
+    folders = ["/".join([root, *(f"{c}={r[c]}" for c in LAYOUT), f"version={r['version']}"]) for r in chosen]
+    runs = spark.read.option("basePath", root).parquet(*folders).drop("version")
     for column, value in want.items():
-        runs = runs.where(F.col(column) == F.lit(value))
-    return runs
+        runs = runs.where(F.col(column) == F.lit("none" if value is None else value))
+    types = {"dataset": "string", "ratio": "double", "method": "string", "k": "int", "seed": "int", "gamma": "string"}
+    return runs.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in runs.columns])
