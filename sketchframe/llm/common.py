@@ -41,16 +41,21 @@ def only(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("key").alias("_mark"), F.col("rows").alias("_rows"), F.col("kept").alias("_kept")
     )
     concerned = write_out(concerned, "concerned")
-    tagged = docs.withColumn("_own", text_key())
-    tagged = tagged.withColumn("_hash", F.xxhash64("_own", F.col("doc_id").cast("bigint")))
-    tagged = flagged(tagged, "_hash", concerned.select(F.xxhash64("_mark", "_id").alias("id")))
-    free = tagged.where("not _maybe").select(docs.columns)
-    same = (F.col("_own") == F.col("_mark")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    tagged = packed(docs)
+    tagged = tagged.withColumn("hash", F.xxhash64("mark", "id"))
+    tagged = flagged(tagged, "hash", concerned.select(F.xxhash64("_mark", "_id").alias("id")))
+    free = tagged.where("not _maybe").select("row")
+    same = (F.col("mark") == F.col("_mark")) & F.col("id").eqNullSafe(F.col("_id"))
     met = tagged.where("_maybe").join(concerned, same, "left")
-    single = met.where("_mark is null").select(docs.columns)
-    columns = F.struct(*docs.columns)
-    repeated = met.where("_kept").groupBy("doc_id", "_own").agg(F.min(columns).alias("_row")).select("_row.*")
-    return free.unionByName(single).unionByName(repeated)
+    single = met.where("_mark is null").select("row")
+    # repeated rows may differ in other columns, of any type; the one whose text form is least stays
+    repeated = met.where("_kept").groupBy("id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return free.unionByName(single).unionByName(repeated).select("row.*")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, mark, id): every row as one struct, so that no column of it can clash with those of an operator."""
+    return docs.select(F.struct("*").alias("row"), text_key().alias("mark"), F.col("doc_id").cast("bigint").alias("id"))
 
 
 def labelled(labels: DataFrame, column: str, learn: Column) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.llm.common import in_bitmap, text_key, texts
+from sketchframe.llm.common import in_bitmap, packed, text_key, texts
 from sketchframe.session import BROADCAST_ROWS, write_out
 
 # Characters of the private use area that stand for a number, a name and a unit.
@@ -207,6 +207,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame
     """The rows of ``docs``, all columns, that leak no item."""
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     found = write_out(found, "leaks")
-    tagged = docs.withColumn("_text_key", text_key())
-    same = (tagged["_text_key"] == found["_key"]) & tagged["doc_id"].cast("bigint").eqNullSafe(found["_id"])
-    return tagged.join(found, same, "left_anti").drop("_text_key")
+    same = (F.col("mark") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))
+    return packed(docs).join(found, same, "left_anti").select("row.*")

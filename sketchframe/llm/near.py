@@ -87,7 +87,7 @@ def _signed(bands: int, rows: int, size: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in flat(batch.column("text"), 2 << 20):
+            for piece in flat(batch.column("text"), 512 << 10):
                 row, shingle, weight = weighted(piece, size)
                 per_row = np.bincount(row, minlength=piece.n)
                 owner = prob_minhash(row, shingle, weight, piece.n, m)

@@ -23,9 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sketchframe.llm.common import bounded_sample, labelled, texts
 from sketchframe.llm.text import Flat, flat, salted
@@ -315,8 +315,11 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    rows = docs.select(F.struct("*").alias("row"))  # one column, whatever the names inside
+    text = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column("text"))[0] < threshold))
+            yield batch.filter(pa.array(shared.value.score(pc.struct_field(batch.column("row"), [text]))[0] < threshold))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
