@@ -14,7 +14,9 @@ holds already.  Two texts agree in a register with a probability equal to their
    pair becomes a row, two bounds turn it away: distances (one less the similarity) obey the triangle inequality, so two
    members whose exact distances to their leader differ by more than the threshold's are no link; and the
    signatures must agree in as many registers as a link does but for ``slack`` standard deviations, which
-   a true link misses about once in 300,000 times.  What is left is verified too.  No other pair of a bucket is left out.
+   a true link misses about once in 300,000 times.  Members of such buckets, and only they, get ``further`` registers
+   for this, so that a group of edited copies that are nearly links leaves few pairs.  A pair becomes a row in the first
+   bucket that both are in.  What is left is verified too.  No other pair of a bucket is left out.
 
 Defined cases: a null text is an empty one.  A text of fewer than five words is one shingle; one without a
 word is like no other text, but equal ones are one class.  The class id is the least id of the class
@@ -37,7 +39,7 @@ from sketchframe.llm.components import components
 from sketchframe.llm.text import Flat, flat, mix, salted, shingles, uniform
 from sketchframe.session import write_out
 
-BANDS, ROWS, REGISTERS = 20, 4, 160
+BANDS, ROWS, REGISTERS, FURTHER = 20, 4, 160, 512
 HELD = 2_000_000  # shingles that a verifying task keeps at hand
 
 
@@ -94,8 +96,6 @@ def _signed(bands: int, rows: int, size: int, m: int):
                 keys = np.zeros((piece.n, bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys ^ salted(owner[:, r : bands * rows : rows], r + 1))
-                bits = (mix(owner) & np.uint64(0xFF)).astype(np.uint8)
-                signature = np.ascontiguousarray(bits).view("<i8")
                 scaled = np.rint(weight * 2.0**32).astype(np.uint64)  # whole numbers add up alike in any order
                 marks = []
                 for salt in (101, 102):
@@ -107,16 +107,36 @@ def _signed(bands: int, rows: int, size: int, m: int):
                 has = per_row > 0
                 offsets = np.append(0, np.cumsum(np.where(has, bands, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].view(np.int64).ravel()))
-                wide = pa.ListArray.from_arrays(pa.array(np.arange(piece.n + 1, dtype=np.int32) * (m // 8)), pa.array(signature.ravel()))
                 at = slice(piece.first, piece.first + piece.n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[at], batch.column("key")[at], pa.array(prints, pa.string()), lists, wide],
+                    [batch.column("doc_id")[at], batch.column("key")[at], pa.array(prints, pa.string()), lists, _codes(owner)],
                     ["doc_id", "key", "print", "bands", "signature"],
                 )
 
     return run
 
 
+def _codes(owner: np.ndarray) -> pa.Array:
+    """The registers of each row as a list of longs, a byte of each."""
+    rows, m = owner.shape
+    packed = np.ascontiguousarray((mix(owner) & np.uint64(0xFF)).astype(np.uint8)).view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (m // 8)), pa.array(packed.ravel()))
+
+
+def _further(size: int, m: int):
+    """``m`` registers of other arrivals than those of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in flat(batch.column("text"), 256 << 10):
+                row, shingle, weight = weighted(piece, size)
+                owner = prob_minhash(row, salted(shingle, 977), weight, piece.n, m)
+                at = slice(piece.first, piece.first + piece.n)
+                yield pa.RecordBatch.from_arrays([batch.column("print")[at], _codes(owner)], ["print", "further"])
+
+    return run
+
+
 def _verified(size: int):
     def sets(column: pa.Array, names: list[str], held: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         """Add the shingles of texts that are not held yet; members of one group come again and again."""
@@ -146,17 +166,35 @@ def _verified(size: int):
 # --- Spark ------------------------------------------------------------------
 
 
+def _same_bytes(x: Column, y: Column) -> Column:
+    """In how many bytes two longs agree."""
+    t = x.bitwiseXOR(y)
+    for shift in (4, 2, 1):
+        t = t.bitwiseOR(F.shiftrightunsigned(t, shift))
+    return F.lit(8) - F.bit_count(t.bitwiseAND(F.lit(0x0101010101010101)))
+
+
 def _agreeing(x: Column, y: Column, words: int) -> Column:
     """In how many bytes two signatures of ``words`` longs agree."""
     total = F.lit(0)
     for i in range(words):
-        t = x[i].bitwiseXOR(y[i])
-        for shift in (4, 2, 1):
-            t = t.bitwiseOR(F.shiftrightunsigned(t, shift))
-        total = total + F.lit(8) - F.bit_count(t.bitwiseAND(F.lit(0x0101010101010101)))
+        total = total + _same_bytes(x[i], y[i])
     return total
 
 
+def _agreeing_long(x: Column, y: Column) -> Column:
+    """The same for signatures of any width, as a loop: written out they would be too large to compile."""
+    return F.aggregate(F.zip_with(x, y, _same_bytes), F.lit(0), lambda total, n: total + n)
+
+
+def _met_before(x: Column, y: Column, band: Column, bands: int) -> Column:
+    """Whether two lists of buckets agree in a band before ``band``."""
+    met = F.lit(False)
+    for b in range(bands - 1):
+        met = met | ((band > b) & (x[b] == y[b]))
+    return met
+
+
 def _similarities(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     left = bodies.select(F.col("print").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("print").alias("b"), F.col("text").alias("text_b"))
@@ -165,12 +203,12 @@ def _similarities(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
 
 
 def near_classes(
-    docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS, slack: float = 4.5
+    docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS, slack: float = 4.5, further: int = FURTHER
 ) -> DataFrame:
     """doc_id, class_id, class_size, kept and ``key`` of every row of ``docs``."""
-    if registers % 8 or registers < bands * rows:
-        raise ValueError("registers must be a multiple of 8 and at least bands * rows")
-    least = int(np.floor(registers * (threshold - slack * np.sqrt(threshold * (1 - threshold) / registers))))
+    if registers % 8 or further % 8 or registers < bands * rows:
+        raise ValueError("registers must be multiples of 8 and at least bands * rows")
+    least, least_of_all = (int(np.floor(n * threshold - slack * np.sqrt(n * threshold * (1 - threshold)))) for n in (registers, registers + further))
     base = texts(docs).withColumn("key", text_key())
     schema = "doc_id bigint, key string, print string, bands array<bigint>, signature array<bigint>"
     signed = write_out(base.mapInArrow(_signed(bands, rows, size, registers), schema), "signed")
@@ -200,10 +238,13 @@ def near_classes(
     mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     apart = placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"])
     known = found.select(F.col("a").alias("print"), F.col("b").alias("lead"), "similarity")
-    apart = apart.join(known, ["print", "lead"], "left").join(nodes.select("print", "signature"), "print")
-    apart = write_out(apart.withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
+    apart = write_out(apart.join(known, ["print", "lead"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
+    unsure = bodies.join(apart.select("print").distinct(), "print").select("print", "text")
+    more_bits = write_out(unsure.mapInArrow(_further(size, further), "print string, further array<bigint>"), "further")
+    apart = apart.join(more_bits, "print").join(nodes.select("print", "signature", "bands"), "print")
     # of two members in different components one at least is not linked to the leader
     x, y = apart.where(F.col("similarity") < threshold - 1e-9).alias("x"), apart.alias("y")
+    alike = _agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8)
     likely = (
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.h") == F.col("y.h"))
@@ -211,7 +252,9 @@ def near_classes(
         & ((F.col("y.similarity") >= threshold - 1e-9) | (F.col("x.print") < F.col("y.print")))
         & (F.col("y.print") != F.col("y.lead"))
         & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1.0 - threshold + 1e-9)
-        & (_agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8) >= least)
+        & (alike >= least)
+        & (alike + _agreeing_long(F.col("x.further"), F.col("y.further")) >= least_of_all)
+        & ~_met_before(F.col("x.bands"), F.col("y.bands"), F.col("x.band"), bands)
     )
     cross = x.join(y, likely).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
     more = _similarities(write_out(cross, "cross"), bodies, size).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")

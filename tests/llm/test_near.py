@@ -92,6 +92,23 @@ def test_a_group_linked_only_through_edits_of_edits(documents):
     assert sorted(map(tuple, near.near_classes(documents(rows)).select("doc_id", "class_id", "class_size", "kept").collect()), key=str) == brute(rows)
 
 
+def test_a_hot_group_of_edited_copies(documents):
+    """Copies of one text that share most buckets, many of them just below the threshold from each other."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(220)]
+    rows = []
+    for i in range(70):
+        text = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            text[rng.randrange(220)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    want = brute(rows)
+    assert len({r[1] for r in want}) > 3 and max(r[2] for r in want) > 10
+    for further in (8, near.FURTHER):
+        got = near.near_classes(documents(rows), further=further).select("doc_id", "class_id", "class_size", "kept").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_deduplicate(documents):
     docs = documents(corpus())
     got = near.deduplicate(docs)
