@@ -86,6 +86,35 @@ def test_a_step_reads_one_folder(spark):
     assert len(seen) == 47 and ((), ()) in {s[1:] for s in seen}
 
 
+def test_small_batches_share_a_job(spark):
+    """A task learns from all batches of a folder, so an epoch takes a job a folder and not one a batch."""
+    _, _, (x, y) = tables(spark)
+    context, counts = spark.sparkContext, []
+    for batch_size in (12, 2):
+        cfg = linear.MinibatchConfig(batch_size=batch_size, width=5, epochs=2, stop_on_converge=False)
+        context.setJobGroup(f"batches of {batch_size}", "")
+        training.train_run(fresh_path(spark, "run"), x, y, cfg, [0, 1, 2])
+        counts.append(len(context.statusTracker().getJobIdsForGroup(f"batches of {batch_size}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 2
+
+
+@pytest.mark.parametrize("seed", [None, 5])
+def test_a_stretch_equals_single_steps(spark, seed, monkeypatch):
+    """Whole folders in one task, and batches cut by an Arrow batch's end, give the bits of a step a job."""
+    _, _, (x, y) = tables(spark)
+    made = []
+    for every, arrow in ((None, "10000"), (1, "10000"), (None, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+        model = training.train_run(fresh_path(spark, "run"), x, y, CFG, [0, 1, 2], seed=seed, every=every)
+        made.append((weights(model), sorted(map(tuple, model.metrics.collect()))))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made[0] == made[1] == made[2]
+    monkeypatch.setattr(training, "TASK_ROWS", 0)
+    apart = training.train_run(fresh_path(spark, "run"), x, y, CFG, [0, 1, 2], seed=seed)
+    assert weights(apart) == pytest.approx(made[0][0])
+
+
 def test_an_epoch_is_a_permutation_of_folders():
     store = training.BatchStore("x", 95, 10, 3)
     assert store.order(1, None) == list(range(10))
