@@ -164,3 +164,18 @@ def test_a_party_without_samples_is_refused(cells, rows_of):
     split = Split(cells({0: {0: 1.0}}), rows_of([0]))
     with pytest.raises(ValueError):
         sketch_vertical(split, split, SketchConfig("SM", 4, 2, portion=0.3))
+
+
+def test_words_are_numbered_before_they_are_exchanged(spark, tmp_path):
+    """One exchange of (document, number), none of words; repeated ids add up, empty and null texts have no terms."""
+    from sketchframe.sources import views
+
+    data = [(1, "a b A"), (1, "b"), (2, "\u00c4 \u00e4-x"), (3, ""), (4, None), (None, "z z")]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    terms = views.doc_terms(spark, str(tmp_path))
+    plan = terms._jdf.queryExecution().sparkPlan().toString()
+    exchanged = terms._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate(") <= 2 and exchanged.count("Exchange hashpartitioning") == 1
+    assert "term" not in exchanged.split("Exchange hashpartitioning")[1].split("\n")[0]
+    got = sorted((r.row_id is None, r.row_id or 0, r.v) for r in terms.collect())
+    assert got == [(False, 1, 2.0), (False, 1, 2.0), (False, 2, 1.0), (False, 2, 2.0), (True, 0, 2.0)]
