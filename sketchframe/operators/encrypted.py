@@ -14,55 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.operators.paillier import BASE, PublicKey, paillier_sum
+from sketchframe.operators.paillier import BASE, PowerProduct, PublicKey, paillier_sum
 from sketchframe.session import write_out
 
 # A vector is broadcast if its ciphertexts take no more than this.
 BROADCAST_BYTES = 64 << 20
 
 
-class PowerProduct:
-    """The product of c ** a over many (c, a), by buckets of digits.
-
-    Ciphertexts may have different exponents: a digit's place counts from the point, so that the ones with fewer digits behind
-    it land further up, which aligns them for nothing.
-    """
-
-    def __init__(self, square: int):
-        self.square = square
-        self.buckets: tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]] = ({}, {})
-        self.exponent: int | None = None
-
-    def add(self, c: int, a: int, exponent: int) -> None:
-        self.exponent = exponent if self.exponent is None else max(self.exponent, exponent)
-        held, a, place = self.buckets[a < 0], abs(a), -exponent
-        while a:
-            digit = a % BASE
-            if digit:
-                at = (place, digit)
-                held[at] = held[at] * c % self.square if at in held else c
-            a //= BASE
-            place += 1
-
-    def _raised(self, held: dict[tuple[int, int], int]) -> int:
-        total = 1
-        if held:
-            for place in range(max(p for p, _ in held), -self.exponent - 1, -1):
-                total = pow(total, BASE, self.square) if total != 1 else 1
-                running = 1
-                for digit in range(BASE - 1, 0, -1):
-                    if (place, digit) in held:
-                        running = running * held[place, digit] % self.square
-                    if running != 1:
-                        total = total * running % self.square
-        return total
-
-    def close(self) -> tuple[int, int]:
-        """(ciphertext, exponent) of the product."""
-        above, below = (self._raised(held) for held in self.buckets)
-        return (above * pow(below, -1, self.square) % self.square if below != 1 else above), self.exponent
-
-
 def encrypted_product(
     cells: DataFrame, vector: DataFrame, on: str, by: str, key: PublicKey, *, bound: float | None, exponent: int = 4
 ) -> DataFrame:

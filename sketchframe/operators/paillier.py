@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +17,8 @@ BASE = 16
 SALTS = 256
 # Distinct keys a task holds before it passes its products on.
 HELD_KEYS = 50_000
+# Rows of a key from which on their powers are taken together.
+TOGETHER = 8
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ def _unpack(c: bytes) -> int:
 class Blinder:
     """Powers of one fixed n-th residue, eight exponent bits per multiplication.
 
-    Blinding by h^x with h = r^n needs the table once per task instead of a
+    Blinding by h^x with h = r^n needs the table once per worker instead of a
     full power per value.
     """
 
@@ -76,6 +78,73 @@ class Blinder:
         return out
 
 
+@lru_cache(maxsize=2)
+def _blinder(key: PublicKey) -> Blinder:
+    return Blinder(key)
+
+
+class Opener:
+    """Decryption modulo the squares of the two primes, whose results meet by the Chinese remainder theorem.
+
+    A power takes numbers and exponents of half the length, so the two cost less than half of one modulo the square of n.
+    """
+
+    def __init__(self, key: PrivateKey):
+        self.p, self.q, n = key.p, key.q, key.public.n
+        self.sides = []
+        for prime in (self.p, self.q):
+            square = prime * prime
+            self.sides.append((prime, square, pow((pow(1 + n, prime - 1, square) - 1) // prime, -1, prime)))
+        self.join = pow(self.p, -1, self.q)
+
+    def plain(self, c: int) -> int:
+        """The number from 0 to n - 1 that ``c`` holds."""
+        a, b = ((pow(c, prime - 1, square) - 1) // prime * h % prime for prime, square, h in self.sides)
+        return a + self.p * ((b - a) * self.join % self.q)
+
+
+class PowerProduct:
+    """The product of c ** a over many (c, a), by buckets of digits.
+
+    Ciphertexts may have different exponents: a digit's place counts from the point, so that the ones with fewer digits behind
+    it land further up, which aligns them for nothing.
+    """
+
+    def __init__(self, square: int):
+        self.square = square
+        self.buckets: tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]] = ({}, {})
+        self.exponent: int | None = None
+
+    def add(self, c: int, a: int, exponent: int) -> None:
+        self.exponent = exponent if self.exponent is None else max(self.exponent, exponent)
+        held, a, place = self.buckets[a < 0], abs(a), -exponent
+        while a:
+            digit = a % BASE
+            if digit:
+                at = (place, digit)
+                held[at] = held[at] * c % self.square if at in held else c
+            a //= BASE
+            place += 1
+
+    def _raised(self, held: dict[tuple[int, int], int]) -> int:
+        total = 1
+        if held:
+            for place in range(max(p for p, _ in held), -self.exponent - 1, -1):
+                total = pow(total, BASE, self.square) if total != 1 else 1
+                running = 1
+                for digit in range(BASE - 1, 0, -1):
+                    if (place, digit) in held:
+                        running = running * held[place, digit] % self.square
+                    if running != 1:
+                        total = total * running % self.square
+        return total
+
+    def close(self) -> tuple[int, int]:
+        """(ciphertext, exponent) of the product."""
+        above, below = (self._raised(held) for held in self.buckets)
+        return (above * pow(below, -1, self.square) % self.square if below != 1 else above), self.exponent
+
+
 def encrypt_column(df: DataFrame, value: str, ids: list[str], key: PublicKey, secret: bytes, exponent: int = 4) -> DataFrame:
     """Replace ``value`` by (c BINARY, exponent INT).
 
@@ -89,7 +158,7 @@ def encrypt_column(df: DataFrame, value: str, ids: list[str], key: PublicKey, se
     limit, length = n // 2, (n.bit_length() + 7) // 8
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blinder = Blinder(key)
+        blinder = _blinder(key)
         for frame in frames:
             out = []
             for x, *parts in zip(frame[value].tolist(), *(frame[i].tolist() for i in ids)):
@@ -191,15 +260,45 @@ def paillier_sum(df: DataFrame, by: list[str], key: PublicKey, bound: float | No
 
 
 def paillier_weighted_sum(df: DataFrame, weight: str, by: list[str], key: PublicKey, exponent: int = 0) -> DataFrame:
-    """Encrypted sum of weight * value per key; weights are plain numbers."""
+    """Encrypted sum of weight * value per key; weights are plain numbers.
+
+    A task takes the powers of a key with several rows together (``PowerProduct``).
+    """
     fields = df.select(*by, "c", "exponent").schema
-    n, square = key.n, key.square
+    square = key.square
 
     def scale(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        few: dict[tuple, list[tuple[int, int, int]]] = {}
+        many: dict[tuple, PowerProduct] = {}
+
+        def flush() -> pd.DataFrame:
+            out = [(*k, key.pack(pow(c, a % key.n, square)), e + exponent) for k, rows in few.items() for c, a, e in rows]
+            for k, product in many.items():
+                c, e = product.close()
+                out.append((*k, key.pack(c), e + exponent))
+            few.clear()
+            many.clear()
+            return pd.DataFrame(out, columns=[*by, "c", "exponent"], dtype=object)
+
+        held = 0
         for frame in frames:
-            factors = [round(a * BASE**exponent) % n for a in frame[weight]]
-            scaled = [key.pack(pow(_unpack(c), a, square)) for c, a in zip(frame["c"], factors)]
-            yield frame[[*by]].assign(c=scaled, exponent=frame["exponent"] + exponent)
+            for *group, c, e, a in zip(*(frame[name].tolist() for name in [*by, "c", "exponent", weight])):
+                k, row = tuple(group), (_unpack(c), round(a * BASE**exponent), e)
+                if k in many:
+                    many[k].add(*row)
+                    continue
+                rows = few.setdefault(k, [])
+                rows.append(row)
+                held += 1
+                if len(rows) == TOGETHER:
+                    many[k] = PowerProduct(square)
+                    for first in few.pop(k):
+                        many[k].add(*first)
+            if held > HELD_KEYS:
+                yield flush()
+                held = 0
+        if few or many:
+            yield flush()
 
     return paillier_sum(df.select(*by, "c", "exponent", weight).mapInPandas(scale, fields), by, key)
 
@@ -208,16 +307,14 @@ def decrypt_column(df: DataFrame, key: PrivateKey, value: str = "v") -> DataFram
     """Replace (c, exponent) by the decrypted ``value``."""
     keep = [c for c in df.columns if c not in ("c", "exponent")]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(value, T.DoubleType())])
-    n, square = key.public.n, key.public.square
-    order = math.lcm(key.p - 1, key.q - 1)
-    inverse = pow(order, -1, n)
+    n, opener = key.public.n, Opener(key)
     limit = n // 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for c, e in zip(frame["c"], frame["exponent"]):
-                plain = (pow(_unpack(c), order, square) - 1) // n * inverse % n
+                plain = opener.plain(_unpack(c))
                 out.append((plain if plain <= limit else plain - n) / BASE ** int(e))
             yield frame[keep].assign(**{value: out})
 

@@ -75,3 +75,33 @@ def test_empty_tables(spark, cells):
 def test_columns_are_added_row_by_row(spark):
     a, b = sealed(spark, {1: 2.0, 2: -3.5}, "id", 2), sealed(spark, {2: 0.0625, 3: 7.0}, "id", 6)
     assert opened(encrypted.encrypted_add(a, b, ["id"], KEY), "id") == {1: 2.0, 2: -3.4375, 3: 7.0}
+
+
+def test_opening_by_both_primes_equals_the_textbook():
+    import math
+
+    rng, n, square = random.Random(5), KEY.n, KEY.square
+    order = math.lcm(TEST_KEY.p - 1, TEST_KEY.q - 1)
+    opener = paillier.Opener(TEST_KEY)
+    for plain in [0, 1, n - 1, n // 2, *(rng.randrange(n) for _ in range(20))]:
+        c = (1 + n * plain) * pow(rng.randrange(2, n), n, square) % square
+        assert opener.plain(c) == plain == (pow(c, order, square) - 1) // n * pow(order, -1, n) % n
+
+
+@pytest.mark.parametrize("held", [50_000, 3])
+def test_weighted_sums_take_powers_together(spark, monkeypatch, held):
+    """Keys of one and of many rows, negative and zero weights, two exponents; many rows of a key take no power of their own."""
+    monkeypatch.setattr(paillier, "HELD_KEYS", held)
+    rng = random.Random(2)
+    rows = {i: (rng.randrange(-99, 99) / 4, rng.randrange(-64, 64) / 16 if i % 9 else 0.0, "one" if i == 5 else "ab"[i % 2] if i < 60 else "c") for i in range(64)}
+    frame = spark.createDataFrame([(i, *r) for i, r in rows.items()], "id bigint, w double, a double, k string").repartition(2)
+    fine, coarse = (paillier.encrypt_column(frame.where(f"id % 2 = {r}"), "w", ["id"], KEY, b"secret", e) for r, e in ((0, 3), (1, 5)))
+    got = opened(paillier.paillier_weighted_sum(fine.unionByName(coarse), "a", ["k"], KEY, exponent=2), "k")
+    want = {}
+    for v, a, k in rows.values():
+        want[k] = want.get(k, 0.0) + v * a
+    assert got == want
+    product = paillier.PowerProduct(KEY.square)
+    for c in range(2, 200):
+        product.add(c, c % 7 - 3, 0)
+    assert sum(map(len, product.buckets)) <= 6  # one bucket a digit, however many rows
