@@ -18,7 +18,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sketchframe.llm.common import texts
+from sketchframe.llm.text import kept
 
 REMEMBERED, LONGEST = 500_000, 48
 
@@ -186,7 +186,6 @@ class Codec:
         return b"".join(map(self.parts.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=4)
 def load(path: str, pattern: str) -> Codec:
     """The codec of a rank file: a base64 part and its rank on each line."""
     with open(path, "rb") as lines:
@@ -198,7 +197,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of every text.  ``path`` is a file that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path, pattern)
+        codec = kept((path, pattern), lambda: load(path, pattern))
         for batch in batches:
             column = batch.column("text")
             for start in range(0, len(column), 256):
@@ -215,7 +214,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes) of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path, pattern)
+        codec = kept((path, pattern), lambda: load(path, pattern))
         for batch in batches:
             made = [codec.decode(np.array(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "bytes"])
@@ -230,7 +229,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, encoding and decoding in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path, pattern)
+        codec = kept((path, pattern), lambda: load(path, pattern))
         for batch in batches:
             count, ids_sha, text_sha = [], [], []
             column = batch.column("text")
@@ -258,7 +257,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path, pattern)
+        codec = kept((path, pattern), lambda: load(path, pattern))
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)

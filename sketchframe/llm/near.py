@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sketchframe.llm.common import in_bitmap, only, text_key, texts
 from sketchframe.llm.components import components
-from sketchframe.llm.text import Flat, flat, mix, salted, shingles, uniform
+from sketchframe.llm.text import Flat, flat, lean, mix, salted, shingles, uniform
 from sketchframe.session import write_out
 
 BANDS, ROWS, REGISTERS, FURTHER = 20, 4, 160, 512
@@ -199,7 +199,7 @@ def _similarities(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     left = bodies.select(F.col("print").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("print").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return write_out(both.mapInArrow(_verified(size), "a string, b string, similarity double"), "similarities")
+    return write_out(both.mapInArrow(lean(_verified(size)), "a string, b string, similarity double"), "similarities")
 
 
 def near_classes(
@@ -211,7 +211,7 @@ def near_classes(
     least, least_of_all = (int(np.floor(n * threshold - slack * np.sqrt(n * threshold * (1 - threshold)))) for n in (registers, registers + further))
     base = texts(docs).withColumn("key", text_key())
     schema = "doc_id bigint, key string, print string, bands array<bigint>, signature array<bigint>"
-    signed = write_out(base.mapInArrow(_signed(bands, rows, size, registers), schema), "signed")
+    signed = write_out(base.mapInArrow(lean(_signed(bands, rows, size, registers)), schema), "signed")
     one = F.min(F.struct("key", "doc_id", "bands", "signature")).alias("one")
     nodes = write_out(signed.groupBy("print").agg(one).select("print", "one.*"), "nodes")
 
@@ -240,7 +240,7 @@ def near_classes(
     known = found.select(F.col("a").alias("print"), F.col("b").alias("lead"), "similarity")
     apart = write_out(apart.join(known, ["print", "lead"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
     unsure = bodies.join(apart.select("print").distinct(), "print").select("print", "text")
-    more_bits = write_out(unsure.mapInArrow(_further(size, further), "print string, further array<bigint>"), "further")
+    more_bits = write_out(unsure.mapInArrow(lean(_further(size, further)), "print string, further array<bigint>"), "further")
     apart = apart.join(more_bits, "print").join(nodes.select("print", "signature", "bands"), "print")
     # of two members in different components one at least is not linked to the leader
     x, y = apart.where(F.col("similarity") < threshold - 1e-9).alias("x"), apart.alias("y")

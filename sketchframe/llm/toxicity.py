@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchframe.llm.common import bounded_sample, labelled, texts
-from sketchframe.llm.text import Flat, flat, salted
+from sketchframe.llm.text import Flat, flat, lean, salted
 from sketchframe.session import write_out
 
 BEGINNINGS = (4, 5, 6)
@@ -234,7 +234,7 @@ def fit(
     sums = sample.groupBy("label").agg(F.count("*")).collect()
     rows = {label: n for label, n in sums}
     n1, n0 = float(rows.get(1, 0)), float(rows.get(0, 0))
-    tallied = sample.mapInArrow(_term_labels, "term bigint, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    tallied = sample.mapInArrow(lean(_term_labels), "term bigint, pos bigint, n bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     a, n = F.col("pos").cast("double"), F.col("n").cast("double")
     cross = a * (F.lit(n0) - (n - a)) - (n - a) * (F.lit(n1) - a)
     below = n * (F.lit(n0 + n1) - n) * F.lit(n1 * n0)
@@ -252,7 +252,7 @@ def fit(
         codes = np.arange(-1, len(seen))
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.append(total_, seen))], ["term", "n"])
 
-    df = dict(docs.select("text").mapInArrow(document_counts, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())
+    df = dict(docs.select("text").mapInArrow(lean(document_counts), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())
     idf = np.array([np.log((1.0 + df.get(-1, 0)) / (1.0 + df.get(i, 0))) + 1.0 for i in range(len(vocabulary.hashes))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def fit(
             lists = [pa.array([p[j] for p in per_row], pa.list_(pa.int64())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "term", "n"])
 
-    made = sample.mapInArrow(vectors, "doc_id bigint, label int, term array<bigint>, n array<bigint>")
+    made = sample.mapInArrow(lean(vectors), "doc_id bigint, label int, term array<bigint>, n array<bigint>")
     examples = made.groupBy("doc_id", "label").agg(F.min(F.struct("term", "n")).alias("v")).orderBy("doc_id").collect()
     ids = np.array([r.doc_id for r in examples], np.int64)
     y = np.array([r.label for r in examples], np.float64)
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, thresho
                 ["doc_id", "held_out", "score", "predicted", "neighbours", "cosines"],
             )
 
-    return texts(docs, held.alias("held_out")).mapInArrow(run, f"doc_id bigint, held_out boolean, {SCORED}")
+    return texts(docs, held.alias("held_out")).mapInArrow(lean(run), f"doc_id bigint, held_out boolean, {SCORED}")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -322,4 +322,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(pc.struct_field(batch.column("row"), [text]))[0] < threshold))
 
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    return rows.mapInArrow(lean(run), rows.schema).select("row.*")

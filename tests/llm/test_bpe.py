@@ -1,12 +1,16 @@
 import base64
 import hashlib
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from sketchframe.llm import bpe
+from sketchframe.llm.text import flat, kept, lean
 
 PATH, PATTERN = bpe.public_vocabulary()
 
@@ -79,3 +83,28 @@ def test_tables(documents, reference):
     assert full.columns == [*docs.columns, "n_tokens", "ids"]
     assert {(r.doc_id, r.text, r.n_tokens == len(r.ids)) for r in full.collect()} == {(i, t, True) for i, t in rows}
     assert bpe.digests(documents([]), PATH, PATTERN).count() == 0
+
+
+def test_a_worker_that_goes_on_to_another_operator_drops_the_dictionaries():
+    """A worker serves one operator after another; the codec of a task before must not stay beside a later one's arrays."""
+
+    class Held:
+        pass
+
+    held = Held()
+    seen = weakref.ref(held)
+    assert kept("codec", lambda: held) is kept("codec", Held)
+    del held
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    assert [b.num_rows for b in lean(lambda batches: batches)(iter([batch]))] == [2]
+    assert seen() is None
+
+
+def test_arrays_of_a_large_batch_stay_small():
+    column = pa.array(["some words of a text, again and again. " * 100] * 1000)  # 4 MB
+    tracemalloc.start()
+    for piece in flat(column):
+        piece.words_cut((4, 5, 6))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30_000_000
