@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from sketchframe.session import write_out
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) for every node of ``links(a, b)``; the root is the least node of its component.
+def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root) for every node of the stored links ``edges(a, b)`` but the roots; the root is the least node of its component.
 
     Alternating star steps: a node's neighbours above it, then those below it, are handed to the least
     one, until only stars are left.  A step is a minimum per node, which pre-aggregates,
     and a join of two stored tables, which adaptive execution may split at a node with many links.
     """
-    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = write_out(ordered.distinct(), "links")
-    before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = write_out(both.groupBy("a").agg(F.min("b").alias("m")), "least").select("a", F.least("a", "m").alias("m"))
@@ -27,11 +24,19 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         joined = edges.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = write_out(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if _only_stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"links did not settle in {rounds} rounds")
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node that has a lesser one has only that, and is the lesser one of none; a further step would change nothing."""
+    ends = edges.selectExpr("a as node", "1 as up", "0 as down").unionByName(edges.selectExpr("b as node", "0 as up", "1 as down"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
+def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root) for every node of ``links(a, b)``; the root is the least node of its component."""
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    found = stars(write_out(ordered.distinct(), "links"), rounds)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchframe.llm.common import in_bitmap, only, text_key, texts
-from sketchframe.llm.components import components
+from sketchframe.llm.components import stars
 from sketchframe.llm.text import Flat, flat, lean, mix, salted, shingles, uniform
 from sketchframe.session import write_out
 
@@ -222,7 +222,7 @@ def near_classes(
     degrees = write_out(met.groupBy("print").agg(F.sum("n").alias("degree")), "degrees")
     leaders = met.join(degrees, "print").groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
     led = write_out(met.drop("n").join(write_out(leaders, "leaders"), ["band", "h"]), "led")
-    star = write_out(led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct(), "star")
+    star = led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct()
     wanted = degrees.join(nodes.select("print", "key", "doc_id"), "print")
     wanted = write_out(wanted.select("print", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "wanted")
     some = in_bitmap(base.withColumn("_hash", F.xxhash64("key", "doc_id")), "_hash", wanted.select(F.xxhash64("_key", "_id").alias("id")))
@@ -232,7 +232,7 @@ def near_classes(
     links = found.where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
 
     # members of a bucket in different components against each other
-    roots = write_out(components(links), "roots")
+    roots = stars(links)  # without the roots themselves
     placed = led.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     placed = write_out(placed, "placed")
     mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -257,9 +257,9 @@ def near_classes(
         & ~_met_before(F.col("x.bands"), F.col("y.bands"), F.col("x.band"), bands)
     )
     cross = x.join(y, likely).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
-    more = _similarities(write_out(cross, "cross"), bodies, size).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
+    more = _similarities(cross, bodies, size).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
     if not more.isEmpty():
-        roots = write_out(components(links.unionByName(more)), "roots")
+        roots = stars(roots.toDF("a", "b").unionByName(more))
 
     named = signed.select("doc_id", "key", "print").join(roots.withColumnRenamed("node", "print"), "print", "left")
     named = write_out(named.select("doc_id", "key", F.coalesce("root", "print").alias("root")), "named")

@@ -163,3 +163,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {x: find(x) for pair in links for x in pair if pair[0] != pair[1]}
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_stars_are_seen_without_a_further_round(spark, monkeypatch):
+    """Each table that is stored costs a job of all partitions; one round is enough for stars, chains need more."""
+    from sketchframe.llm import components as module
+
+    stored, write = [], module.write_out
+    monkeypatch.setattr(module, "write_out", lambda df, label: stored.append(label) or write(df, label))
+    links = [("a", f"b{i}") for i in range(30)] + [("c", "d")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {"a": "a", "c": "c", "d": "c", **{f"b{i}": "a" for i in range(30)}}
+    assert len(stored) == 5
