@@ -179,3 +179,21 @@ def test_words_are_numbered_before_they_are_exchanged(spark, tmp_path):
     assert "term" not in exchanged.split("Exchange hashpartitioning")[1].split("\n")[0]
     got = sorted((r.row_id is None, r.row_id or 0, r.v) for r in terms.collect())
     assert got == [(False, 1, 2.0), (False, 1, 2.0), (False, 2, 1.0), (False, 2, 2.0), (True, 0, 2.0)]
+
+
+def test_terms_are_counted_within_rows_and_meet_in_parts_that_follow_the_text(spark, tmp_path, monkeypatch):
+    """No task groups what it reads before the exchange, and a task gets so many characters, whatever the session's partitions."""
+    from sketchframe.sources import views
+
+    data = [(i % 40, "b a b " * (i % 7) + "c") for i in range(200)]
+    spark.createDataFrame(data, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(views, "CHARS_PER_TASK", 100)
+    terms = views.doc_terms(spark, str(tmp_path))
+    above, below = terms._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert "Aggregate" in above and "Aggregate" not in below
+    assert terms.rdd.getNumPartitions() == -(-sum(len(t) for _, t in data) // 100)
+    want = {}
+    for row, text in data:
+        for word in text.split():
+            want[row, word] = want.get((row, word), 0) + 1
+    assert sorted(r.v for r in terms.collect()) == sorted(want.values()) and terms.groupBy("row_id", "f").count().count() == len(want)
