@@ -19,6 +19,8 @@ from sketchframe.session import write_out
 
 # A vector is broadcast if its ciphertexts take no more than this.
 BROADCAST_BYTES = 64 << 20
+# Cells that a task sorts together with their ciphertexts.
+CELLS_PER_TASK = 250_000
 
 
 def encrypted_product(
@@ -30,22 +32,27 @@ def encrypted_product(
     ``exponent`` digits of base 16 behind the point.  ``bound`` is the largest size of an entry of the vector: a sum that might not
     fit the key raises an error; None leaves that to the caller.  Cells without an entry, and null or zero ones, add nothing.
 
-    The vector is stored, so that nothing is encrypted twice, and broadcast if its ciphertexts are few; else both sides are
-    exchanged and the cells brought together by group, where adaptive execution may cut a heavy group in pieces.  The pieces'
-    products meet in ``paillier_sum``.
+    The vector is stored, so that nothing is encrypted twice, and broadcast if its ciphertexts are few: the cells are brought
+    together by group before they meet them, in parts whose number grows with the cells, and a heavy group is cut in pieces.  Else both
+    sides are exchanged and the cells brought together afterwards, where adaptive execution may cut a heavy group.  The pieces' products
+    meet in ``paillier_sum``.
     """
+    sizes = cells.groupBy(by).agg(F.sum(F.abs("v")).alias("size"), F.count("*").alias("n"))
+    # rounding adds up to half a unit a cell
+    largest, total, most = sizes.agg(F.max(F.col("size") * float(BASE**exponent) + F.col("n")), F.sum("n"), F.max("n")).first()
     if bound is not None:
-        sizes = cells.groupBy(by).agg(F.sum(F.abs("v")).alias("size"), F.count("*").alias("n"))
-        # rounding adds up to half a unit a cell
-        largest = sizes.agg(F.max(F.col("size") * float(BASE**exponent) + F.col("n"))).first()[0]
         digits = vector.agg(F.max("exponent")).first()[0]
         if largest and digits is not None and int(largest * bound) * BASE**digits > key.n // 2:
             raise ValueError("the product might not fit the key")
     stored = write_out(vector.select(on, F.col("c").alias("_c"), F.col("exponent").alias("_e")), "vector")
     few = stored.count() * key.size <= BROADCAST_BYTES
-    met = cells.where("v <> 0").select(by, on, "v").join(F.broadcast(stored) if few else stored, on).select(by, "v", "_c", "_e")
-    if not few:
-        met = met.hint("rebalance", by)
+    thin = cells.where("v <> 0").select(by, on, "v")
+    if few:
+        parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // CELLS_PER_TASK))
+        piece = F.pmod(F.xxhash64(on), F.lit(-(-(most or 1) // CELLS_PER_TASK)))
+        met = thin.repartition(parts, by, piece).join(F.broadcast(stored), on).select(by, "v", "_c", "_e")
+    else:
+        met = thin.join(stored, on).select(by, "v", "_c", "_e").hint("rebalance", by)
     fields = met.select(by, F.col("_c").alias("c"), F.col("_e").alias("exponent")).schema
     square, scale = key.square, BASE**exponent
 

@@ -105,3 +105,21 @@ def test_weighted_sums_take_powers_together(spark, monkeypatch, held):
     for c in range(2, 200):
         product.add(c, c % 7 - 3, 0)
     assert sum(map(len, product.buckets)) <= 6  # one bucket a digit, however many rows
+
+
+def test_a_task_sorts_a_bounded_number_of_cells(spark, cells, monkeypatch):
+    """A broadcast vector's cells come in parts that grow in number with them, and a heavy group in pieces; the sums are the same."""
+    monkeypatch.setattr(encrypted, "CELLS_PER_TASK", 10)
+    seen, merge = [], encrypted.paillier_sum
+    monkeypatch.setattr(encrypted, "paillier_sum", lambda df, by, key: seen.append(df) or merge(df, by, key))
+    rows = {r: {f: (r + f) % 5 / 4 - 0.25 for f in ([0, 1 + r] if r else range(40))} for r in range(60)}
+    d = sealed(spark, {r: r % 7 - 3 for r in rows}, "row_id")
+    got = opened(encrypted.encrypted_matvec_t(cells(rows).repartition(3), d, KEY, bound=4.0), "f")
+    want = {}
+    for r, fv in rows.items():
+        for f, v in fv.items():
+            if v:
+                want[f] = want.get(f, 0.0) + v * (r % 7 - 3)
+    assert got == want
+    assert seen[0].rdd.getNumPartitions() >= sum(len(fv) for fv in rows.values()) // 10
+    assert seen[0].where("f = 0").count() > 1
