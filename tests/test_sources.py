@@ -197,3 +197,23 @@ def test_terms_are_counted_within_rows_and_meet_in_parts_that_follow_the_text(sp
         for word in text.split():
             want[row, word] = want.get((row, word), 0) + 1
     assert sorted(r.v for r in terms.collect()) == sorted(want.values()) and terms.groupBy("row_id", "f").count().count() == len(want)
+
+
+def test_lines_meet_their_orders_in_parts_that_follow_their_number(spark, tmp_path, monkeypatch):
+    """Whatever the session's partitions; repeated orders and lines count as often, lines without an order or a key not at all."""
+    from sketchframe.sources import views
+
+    lines = [(i % 50, i % 9, 2.0) for i in range(300)] + [(None, 1, 5.0), (99, 1, 7.0)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(i, i % 4) for i in range(50)] + [(7, 3), (None, 2)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(views, "LINES_PER_TASK", 20)
+    x = views.cust_part(spark, str(tmp_path))
+    assert "hashpartitioning(l_orderkey" in (plan := x._jdf.queryExecution().executedPlan().toString())
+    assert "16), REPARTITION_BY_NUM" in plan
+    want = {}
+    for order, part, n in lines:
+        for o, customer in orders:
+            if o is not None and o == order:
+                want[customer, part] = want.get((customer, part), 0.0) + n
+    assert {(r.row_id, r.f): r.v for r in x.collect()} == want
