@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchframe.session import write_out
+from sketchframe.session import in_parts, write_out
 
 
 def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -14,16 +14,19 @@ def stars(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Alternating star steps: a node's neighbours above it, then those below it, are handed to the least
     one, until only stars are left.  A step is a minimum per node, which pre-aggregates,
     and a join of two stored tables, which adaptive execution may split at a node with many links.
+    No step makes more than twice as many links as there are; the tables are stored in as many parts as that asks for.
     """
     for _ in range(rounds):
+        bound = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = write_out(both.groupBy("a").agg(F.min("b").alias("m")), "least").select("a", F.least("a", "m").alias("m"))
+        least = write_out(in_parts(both.groupBy("a").agg(F.min("b").alias("m")), bound), "least").select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = write_out(large.where("a <> b").distinct(), "links")
-        least = write_out(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        edges = write_out(in_parts(large.where("a <> b").distinct(), bound), "links")
+        least = write_out(in_parts(edges.groupBy("a").agg(F.min("b").alias("m")), bound), "least")
         joined = edges.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = write_out(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges = write_out(in_parts(small, bound), "links")
         if _only_stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"links did not settle in {rounds} rounds")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sketchframe.llm.common import in_bitmap, only, text_key, texts
 from sketchframe.llm.components import stars
 from sketchframe.llm.text import Flat, flat, lean, mix, salted, shingles, uniform
-from sketchframe.session import write_out
+from sketchframe.session import in_parts, write_out
 
 BANDS, ROWS, REGISTERS, FURTHER = 20, 4, 160, 512
 HELD = 2_000_000  # shingles that a verifying task keeps at hand
@@ -198,7 +198,8 @@ def _met_before(x: Column, y: Column, band: Column, bands: int) -> Column:
 def _similarities(pairs: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
     left = bodies.select(F.col("print").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("print").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # b first: the leaders of star pairs are few, and the rows that then bear their text are spread by member
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return write_out(both.mapInArrow(lean(_verified(size)), "a string, b string, similarity double"), "similarities")
 
 
@@ -213,18 +214,21 @@ def near_classes(
     schema = "doc_id bigint, key string, print string, bands array<bigint>, signature array<bigint>"
     signed = write_out(base.mapInArrow(lean(_signed(bands, rows, size, registers)), schema), "signed")
     one = F.min(F.struct("key", "doc_id", "bands", "signature")).alias("one")
-    nodes = write_out(signed.groupBy("print").agg(one).select("print", "one.*"), "nodes")
+    of_docs = signed.count()
+    nodes = write_out(in_parts(signed.groupBy("print").agg(one).select("print", "one.*"), of_docs), "nodes")
 
     # members of a bucket against its leader
     members = nodes.select("print", F.posexplode("bands").alias("band", "h"))
-    sizes = write_out(members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    met = write_out(members.join(sizes, ["band", "h"]), "met")
-    degrees = write_out(met.groupBy("print").agg(F.sum("n").alias("degree")), "degrees")
-    leaders = met.join(degrees, "print").groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
-    led = write_out(met.drop("n").join(write_out(leaders, "leaders"), ["band", "h"]), "led")
+    of_members = bands * nodes.count()
+    sizes = write_out(in_parts(members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), of_members), "sizes")
+    met = write_out(in_parts(members.join(sizes, ["band", "h"]), of_members), "met")
+    of_met = met.count()  # none of the tables of members has more rows
+    degrees = met.groupBy("print").agg(F.sum("n").alias("degree")).join(nodes.select("print", "key", "doc_id"), "print")
+    wanted = write_out(in_parts(degrees.select("print", "degree", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), of_met), "wanted")
+    leaders = met.join(wanted.select("print", "degree"), "print").groupBy("band", "h").agg(F.max(F.struct("degree", "print")).alias("most")).select("band", "h", F.col("most.print").alias("lead"))
+    leaders = write_out(in_parts(leaders, of_met), "leaders")
+    led = write_out(in_parts(met.drop("n").join(leaders, ["band", "h"]), of_met), "led")
     star = led.where("print <> lead").select(F.col("print").alias("a"), F.col("lead").alias("b")).distinct()
-    wanted = degrees.join(nodes.select("print", "key", "doc_id"), "print")
-    wanted = write_out(wanted.select("print", F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "wanted")
     some = in_bitmap(base.withColumn("_hash", F.xxhash64("key", "doc_id")), "_hash", wanted.select(F.xxhash64("_key", "_id").alias("id")))
     same = (some["key"] == wanted["_key"]) & some["doc_id"].eqNullSafe(wanted["_id"])
     bodies = write_out(some.join(wanted, same).select("print", "text").dropDuplicates(["print"]), "bodies")
@@ -234,14 +238,16 @@ def near_classes(
     # members of a bucket in different components against each other
     roots = stars(links)  # without the roots themselves
     placed = led.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    placed = write_out(placed, "placed")
+    placed = write_out(in_parts(placed, of_met), "placed")
     mixed = placed.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    apart = placed.join(write_out(mixed.select("band", "h"), "mixed"), ["band", "h"])
+    mixed = write_out(in_parts(mixed.select("band", "h"), of_met), "mixed")
+    apart = placed.join(mixed, ["band", "h"])
     known = found.select(F.col("a").alias("print"), F.col("b").alias("lead"), "similarity")
-    apart = write_out(apart.join(known, ["print", "lead"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0))), "split")
+    apart = apart.join(known, ["print", "lead"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
+    apart = write_out(in_parts(apart, of_met), "split")
     unsure = bodies.join(apart.select("print").distinct(), "print").select("print", "text")
     more_bits = write_out(unsure.mapInArrow(lean(_further(size, further)), "print string, further array<bigint>"), "further")
-    apart = apart.join(more_bits, "print").join(nodes.select("print", "signature", "bands"), "print")
+    apart = in_parts(apart.join(more_bits, "print").join(nodes.select("print", "signature", "bands"), "print"), of_met)
     # of two members in different components one at least is not linked to the leader
     x, y = apart.where(F.col("similarity") < threshold - 1e-9).alias("x"), apart.alias("y")
     alike = _agreeing(F.col("x.signature"), F.col("y.signature"), registers // 8)
@@ -252,9 +258,9 @@ def near_classes(
         & ((F.col("y.similarity") >= threshold - 1e-9) | (F.col("x.print") < F.col("y.print")))
         & (F.col("y.print") != F.col("y.lead"))
         & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1.0 - threshold + 1e-9)
+        & ~_met_before(F.col("x.bands"), F.col("y.bands"), F.col("x.band"), bands)
         & (alike >= least)
         & (alike + _agreeing_long(F.col("x.further"), F.col("y.further")) >= least_of_all)
-        & ~_met_before(F.col("x.bands"), F.col("y.bands"), F.col("x.band"), bands)
     )
     cross = x.join(y, likely).select(F.greatest("x.print", "y.print").alias("a"), F.least("x.print", "y.print").alias("b")).distinct()
     more = _similarities(cross, bodies, size).where(F.col("similarity") >= threshold - 1e-9).select("a", "b")
@@ -262,8 +268,9 @@ def near_classes(
         roots = stars(roots.toDF("a", "b").unionByName(more))
 
     named = signed.select("doc_id", "key", "print").join(roots.withColumnRenamed("node", "print"), "print", "left")
-    named = write_out(named.select("doc_id", "key", F.coalesce("root", "print").alias("root")), "named")
-    groups = write_out(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "groups")
+    named = write_out(in_parts(named.select("doc_id", "key", F.coalesce("root", "print").alias("root")), of_docs), "named")
+    groups = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    groups = write_out(in_parts(groups, of_docs), "groups")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
     return named.join(groups, "root").select("doc_id", "class_id", "class_size", kept.alias("kept"), "key", "root")
 

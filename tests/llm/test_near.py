@@ -9,6 +9,7 @@ import pytest
 from sketchframe.llm import near
 from sketchframe.llm.components import components
 from sketchframe.llm.text import flat, shingles
+from sketchframe.session import LEAST_PARTS, PART_ROWS, in_parts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -175,3 +176,41 @@ def test_stars_are_seen_without_a_further_round(spark, monkeypatch):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {"a": "a", "c": "c", "d": "c", **{f"b{i}": "a" for i in range(30)}}
     assert len(stored) == 5
+
+
+def test_small_tables_are_not_cut_into_the_session_s_partitions(spark, documents, monkeypatch):
+    """A few hundred rows over 64 shuffle partitions, with no coalescing by the session, are a few parts and not 64 files a step."""
+    from sketchframe.llm import components as module
+
+    files = []
+
+    def counted(df, label):
+        stored = write(df, label)
+        files.append((label, len(stored.inputFiles())))
+        return stored
+
+    write = near.write_out
+    monkeypatch.setattr(near, "write_out", counted)
+    monkeypatch.setattr(module, "write_out", counted)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = corpus()
+        got = near.near_classes(documents(rows)).select("doc_id", "class_id", "class_size", "kept").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    narrow = {"nodes", "sizes", "met", "wanted", "leaders", "led", "least", "links", "placed", "mixed", "split", "named", "groups"}
+    assert narrow <= {label for label, _ in files}
+    assert max(n for label, n in files if label in narrow) <= LEAST_PARTS
+
+
+def test_parts_grow_with_the_rows(spark):
+    table = spark.range(0, 1000, 1, 64)
+    assert in_parts(table, 1000).rdd.getNumPartitions() == LEAST_PARTS
+    assert in_parts(table, 20 * PART_ROWS).rdd.getNumPartitions() == 20
+    assert in_parts(table, 10**9).rdd.getNumPartitions() == 64
+    assert in_parts(table, 1000).count() == 1000
