@@ -95,6 +95,9 @@ def encrypted_matvec_t(x: DataFrame, d: DataFrame, key: PublicKey, *, bound: flo
 
 
 def encrypted_add(left: DataFrame, right: DataFrame, by: list[str], key: PublicKey) -> DataFrame:
-    """(by..., c, exponent): the sum of two encrypted columns, row by row; a row that one side lacks counts as zero there."""
+    """(by..., c, exponent): the sum of two encrypted columns, row by row; a row that one side lacks counts as zero there.
+
+    Rows of both sides are exchanged once, as most keys have one of each.
+    """
     columns = [*by, "c", "exponent"]
-    return paillier_sum(left.select(columns).unionByName(right.select(columns)), by, key)
+    return paillier_sum(left.select(columns).unionByName(right.select(columns)), by, key, few=True)

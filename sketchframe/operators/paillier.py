@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sketchframe.operators.residues import LEAST, pieces, powers, residues
+
 BASE = 16
 # Partial products of one key are combined in this many groups before the last step.
 SALTS = 256
@@ -19,6 +23,10 @@ SALTS = 256
 HELD_KEYS = 50_000
 # Rows of a key from which on their powers are taken together.
 TOGETHER = 8
+# Ciphertexts from which on they are first decrypted by one prime and checked by the other.
+TOGETHER_OPENED = 2000
+# Bytes that a worker's table of powers for blinding may take, and exponent bits of a power at most.
+TABLE_BYTES, TABLE_BITS = 32 << 20, 11
 
 
 @dataclass(frozen=True)
@@ -55,11 +63,11 @@ class Blinder:
     """Powers of one fixed n-th residue, eight exponent bits per multiplication.
 
     Blinding by h^x with h = r^n needs the table once per worker instead of a
-    full power per value.
+    full power per value.  Many values share a wider table of residues.
     """
 
     def __init__(self, key: PublicKey):
-        self.square = key.square
+        self.n, self.square = key.n, key.square
         seed = hashlib.sha512(key.pack(key.n)).digest()
         base = pow(int.from_bytes(seed, "big") % key.n | 1, key.n, key.square)
         self.windows = []
@@ -77,6 +85,40 @@ class Blinder:
             out = out * powers[digit] % self.square
         return out
 
+    @cached_property
+    def table(self) -> list[np.ndarray]:
+        """Powers of h in rows by groups of exponent bits; those of the first group are not times the residues' range."""
+        by, bits = residues(self.square), 8 * len(self.windows)
+        width = TABLE_BITS
+        while width > 1 and (-(-bits // width) << width) * 16 * by.size > TABLE_BYTES:
+            width -= 1
+        base = by.times(by.enter([self.windows[0][1]]), by.raising)
+        tables = []
+        for at in range(0, bits, width):
+            held = by.one if not at else by.times(by.one, by.raising)
+            for _ in range(width):
+                further = [by.times(held[:, piece], base) for piece in pieces(held.shape[1])]
+                held, base = np.hstack([held, *further]), by.times(base, base)
+            tables.append(np.ascontiguousarray(held.T))
+        return tables
+
+    def sealed(self, plain: list[int], exponents: list[bytes]) -> list[int]:
+        """(1 + n * plain) * h^exponent for numbers from 0 to n - 1 and little-endian exponents, one as long as ``windows``."""
+        if len(plain) < LEAST:
+            return [(1 + self.n * x) * self.power(e) % self.square for x, e in zip(plain, exponents)]
+        by, tables, out = residues(self.square), self.table, []
+        width = len(tables[0]).bit_length() - 1
+        for piece in pieces(len(plain)):
+            bits = np.unpackbits(np.frombuffer(b"".join(exponents[piece]), np.uint8).reshape(-1, len(self.windows)), axis=1, bitorder="little")
+            bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % width))).reshape(len(bits), -1, width)
+            digits = bits @ (1 << np.arange(width))
+            total, *others = (np.ascontiguousarray(np.take(table, digit, axis=0).T) for table, digit in zip(tables, digits.T))
+            for power in others:
+                by.times(total, power, total)
+            number = by.times(by.enter(plain[piece], self.n) + by.one, by.raising)
+            out += by.leave(by.times(total, number, total))
+        return out
+
 
 @lru_cache(maxsize=2)
 def _blinder(key: PublicKey) -> Blinder:
@@ -99,8 +141,33 @@ class Opener:
 
     def plain(self, c: int) -> int:
         """The number from 0 to n - 1 that ``c`` holds."""
-        a, b = ((pow(c, prime - 1, square) - 1) // prime * h % prime for prime, square, h in self.sides)
-        return a + self.p * ((b - a) * self.join % self.q)
+        return self.plains([c])[0]
+
+    def plains(self, cs: list[int]) -> list[int]:
+        """The numbers that many ciphertexts hold.
+
+        Numbers closer to 0 than half of p follow from one prime alone.  That they all are is seen from the other prime by one decryption:
+        the product of the ciphertexts, each to a power of 64 bits taken from a digest of all of them, holds the sum of the numbers times these
+        powers' exponents, and a wrong number passes once in 2^64 times.  If it does not hold that, all are decrypted by both primes.
+        """
+        left = self._side(cs, 0)
+        if len(cs) >= TOGETHER_OPENED and self._agrees(cs, near := [a if 2 * a < self.p else a - self.p for a in left]):
+            return [x % (self.p * self.q) for x in near]
+        return [a + self.p * ((b - a) * self.join % self.q) for a, b in zip(left, self._side(cs, 1))]
+
+    def _side(self, cs: list[int], which: int) -> list[int]:
+        """The remainders of the numbers by one prime."""
+        prime, square, h = self.sides[which]
+        return [(x - 1) // prime * h % prime for x in powers(cs, prime - 1, square)]
+
+    def _agrees(self, cs: list[int], plains: list[int]) -> bool:
+        _, square, _ = self.sides[1]
+        reduced = [c % square for c in cs]
+        size = (square.bit_length() + 7) // 8
+        seed = hashlib.sha512(b"".join([c.to_bytes(size, "little") for c in reduced])).digest()
+        exponents = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(cs)), np.uint8).reshape(-1, 8)
+        total = sum(x * e for x, e in zip(plains, exponents.view("<u8").ravel().tolist()))
+        return self._side([residues(square).combined(reduced, exponents)], 1) == [total % self.q]
 
 
 class PowerProduct:
@@ -154,20 +221,19 @@ def encrypt_column(df: DataFrame, value: str, ids: list[str], key: PublicKey, se
     """
     keep = [c for c in df.columns if c != value]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("c", T.BinaryType()), T.StructField("exponent", T.IntegerType())])
-    n, square, scale = key.n, key.square, BASE**exponent
+    n, scale = key.n, BASE**exponent
     limit, length = n // 2, (n.bit_length() + 7) // 8
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blinder = _blinder(key)
         for frame in frames:
-            out = []
-            for x, *parts in zip(frame[value].tolist(), *(frame[i].tolist() for i in ids)):
-                plain = round(x * scale)
-                if abs(plain) > limit:
-                    raise ValueError("value does not fit the key")
-                blind = hashlib.shake_256(secret + repr(parts).encode()).digest(length)
-                out.append(key.pack((1 + n * (plain % n)) * blinder.power(blind) % square))
-            yield frame[keep].assign(c=out, exponent=exponent)
+            plains = [round(x * scale) for x in frame[value].tolist()]
+            if any(abs(plain) > limit for plain in plains):
+                raise ValueError("value does not fit the key")
+            rows = zip(plains, *(frame[i].tolist() for i in ids))
+            blinds = [hashlib.shake_256(secret + repr(parts).encode()).digest(length) for _, *parts in rows]
+            sealed = blinder.sealed([plain % n for plain in plains], blinds)
+            yield frame[keep].assign(c=[key.pack(c) for c in sealed], exponent=exponent)
 
     return df.select(*keep, value).mapInPandas(run, schema)
 
@@ -205,41 +271,57 @@ def _multiply(frames: Iterable[pd.DataFrame], by: list[str], key: PublicKey) ->
 
 def _multiply_sorted(frames: Iterable[pd.DataFrame], by: list[str], key: PublicKey) -> Iterator[pd.DataFrame]:
     """Products of the ciphertexts of each key where equal keys stand together; one key is held at a time."""
-    square, group, total, top = key.square, None, 1, 0
-    rows: list[tuple] = []
+    square = key.square
+    last: tuple | None = None
 
-    def packed() -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[*by, "c", "exponent"], dtype=object)
-        rows.clear()
-        return out
+    def made(groups: list[tuple], cs: list[bytes], exponents: list[int]) -> pd.DataFrame:
+        columns = {name: pd.Series(list(values), dtype=object) for name, values in zip(by, zip(*groups))}
+        return pd.DataFrame({**columns, "c": cs, "exponent": exponents})
 
     for frame in frames:
-        for *now, c, e in zip(*(frame[name].tolist() for name in [*by, "c", "exponent"])):
-            c = _unpack(c)
-            if now != group:
-                if group is not None:
-                    rows.append((*group, key.pack(total), top))
-                group, total, top = now, c, e
+        if frame.empty:
+            continue
+        groups = [*zip(*(frame[name].tolist() for name in by))]
+        cs, exponents = frame["c"].tolist(), frame["exponent"].tolist()
+        if last is not None:
+            groups, cs, exponents = [last[0], *groups], [last[1], *cs], [last[2], *exponents]
+        starts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1])]
+        runs = [*zip(starts, [*starts[1:], len(groups)])]
+        tops = [max(exponents[a:b]) for a, b in runs]
+        # the ones to be aligned, by how far
+        late: dict[int, list[int]] = {}
+        for (a, b), top in zip(runs, tops):
+            for i in range(a, b):
+                if exponents[i] < top:
+                    late.setdefault(top - exponents[i], []).append(i)
+        aligned = {}
+        for far, at in late.items():
+            aligned.update(zip(at, powers([_unpack(cs[i]) for i in at], BASE**far, square)))
+        sealed = []
+        for a, b in runs:
+            if b - a == 1:
+                sealed.append(cs[a])
                 continue
-            if e > top:
-                total, top = pow(total, BASE ** (e - top), square), e
-            elif e < top:
-                c = pow(c, BASE ** (top - e), square)
-            total = total * c % square
-        if rows:
-            yield packed()
-    if group is not None:
-        rows.append((*group, key.pack(total), top))
-        yield packed()
-
-
-def paillier_sum(df: DataFrame, by: list[str], key: PublicKey, bound: float | None = None) -> DataFrame:
+            total = 1
+            for i in range(a, b):
+                total = total * (aligned[i] if i in aligned else _unpack(cs[i])) % square
+            sealed.append(key.pack(total))
+        kept = [groups[a] for a in starts]
+        last = kept.pop(), sealed.pop(), tops.pop()
+        if kept:
+            yield made(kept, sealed, tops)
+    if last is not None:
+        yield made([last[0]], [last[1]], [last[2]])
+
+
+def paillier_sum(df: DataFrame, by: list[str], key: PublicKey, bound: float | None = None, *, few: bool = False) -> DataFrame:
     """Encrypted sum of a column per key: (by..., c, exponent).
 
     Ciphertexts are multiplied within each task before the shuffle, then in ``SALTS`` groups per key, then per
     key: a key that holds a third of the rows reaches the last step as at most ``SALTS`` records.  Each step is
-    one stream over sorted partitions, however many keys there are.  With ``bound``, the largest size of a value, a sum
-    that might not fit the key raises an error.
+    one stream over sorted partitions, however many keys there are.  With ``few``, for keys that mostly have a row or two, rows are
+    exchanged once: only what repeats a key within a batch of rows is multiplied before, so a frequent key reaches the last step as a
+    record a batch.  With ``bound``, the largest size of a value, a sum that might not fit the key raises an error.
     """
     fields = df.select(*by, "c", "exponent").schema
     if bound is not None:
@@ -250,10 +332,21 @@ def paillier_sum(df: DataFrame, by: list[str], key: PublicKey, bound: float | No
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _multiply(frames, by, key)
 
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if pa.Table.from_batches([batch]).group_by(by).aggregate([]).num_rows == batch.num_rows:
+                yield batch
+                continue
+            for frame in _multiply([batch.to_pandas()], by, key):
+                yield pa.RecordBatch.from_pandas(frame, schema=batch.schema, preserve_index=False)
+
     def streamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _multiply_sorted(frames, by, key)
 
-    local = df.select(*by, "c", "exponent").mapInPandas(partial, fields)
+    rows = df.select(*by, "c", "exponent")
+    if few:
+        return rows.mapInArrow(repeated, fields).repartition(*by).sortWithinPartitions(*by).mapInPandas(streamed, fields)
+    local = rows.mapInPandas(partial, fields)
     salted = local.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)))
     middle = salted.repartition(*by, "salt").sortWithinPartitions(*by).drop("salt").mapInPandas(streamed, fields)
     return middle.repartition(*by).sortWithinPartitions(*by).mapInPandas(streamed, fields)
@@ -312,10 +405,8 @@ def decrypt_column(df: DataFrame, key: PrivateKey, value: str = "v") -> DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for c, e in zip(frame["c"], frame["exponent"]):
-                plain = opener.plain(_unpack(c))
-                out.append((plain if plain <= limit else plain - n) / BASE ** int(e))
+            plains = opener.plains([_unpack(c) for c in frame["c"]])
+            out = [(plain if plain <= limit else plain - n) / BASE ** int(e) for plain, e in zip(plains, frame["exponent"])]
             yield frame[keep].assign(**{value: out})
 
     return df.select(*keep, "c", "exponent").mapInPandas(run, schema)

@@ -123,3 +123,65 @@ def test_a_task_sorts_a_bounded_number_of_cells(spark, cells, monkeypatch):
     assert got == want
     assert seen[0].rdd.getNumPartitions() >= sum(len(fv) for fv in rows.values()) // 10
     assert seen[0].where("f = 0").count() > 1
+
+
+def test_many_values_are_sealed_as_single_ones():
+    rng, n, blinder = random.Random(6), KEY.n, paillier.Blinder(KEY)
+    plains = [0, 1, n - 1, *(rng.randrange(n) for _ in range(1500))]
+    blinds = [bytes(32), b"\xff" * 32, *(rng.randbytes(32) for _ in plains[2:])]
+    want = [(1 + n * x) * blinder.power(b) % KEY.square for x, b in zip(plains, blinds)]
+    assert blinder.sealed(plains, blinds) == want
+    assert blinder.sealed(plains[:5], blinds[:5]) == want[:5]
+    assert sum(t.nbytes for t in blinder.table) <= paillier.TABLE_BYTES
+
+
+@pytest.mark.parametrize("large", [None, 0, 1999])
+def test_many_are_opened_by_one_prime_and_checked_by_the_other(monkeypatch, large):
+    """The second prime opens one product of all; a number it has to tell apart makes it open them all."""
+    rng, n, blinder = random.Random(7), KEY.n, paillier.Blinder(KEY)
+    plains = [rng.randrange(-(10**20), 10**20) % n for _ in range(paillier.TOGETHER_OPENED)]
+    if large is not None:
+        plains[large] = [TEST_KEY.p, n // 2][large % 2]
+    opened, side = [], paillier.Opener._side
+    monkeypatch.setattr(paillier.Opener, "_side", lambda self, cs, which: opened.append((len(cs), which)) or side(self, cs, which))
+    cs = blinder.sealed(plains, [rng.randbytes(32) for _ in plains])
+    assert paillier.Opener(TEST_KEY).plains(cs) == plains
+    assert opened == [(2000, 0), (1, 1)] + [(2000, 1)] * (large is not None)
+
+
+def test_products_of_sorted_keys_are_aligned_together(monkeypatch):
+    """A power for every ciphertext that is to be aligned by as much, however frames cut the keys."""
+    import pandas as pd
+
+    rng, n, blinder = random.Random(8), KEY.n, paillier.Blinder(KEY)
+    ids, exponents = [i // 2 for i in range(200)] + [100] * 7, [i % 2 * 8 for i in range(200)] + [3, 1, 4, 1, 5, 0, 2]
+    plains = [rng.randrange(1000) * 16**e for e in exponents]
+    cs = [KEY.pack(c) for c in blinder.sealed(plains, [rng.randbytes(32) for _ in plains])]
+    frame, calls, powers = pd.DataFrame({"id": ids, "c": cs, "exponent": exponents}), [], paillier.powers
+    monkeypatch.setattr(paillier, "powers", lambda *a: calls.append(len(a[0])) or powers(*a))
+    opener = paillier.Opener(TEST_KEY)
+    for cuts in ([0, 207], [0, 1, 1, 50, 51, 203, 207]):
+        calls.clear()
+        frames = paillier._multiply_sorted([frame[a:b] for a, b in zip(cuts, cuts[1:])], ["id"], KEY)
+        rows = [row for f in frames for row in f.itertuples(index=False)]
+        got = {r.id: opener.plain(int.from_bytes(r.c, "big")) / 16**r.exponent for r in rows}
+        assert len(rows) == 101 and got == {i: sum(p / 16**e for k, p, e in zip(ids, plains, exponents) if k == i) for i in range(101)}
+        if len(cuts) == 2:
+            assert calls[0] == 100
+
+
+def test_added_columns_are_exchanged_once(spark, capsys):
+    a, b = sealed(spark, {1: 2.0, 2: -3.5}, "id", 2), sealed(spark, {2: 0.0625, 3: 7.0}, "id", 6)
+    encrypted.encrypted_add(a, b, ["id"], KEY).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_added_columns_with_frequent_keys(spark):
+    """A key of most rows, null keys and rows of one side, in one batch and in several."""
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i}", i / 8 - 50) for i in range(900)]
+    left, right = (spark.createDataFrame(rows[a:], "id int, k string, w double").repartition(3) for a in (0, 300))
+    a, b = (paillier.encrypt_column(x, "w", ["id"], KEY, s, e) for x, s, e in ((left, b"a", 3), (right, b"b", 1)))
+    want = {}
+    for i, k, w in rows:
+        want[k] = want.get(k, 0.0) + w + (i >= 300) * round(w * 16) / 16
+    assert opened(encrypted.encrypted_add(a, b, ["k"], KEY), "k") == want
