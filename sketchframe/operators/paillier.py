@@ -25,19 +25,19 @@ HELD_KEYS = 50_000
 TOGETHER = 8
 # Ciphertexts from which on they are first decrypted by one prime and checked by the other.
 TOGETHER_OPENED = 2000
-# Bytes that a worker's table of powers for blinding may take, and exponent bits of a power at most.
-TABLE_BYTES, TABLE_BITS = 32 << 20, 11
+# Bytes that a worker's table of powers for blinding may take, exponent bits of a power at most, and values from which on it is made.
+TABLE_BYTES, TABLE_BITS, TABLE_FROM = 32 << 20, 11, 2000
 
 
 @dataclass(frozen=True)
 class PublicKey:
     n: int
 
-    @property
+    @cached_property
     def square(self) -> int:
         return self.n * self.n
 
-    @property
+    @cached_property
     def size(self) -> int:
         return (self.square.bit_length() + 7) // 8
 
@@ -67,7 +67,7 @@ class Blinder:
     """
 
     def __init__(self, key: PublicKey):
-        self.n, self.square = key.n, key.square
+        self.n, self.square, self.seen = key.n, key.square, 0
         seed = hashlib.sha512(key.pack(key.n)).digest()
         base = pow(int.from_bytes(seed, "big") % key.n | 1, key.n, key.square)
         self.windows = []
@@ -104,7 +104,8 @@ class Blinder:
 
     def sealed(self, plain: list[int], exponents: list[bytes]) -> list[int]:
         """(1 + n * plain) * h^exponent for numbers from 0 to n - 1 and little-endian exponents, one as long as ``windows``."""
-        if len(plain) < LEAST:
+        self.seen += len(plain)
+        if len(plain) < LEAST or self.seen < TABLE_FROM:
             return [(1 + self.n * x) * self.power(e) % self.square for x, e in zip(plain, exponents)]
         by, tables, out = residues(self.square), self.table, []
         width = len(tables[0]).bit_length() - 1
@@ -302,9 +303,9 @@ def _multiply_sorted(frames: Iterable[pd.DataFrame], by: list[str], key: PublicK
             if b - a == 1:
                 sealed.append(cs[a])
                 continue
-            total = 1
-            for i in range(a, b):
-                total = total * (aligned[i] if i in aligned else _unpack(cs[i])) % square
+            total, *others = (aligned[i] if i in aligned else _unpack(cs[i]) for i in range(a, b))
+            for c in others:
+                total = total * c % square
             sealed.append(key.pack(total))
         kept = [groups[a] for a in starts]
         last = kept.pop(), sealed.pop(), tops.pop()
